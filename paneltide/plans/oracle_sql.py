@@ -72,9 +72,9 @@ team_season AS (
   FROM totals t LEFT JOIN outcome o ON t.season_end_year = o.season_end_year AND t.team = o.team)"""
 
 
-def r6(expr: str, alias: str) -> str:
+def r6(expr: str, alias: str, digits: int = 6) -> str:
     """The oracle side of ``out_round``."""
-    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS {alias}"
+    return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {alias}"
 
 
 def with_ctes(*ctes: str) -> str:

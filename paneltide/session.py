@@ -19,6 +19,7 @@ from pyspark.sql import SparkSession
 # runtime sizes, coalesces small shuffle partitions and splits skewed ones.
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

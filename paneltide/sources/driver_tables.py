@@ -21,7 +21,7 @@ AWARD_RULES = ((85000.0, "MVP-2,AS,NBA1"), (75000.0, "AS"))
 AWARD_LINE, AWARD_LINE_TEXT = 6, "DPOY-4"
 LOSS_FLAG = "R"
 MISMATCH_SUPP_DIGIT, MISMATCH_BEFORE = 3, 1998   # outcome code spelled differently
-SEARCH_GROUP_SPELLINGS = {0: "basic|trend", 1: "trend|basic", 2: "basic", 3: "full|basic"}
+SEARCH_GROUP_SPELLINGS = {0: "basic_box|trend", 1: "trend|basic_box", 2: "basic_box", 3: "full_box|basic_box"}
 EXACT_MULT, WITHIN1_MULT, SCORE_MOD = 7919, 104729, 61
 DICT_GAP = 7                      # the name dictionary lacks nations with key % 7 = 0
 
