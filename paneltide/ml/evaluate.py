@@ -29,5 +29,6 @@ def detailed_predictions(scored: DataFrame, truth: str = "win_pct", pred: str =
 
 
 def binary_report(scored: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
-    s = scored.select(F.col(label).cast("string").alias("y"), F.col(pred).cast("int").cast("string").alias("p"))
+    s = scored.select(F.col(label).cast("int").cast("string").alias("y"),
+                      F.col(pred).cast("int").cast("string").alias("p"))
     return metrics.class_report(s, "y", "p", ["0", "1"])

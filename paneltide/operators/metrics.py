@@ -83,15 +83,13 @@ def class_report(df: DataFrame, label: str, pred: str, classes: list[str]) -> Da
                     F.sum("support").cast("long").alias("support"))
     wsum = F.sum("support")
     weighted = per.agg(F.lit("weighted avg").alias("cls"),
-                       (F.sum(F.col("precision") * F.col("support")) / wsum).alias("precision"),
-                       (F.sum(F.col("recall") * F.col("support")) / wsum).alias("recall"),
-                       (F.sum(F.col("f1") * F.col("support")) / wsum).alias("f1"),
+                       F.try_divide(F.sum(F.col("precision") * F.col("support")), wsum).alias("precision"),
+                       F.try_divide(F.sum(F.col("recall") * F.col("support")), wsum).alias("recall"),
+                       F.try_divide(F.sum(F.col("f1") * F.col("support")), wsum).alias("f1"),
                        wsum.cast("long").alias("support"))
-    acc = per.agg(F.lit("accuracy").alias("cls"),
-                  (F.first("_ok").cast("double") / F.first("_n")).alias("precision"),
-                  (F.first("_ok").cast("double") / F.first("_n")).alias("recall"),
-                  (F.first("_ok").cast("double") / F.first("_n")).alias("f1"),
-                  F.first("_n").cast("long").alias("support"))
+    accuracy = F.try_divide(F.first("_ok").cast("double"), F.first("_n"))
+    acc = per.agg(F.lit("accuracy").alias("cls"), accuracy.alias("precision"), accuracy.alias("recall"),
+                  accuracy.alias("f1"), F.first("_n").cast("long").alias("support"))
     return per.drop("_n", "_ok").unionByName(macro).unionByName(weighted).unionByName(acc)
 
 

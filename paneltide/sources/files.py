@@ -49,7 +49,10 @@ def with_quarantine(spark: SparkSession, path: str, schema: StructType, fmt: str
     r = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     for k, v in options.items():
         r = r.option(k, v)
-    df = r.format(fmt).load(path)
+    # Spark refuses plans that read only the corrupt-record column from raw
+    # files; the parsed result is materialised once (reliable checkpoint in the
+    # shared folder), as an ingest step writes its typed table anyway.
+    df = r.format(fmt).load(path).checkpoint(eager=True)
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull())
 
 
