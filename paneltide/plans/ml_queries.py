@@ -181,3 +181,19 @@ def q_onehot(spark, sf_dir):
     return t.select("player", "season_end_year", "pos", "team",
                     *[F.aggregate(vector_to_array(F.col(c)), F.lit(0.0), lambda a, x: a + x).alias(f"{c}_ones")
                       for c in outs])
+
+
+# --- search -------------------------------------------------------------------------------
+
+SEARCH_ITERATIONS, SEARCH_SEED = 6, 42
+
+
+@register("search_history")
+def q_search_history(spark, sf_dir):
+    """Seeded random search over feature groups x scalers x models on the
+    team panel (windows inside each split); one history row per iteration."""
+    from ..ml.search import run_search
+    f = feature_matrix(spark, sf_dir, split_col="is_holdout")
+    train, hold = f.where(~F.col("is_holdout")), f.where(F.col("is_holdout"))
+    hist, _ = run_search(spark, train, hold, n_iter=SEARCH_ITERATIONS, seed=SEARCH_SEED)
+    return hist
