@@ -22,10 +22,11 @@ def period_report(scored: DataFrame, truth: str = "win_pct", pred: str = "pred_s
 
 def detailed_predictions(scored: DataFrame, truth: str = "win_pct", pred: str = "pred_score",
                          period: str = "season_end_year") -> DataFrame:
-    """Rows with true_rank, pred_rank and rank_diff, ordered by predicted
-    rank within each period (sorted inside partitions, no global sort)."""
+    """Rows with true_rank, pred_rank and rank_diff, ordered by (period,
+    predicted rank).  A range-partitioned sort: a large period spreads over
+    several tasks instead of landing in one."""
     r = metrics.with_ranks(scored, truth, pred, by=period)
-    return r.repartition(period).sortWithinPartitions(period, "pred_rank")
+    return r.orderBy(period, "pred_rank", "true_rank")
 
 
 def binary_report(scored: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
