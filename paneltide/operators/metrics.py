@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import overall_score
-from .rank import rank_desc
+from .rank import rank_many
 
 
 def with_ranks(df: DataFrame, truth: str, pred: str, by=(), strategy: str = "auto") -> DataFrame:
-    """true_rank / pred_rank (min rank, descending) and their difference."""
-    r = rank_desc(df, truth, by, out="true_rank", strategy=strategy)
-    r = rank_desc(r, pred, by, out="pred_rank", strategy=strategy)
+    """true_rank / pred_rank (min rank, descending) and their difference;
+    both ranks come from one distributed rank pass."""
+    r = rank_many(df, [(truth, "true_rank", None), (pred, "pred_rank", None)], by, strategy)
     return r.withColumn("rank_diff", F.col("pred_rank") - F.col("true_rank"))
 
 
@@ -53,8 +53,7 @@ def reg_metrics(df: DataFrame, truth: str, pred: str, by=()) -> DataFrame:
 def spearman(df: DataFrame, truth: str, pred: str, by=(), strategy: str = "auto") -> DataFrame:
     """Spearman = Pearson over average ranks (ties share the mean rank)."""
     by = [by] if isinstance(by, str) else list(by)
-    r = rank_desc(df, truth, by, out="_tr", avg_out="_tra", strategy=strategy)
-    r = rank_desc(r, pred, by, out="_pr", avg_out="_pra", strategy=strategy)
+    r = rank_many(df, [(truth, "_tr", "_tra"), (pred, "_pr", "_pra")], by, strategy)
     g = r.groupBy(*by) if by else r.groupBy()
     return g.agg(F.corr("_tra", "_pra").alias("spearman"), F.count(F.lit(1)).cast("int").alias("n"))
 

@@ -1,30 +1,38 @@
 """Descending min-rank (pandas ``rank(method="min", ascending=False)``) and
-average rank (for Spearman), per group or pooled.
+average rank (for Spearman), per group or pooled, for one or several value
+columns at once.
 
 Two physical strategies with the same result:
 
 * ``window``  ``rank() over (partition by g order by v desc)``.  One task
-  sorts a whole group, so it is only used when the largest group is known to
-  be small.
-* ``range``   distributed: count rows per (group, value); cut each group's
-  distinct values into value ranges with ``percentile_approx`` (a partial
-  aggregate, so a hot group is never gathered in one task); running counts
-  inside each range (bounded window partitions); offsets of each range from
-  a table of at most ``n_buckets`` rows per group; join back on (group, value).
-  min-rank = 1 + rows with a strictly larger value; ties share it.
-
-``strategy="auto"`` measures the largest group with one small aggregate and
-chooses.  NULL values get a NULL rank in both strategies.
+  sorts a whole group, so use it only where groups are known to be small.
+* ``range``   distributed: count rows per (column, group, value) in one
+  long-form aggregate (duplicates collapse, so a hot value is one row); cut
+  each group's distinct values into value ranges with ``percentile_approx``
+  (a partial aggregate: a hot group is never gathered in one task); running
+  counts inside each range (bounded window partitions); offsets of each
+  range from a table of at most ``n_buckets`` rows per group; join back on
+  (group, value).  min-rank = 1 + rows with a strictly larger value.
+
+The range path reads its input several times, so the input is first
+materialised once (reliable checkpoint in the shared folder); otherwise each
+reference would re-run the input's whole plan.  ``strategy="auto"`` (the
+default) materialises, measures the largest group on the written data and
+picks ``window`` below ``max_group_rows``.  NULL values get a NULL rank in
+every strategy.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_parallelism
+from ..session import default_parallelism, materialize
 
 WINDOW_MAX_GROUP_ROWS = 2_000_000
+STRATEGIES = ("range", "window", "auto")
 
 
 def _largest_group(df: DataFrame, by: list[str]) -> int:
@@ -34,18 +42,29 @@ def _largest_group(df: DataFrame, by: list[str]) -> int:
     return int(row[0] or 0)
 
 
-def rank_desc(df: DataFrame, value: str, by=(), out: str = "rank", avg_out: str | None = None,
-              strategy: str = "auto", max_group_rows: int = WINDOW_MAX_GROUP_ROWS,
-              n_buckets: int | None = None) -> DataFrame:
+def rank_many(df: DataFrame, specs, by=(), strategy: str = "auto",
+              max_group_rows: int = WINDOW_MAX_GROUP_ROWS, n_buckets: int | None = None,
+              materialize_input: bool = True) -> DataFrame:
+    """``specs``: list of (value column, min-rank output, average-rank output or None)."""
     by = [by] if isinstance(by, str) else list(by)
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}")
+    if strategy in ("auto", "range") and materialize_input:
+        df = materialize(df)
     if strategy == "auto":
         strategy = "window" if _largest_group(df, by) <= max_group_rows else "range"
     if strategy == "window":
-        return _rank_window(df, value, by, out, avg_out)
-    if strategy == "range":
-        n = n_buckets or max(2, default_parallelism(df.sparkSession))
-        return _rank_range(df, value, by, out, avg_out, n)
-    raise ValueError("strategy must be auto, window or range")
+        for value, out, avg_out in specs:
+            df = _rank_window(df, value, by, out, avg_out)
+        return df
+    n = n_buckets or max(2, default_parallelism(df.sparkSession))
+    return _rank_range(df, specs, by, n)
+
+
+def rank_desc(df: DataFrame, value: str, by=(), out: str = "rank", avg_out: str | None = None,
+              strategy: str = "auto", max_group_rows: int = WINDOW_MAX_GROUP_ROWS,
+              n_buckets: int | None = None, materialize_input: bool = True) -> DataFrame:
+    return rank_many(df, [(value, out, avg_out)], by, strategy, max_group_rows, n_buckets, materialize_input)
 
 
 def _rank_window(df, value, by, out, avg_out):
@@ -58,32 +77,41 @@ def _rank_window(df, value, by, out, avg_out):
     return df.withColumns(cols)
 
 
-def _rank_range(df, value, by, out, avg_out, n):
-    v = F.col(value)
+def _rank_range(df, specs, by, n):
     keys = by if by else ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
-    vals = base.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
+    long = reduce(lambda a, b: a.unionByName(b), [
+        base.where(F.col(v).isNotNull()).select(F.lit(i).alias("_w"), *keys, F.col(v).cast("double").alias("_v"))
+        for i, (v, _, _) in enumerate(specs)])
+    gk = ["_w", *keys]
+    vals = long.groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_ties"))
     fractions = [i / n for i in range(1, n)]
-    bounds = vals.groupBy(*keys).agg(F.percentile_approx(value, fractions, 10000).alias("_bounds"))
-    # one row per group: bounded by the number of groups (periods)
-    vals = vals.join(F.broadcast(bounds), keys)
-    vals = vals.withColumn("_b", F.size(F.filter("_bounds", lambda b: b > v))).drop("_bounds")
-    per_bucket = vals.groupBy(*keys, "_b").agg(F.sum("_ties").alias("_bn"))
-    w_off = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # at most n_buckets rows per group
+    # one row per (column, group): bounded by the number of groups
+    bounds = vals.groupBy(*gk).agg(F.percentile_approx("_v", fractions, 10000).alias("_bounds"))
+    vals = vals.join(F.broadcast(bounds), gk) \
+        .withColumn("_b", F.size(F.filter("_bounds", lambda b: b > F.col("_v")))).drop("_bounds")
+    per_bucket = vals.groupBy(*gk, "_b").agg(F.sum("_ties").alias("_bn"))
+    w_off = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(w_off), F.lit(0))).drop("_bn")
-    w_in = Window.partitionBy(*keys, "_b").orderBy(v.desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = vals.withColumn("_before", F.coalesce(F.sum("_ties").over(w_in), F.lit(0)))
-    ranked = ranked.join(F.broadcast(offsets), keys + ["_b"])
-    min_rank = (F.lit(1) + F.col("_off") + F.col("_before")).cast("int")
-    sel = [*keys, value, min_rank.alias(out)]
-    if avg_out:
-        sel.append((min_rank + (F.col("_ties") - 1) / F.lit(2.0)).alias(avg_out))
-    ranked = ranked.select(*sel)
-    res = base.join(ranked, keys + [value], "left")
-    return res.drop("_all") if not by else res
+    w_in = Window.partitionBy(*gk, "_b").orderBy(F.col("_v").desc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    ranked = vals.withColumn("_before", F.coalesce(F.sum("_ties").over(w_in), F.lit(0))) \
+        .join(F.broadcast(offsets), gk + ["_b"])   # <= n_buckets rows per (column, group)
+    ranked = ranked.select(*gk, "_v", (F.lit(1) + F.col("_off") + F.col("_before")).cast("int").alias("_r"),
+                           "_ties")
+    if len(specs) > 1:
+        ranked = materialize(ranked)   # read once per ranked column below
+    out = base
+    for i, (value, name, avg_name) in enumerate(specs):
+        r = ranked.where(F.col("_w") == i).drop("_w")
+        sel = [*keys, F.col("_v").alias("_k"), F.col("_r").alias(name)]
+        if avg_name:
+            sel.append((F.col("_r") + (F.col("_ties") - 1) / F.lit(2.0)).alias(avg_name))
+        out = out.withColumn("_k", F.col(value).cast("double")).join(r.select(*sel), keys + ["_k"], "left") \
+            .drop("_k")
+    return out.drop("_all") if not by else out
 
 
 def rank_pooled(df: DataFrame, value: str, out: str = "rank", **kw) -> DataFrame:
-    """Rank over the whole frame (no partition), still distributed at scale."""
+    """Rank over the whole frame (no partition), still distributed."""
     return rank_desc(df, value, by=(), out=out, **kw)

@@ -73,3 +73,13 @@ def default_parallelism(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # pragma: no cover - conf always present in practice
         return os.cpu_count() or 8
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and continue from
+    there (reliable ``checkpoint``: lineage is cut, a lost executor re-reads
+    the files instead of recomputing the plan).  Used where a computed frame
+    is referenced more than once, which would otherwise re-run its whole
+    plan, fact scans included, once per reference."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
