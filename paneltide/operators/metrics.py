@@ -114,3 +114,15 @@ def majority_baseline(train: DataFrame, test: DataFrame, label: str) -> DataFram
     hits = test.select((F.col(label) == maj).cast("double").alias("_hit"))
     return hits.agg(F.count(F.lit(1)).alias("n_test"), F.avg("_hit").alias("accuracy")) \
         .select(maj.alias("majority"), "n_test", "accuracy")
+
+
+def majority_baseline_split(df: DataFrame, label: str, is_train: str) -> DataFrame:
+    """Same as ``majority_baseline`` from one frame with a split flag: a
+    single pass reduces it to one row per (split, class) before anything else."""
+    c = df.groupBy(is_train, label).agg(F.count(F.lit(1)).alias("n"))   # <= 2 x classes rows
+    train = c.where(F.col(is_train)).groupBy(label).agg(F.sum("n").alias("n"))
+    maj = train.agg(F.min_by(F.col(label), F.struct(-F.col("n"), F.col(label)))).scalar()
+    test = c.where(~F.col(is_train)).select((F.col(label) == maj).cast("double").alias("_hit"), "n")
+    return test.agg(F.sum("n").alias("n_test"),
+                    F.try_divide(F.sum(F.col("_hit") * F.col("n")), F.sum("n")).alias("accuracy")) \
+        .select(maj.alias("majority"), "n_test", "accuracy")

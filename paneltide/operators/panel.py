@@ -111,6 +111,16 @@ def with_experience(df: DataFrame, who: str = "player", period: str = "season",
     return df.join(exp, who, "left")
 
 
+def experience_totals(df: DataFrame, who: str = "player", period: str = "season",
+                      measure: str = "pts") -> DataFrame:
+    """Per player: distinct periods played and the measure's sum / count of
+    non-missing values (one pass, no join back onto the rows)."""
+    return df.groupBy(who).agg(
+        F.count_distinct(period).cast("int").alias("seasons_played"),
+        F.sum(measure).alias(measure),
+        F.count(measure).alias(f"n_{measure}"))
+
+
 def dedup_first(df: DataFrame, key, order) -> DataFrame:
     """Keep the first row per key under an explicit ascending order
     (``drop_duplicates(keep="first")``).  ``min_by`` is a partial aggregate:

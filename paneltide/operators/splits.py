@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def last_n_periods(df: DataFrame, period: str, n: int) -> DataFrame:
     """The last ``n`` distinct periods (``sorted(unique())[-n:]``)."""
@@ -16,14 +18,22 @@ def last_n_periods(df: DataFrame, period: str, n: int) -> DataFrame:
     return ranked.where(F.col("_rk") <= n).select(period)
 
 
-def flag_last_n(df: DataFrame, period: str, n: int, out: str = "is_holdout") -> DataFrame:
+def flag_last_n(df: DataFrame, period: str, n: int, out: str = "is_holdout",
+                materialize_input: bool = True) -> DataFrame:
+    """Flag rows of the last ``n`` periods.  The input is read twice (periods,
+    then rows), so a computed input is materialised first."""
+    if materialize_input:
+        df = materialize(df)
     hold = last_n_periods(df, period, n).withColumn(out, F.lit(True))
     return df.join(F.broadcast(hold), period, "left") \
         .withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
 
-def split_last_n(df: DataFrame, period: str, n: int) -> tuple[DataFrame, DataFrame]:
+def split_last_n(df: DataFrame, period: str, n: int,
+                 materialize_input: bool = True) -> tuple[DataFrame, DataFrame]:
     """(train, holdout): holdout = rows in the last ``n`` periods."""
+    if materialize_input:
+        df = materialize(df)
     hold = F.broadcast(last_n_periods(df, period, n))
     return df.join(hold, period, "left_anti"), df.join(hold, period, "left_semi")
 

@@ -8,7 +8,7 @@ from ..functions.nulls import out_round
 from ..operators import knn, panel
 from ..sources import driver_tables as dt
 from ..sources import files, html
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sinks import writers
 from .oracle_sql import OUTCOME, PERF, TEAM_SEASON, with_ctes
 from .registry import register
@@ -117,7 +117,7 @@ def q_sink_partitioned(spark, sf_dir):
     """Team-season table written one partition per season; one season is
     then rewritten (dynamic overwrite replaces only it); rows per season."""
     path = scratch_path(spark, "team_season")
-    t = panel.team_season(dt.perf(spark, sf_dir), dt.outcome(spark, sf_dir))
+    t = materialize(panel.team_season(dt.perf(spark, sf_dir), dt.outcome(spark, sf_dir)))
     writers.write_partitioned(t, path, "season")
     last = t.agg(F.max("season")).first()[0]
     writers.write_partitioned(t.where(F.col("season") == last), path, "season")

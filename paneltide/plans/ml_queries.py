@@ -11,6 +11,7 @@ from ..functions.nulls import numeric_columns, out_round
 from ..ml import evaluate, models
 from ..ml.feature_groups import FEATURE_GROUPS, TREND_ONLY, columns_for
 from ..operators import metrics, splits
+from ..session import materialize
 from ..sources import driver_tables as dt
 from .eval_queries import feature_matrix
 from .panel_queries import outcome_trends
@@ -57,7 +58,7 @@ def q_ml_forest(spark, sf_dir):
     """Team forest: 100 trees of depth 10 on the trend features of the
     player-derived team panel (full-panel windows)."""
     f = feature_matrix(spark, sf_dir)
-    train, hold = splits.split_last_n(f, "season_end_year", 2)
+    train, hold = splits.split_last_n(f, "season_end_year", 2)     # materialises f once
     m = models.fit_regression(train, TREND_ONLY, FOREST_MODEL[0], FOREST_MODEL[1])
     return _report(models.predict(m, hold))
 
@@ -65,7 +66,7 @@ def q_ml_forest(spark, sf_dir):
 @register("ml_gbt")
 def q_ml_gbt(spark, sf_dir):
     """Boosted trees on box + trend groups, windows computed inside each split."""
-    f = feature_matrix(spark, sf_dir, split_col="is_holdout")
+    f = materialize(feature_matrix(spark, sf_dir, split_col="is_holdout"))
     cols = columns_for(["basic_box", "trend"], f.columns)
     train, hold = f.where(~F.col("is_holdout")), f.where(F.col("is_holdout"))
     m = models.fit_regression(train, cols, "gb", {"n_estimators": 50, "learning_rate": 0.1, "max_depth": 3})
@@ -75,7 +76,7 @@ def q_ml_gbt(spark, sf_dir):
 @register("ml_ensemble")
 def q_ml_ensemble(spark, sf_dir):
     """Weighted voting of forest, boosting and ridge (0.4 / 0.4 / 0.2)."""
-    f = feature_matrix(spark, sf_dir, split_col="is_holdout")
+    f = materialize(feature_matrix(spark, sf_dir, split_col="is_holdout"))
     cols = columns_for(["four_factors", "trend"], f.columns)
     train, hold = f.where(~F.col("is_holdout")), f.where(F.col("is_holdout"))
     members = models.fit_ensemble(train, cols, models.ENSEMBLES[2])
@@ -86,7 +87,7 @@ def q_ml_ensemble(spark, sf_dir):
 def q_ml_predictions(spark, sf_dir):
     """Refit the shipped best configuration and return the detailed
     prediction table (features, score, ranks) for the holdout periods."""
-    f = feature_matrix(spark, sf_dir, split_col="is_holdout")
+    f = materialize(feature_matrix(spark, sf_dir, split_col="is_holdout"))
     cols = columns_for(BEST_SHIPPED_GROUPS, f.columns)
     train, hold = f.where(~F.col("is_holdout")), f.where(F.col("is_holdout"))
     m = models.fit_regression(train, cols, BEST_SHIPPED[0], BEST_SHIPPED[1], scaler="standard")
@@ -103,6 +104,13 @@ def _players(spark, sf_dir):
     return p.withColumns(shooting_pcts(zero_fill=False))
 
 
+def _fit_frame(df):
+    """Indexers, scalers and boosting each pass over the training rows:
+    materialise the joined, projected rows once instead of re-running the
+    scan + join per pass."""
+    return materialize(df)
+
+
 def _test_last_periods(df, n=3):
     return splits.split_last_n(df, "season_end_year", n)
 
@@ -114,7 +122,7 @@ def q_ml_star(spark, sf_dir):
     p = _players(spark, sf_dir).withColumn("label", L.contains_ci(F.coalesce("awards", F.lit("")), "AS"))
     p = p.where(F.col("g") > 0).na.drop(subset=["label", *STAR_NUMERIC]).withColumn("label", F.col("label").cast("double"))
     p = p.na.fill("", subset=["pos", "team"])
-    train, test = _test_last_periods(p)
+    train, test = _test_last_periods(p)          # materialises p once
     model = models.classifier_pipeline(STAR_NUMERIC, ["pos", "team"], "gbt", STAR_MODEL).fit(train)
     scored = model.transform(test).withColumn("pred", F.col("prediction"))
     return evaluate.binary_report(scored).withColumns({c: out_round(c) for c in ("precision", "recall", "f1")})
@@ -150,7 +158,7 @@ def q_ml_position(spark, sf_dir):
     feats = POSITION_BASE + [c for c in per36().keys()]
     p = p.na.fill(0.0, subset=feats)
     idx = StringIndexer(inputCol="pos3", outputCol="label", stringOrderType="alphabetAsc").fit(p)
-    p = idx.transform(p)
+    p = _fit_frame(idx.transform(p))
     train, test = splits.split_threshold(p, "season_end_year", 1999)
     model = models.classifier_pipeline(feats, (), "ovr_gbt", POSITION_MODEL, n_classes=3).fit(train)
     scored = model.transform(test)
@@ -193,7 +201,7 @@ def q_search_history(spark, sf_dir):
     """Seeded random search over feature groups x scalers x models on the
     team panel (windows inside each split); one history row per iteration."""
     from ..ml.search import run_search
-    f = feature_matrix(spark, sf_dir, split_col="is_holdout")
+    f = materialize(feature_matrix(spark, sf_dir, split_col="is_holdout"))
     train, hold = f.where(~F.col("is_holdout")), f.where(F.col("is_holdout"))
     hist, _ = run_search(spark, train, hold, n_iter=SEARCH_ITERATIONS, seed=SEARCH_SEED)
     return hist

@@ -258,11 +258,15 @@ exp AS (SELECT player, CAST(count(DISTINCT season) AS INTEGER) AS seasons_played
 FROM players p LEFT JOIN exp e ON p.player = e.player
 WHERE e.seasons_played IS NOT NULL AND p.pts IS NOT NULL GROUP BY e.seasons_played""")
 def q_experience_curve(spark, sf_dir):
-    p = panel.with_experience(panel.drop_combined(dt.perf(spark, sf_dir)))
-    d = p.where(F.col("seasons_played").isNotNull() & F.col("pts").isNotNull())
-    return d.groupBy("seasons_played").agg(out_round(F.sum("pts"), 2).alias("pts"),
-                                           out_round(F.avg("pts")).alias("pts_avg"),
-                                           F.count(F.lit(1)).alias("n_rows")).orderBy("seasons_played")
+    """Points by seasons of experience in one scan: per player, distinct
+    seasons (a two-level partial aggregate) plus point sum and count; then
+    per experience bucket.  Equal to joining experience back onto every row
+    and aggregating the rows."""
+    per_player = panel.experience_totals(panel.drop_combined(dt.perf(spark, sf_dir)))
+    c = per_player.groupBy("seasons_played").agg(F.sum("pts").alias("pts"), F.sum("n_pts").alias("n_rows"))
+    return c.select("seasons_played", out_round("pts", 2).alias("pts"),
+                    out_round(F.col("pts") / F.col("n_rows")).alias("pts_avg"),
+                    F.col("n_rows").cast("long").alias("n_rows")).orderBy("seasons_played")
 
 
 # --- labels ------------------------------------------------------------------------------
@@ -348,10 +352,9 @@ SELECT (SELECT majority FROM maj) AS majority, CAST(count(*) AS BIGINT) AS n_tes
   """ + r6("avg(CAST(label = (SELECT majority FROM maj) AS DOUBLE))", "accuracy") + """
 FROM cls WHERE season_end_year > 1999""")
 def q_majority_baseline(spark, sf_dir):
-    from ..operators.metrics import majority_baseline
-    c = classification_frame(spark, sf_dir)
-    train, test = splits.split_threshold(c, "season_end_year", 1999)
-    r = majority_baseline(train, test, "label")
+    from ..operators.metrics import majority_baseline_split
+    c = classification_frame(spark, sf_dir).withColumn("is_train", F.col("season_end_year") <= 1999)
+    r = majority_baseline_split(c, "label", "is_train")
     return r.withColumn("accuracy", out_round("accuracy"))
 
 
