@@ -137,8 +137,17 @@ def html_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 
 def select_tables(rows: DataFrame, required: list[str]) -> DataFrame:
-    """Rows of the tables whose header row (row 0) contains all ``required`` names."""
+    """Rows of the tables whose header row (row 0) contains all ``required`` names.
+    ``rows`` is read twice (headers, then rows): it is materialised once so
+    pages are not parsed twice."""
+    from ..session import materialize
+    rows = materialize(rows)
     need = F.array(*[F.lit(c) for c in required])
     headers = rows.where((F.col("tag") == "tr") & (F.col("row_no") == 0)) \
         .where(F.size(F.array_except(need, F.col("cells"))) == 0).select("page_id", "table_no")
     return rows.where(F.col("tag") == "tr").join(headers, ["page_id", "table_no"], "left_semi")
+
+
+def first_table(rows: DataFrame) -> DataFrame:
+    """Rows of each page's first table (the ``read_html(...)[0]`` choice)."""
+    return rows.where((F.col("tag") == "tr") & (F.col("table_no") == 0))

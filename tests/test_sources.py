@@ -56,3 +56,10 @@ def test_html_rows_tables_and_blocks(spark):
         .select(F.trim(F.replace(F.col("cells")[0], F.lit("*"), F.lit(""))).alias("name"),
                 "table_no", "row_no", F.col("cells")[1].alias("w"))
     assert [r.w for r in dedup_first(t, "name", ["table_no", "row_no"]).collect()] == ["60"]
+
+
+def test_first_table(spark):
+    page = ("<table><tr><th>A</th></tr><tr><td>1</td></tr></table>"
+            "<table><tr><th>B</th></tr><tr><td>2</td></tr></table>")
+    rows = html.html_rows(spark.createDataFrame([(7, page)], "page_id long, html string"))
+    assert [r.cells for r in html.first_table(rows).orderBy("row_no").collect()] == [["A"], ["1"]]
