@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.nulls import try_number
@@ -31,3 +31,19 @@ def coerce_numeric(df: DataFrame, keep_text=(), int_cols=()) -> DataFrame:
 def strip_marker(c, marker: str = "*"):
     """Remove a literal marker (e.g. the playoff asterisk) and trim."""
     return F.trim(F.replace(F.col(c) if isinstance(c, str) else c, F.lit(marker), F.lit("")))
+
+
+def audited_filter(df: DataFrame, steps: list[tuple[str, object]], name: str = "audit"):
+    """Apply filters in order and record, for each step, how many rows it
+    dropped, as observed metrics of the job that consumes the result (no
+    extra pass).  Returns (filtered frame, Observation); ``obs.get`` holds
+    ``rows_in`` and ``dropped_<step>`` after the first action."""
+    cond_so_far = F.lit(True)
+    metrics = [F.count(F.lit(1)).alias("rows_in")]
+    for label, cond in steps:
+        c = F.expr(cond) if isinstance(cond, str) else cond
+        metrics.append(F.count_if(cond_so_far & ~F.coalesce(c, F.lit(False))).alias(f"dropped_{label}"))
+        cond_so_far = cond_so_far & F.coalesce(c, F.lit(False))
+    obs = Observation(name)
+    observed = df.observe(obs, *metrics)
+    return observed.where(cond_so_far), obs

@@ -43,3 +43,12 @@ def test_split_helpers(spark):
     assert {r.y for r in rec.collect()} == {2002}
     flag = splits.flag_last_n(df, "y", 1)
     assert flag.where(F.col("is_holdout")).count() == 2
+
+
+def test_audited_filter_counts_each_step(spark):
+    df = spark.createDataFrame([("TOT", 300.0), ("A", 100.0), ("A", 250.0), (None, 400.0)], "team string, mp double")
+    from paneltide.functions.nulls import ne_safe
+    out, obs = clean.audited_filter(df, [("tot", ne_safe("team", "TOT")), ("minutes", F.col("mp") >= 200)])
+    assert out.count() == 2
+    m = obs.get
+    assert m["rows_in"] == 4 and m["dropped_tot"] == 1 and m["dropped_minutes"] == 1
