@@ -10,7 +10,7 @@ from ..sources import driver_tables as dt
 from ..sources import files, html
 from ..session import materialize, scratch_path
 from ..sinks import writers
-from .oracle_sql import OUTCOME, PERF, TEAM_SEASON, with_ctes
+from .oracle_sql import OUTCOME, with_ctes
 from .registry import register
 
 KNN_K = 5

@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..functions.formulas import per36, shooting_pcts, win_pct
+from ..functions.formulas import per36, shooting_pcts
 from ..functions.nulls import numeric_columns, out_round
 from ..ml import evaluate, models
-from ..ml.feature_groups import FEATURE_GROUPS, TREND_ONLY, columns_for
+from ..ml.feature_groups import TREND_ONLY, columns_for
 from ..operators import metrics, splits
 from ..session import materialize
 from ..sources import driver_tables as dt

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.formulas import season_end, season_label, season_start, shooting_pcts, win_pct
+from ..functions.formulas import season_end, season_label, season_start, win_pct
 from ..functions.nulls import out_round
 from ..operators import panel, windows
 from ..operators.rank import rank_desc

@@ -6,8 +6,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..functions.formulas import win_pct
-from ..functions.nulls import finite_all, ne_safe, not_in, out_round, try_number
+from ..functions.nulls import finite_all, ne_safe, out_round, try_number
 from ..operators import joins, panel, splits
 from ..sources import driver_tables as dt
 from .oracle_sql import OUTCOME, PERF, PERF_AGE, TEAM_SEASON, r6, with_ctes
