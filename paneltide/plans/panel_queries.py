@@ -192,15 +192,17 @@ def q_season_label(spark, sf_dir):
                     (season_start("season") + 1 == F.col("season_end_year")).alias("consistent"))
 
 
-@register("union_periods", with_ctes(OUTCOME) + """SELECT team, season_end_year, wins, losses, NULL::DOUBLE AS pts
+@register("union_periods", with_ctes(OUTCOME) + """SELECT team, season_end_year, wins, losses, NULL::DOUBLE AS win_pct
   FROM outcome WHERE season_end_year <= 1998
   UNION ALL
-  SELECT team, season_end_year, wins, losses, NULL::DOUBLE AS pts FROM outcome WHERE season_end_year > 1998""")
+  SELECT team, season_end_year, wins, losses, """ + r6("CAST(wins AS DOUBLE) / NULLIF(wins + losses, 0)", "win_pct")
+          + " FROM outcome WHERE season_end_year > 1998")
 def q_union_periods(spark, sf_dir):
-    """Season frames concatenated with the union of their columns."""
+    """Season frames with drifting columns concatenated by name: the later
+    frames carry win_pct, the earlier ones do not (NULL after the union)."""
     o = dt.outcome(spark, sf_dir).select("team", "season_end_year", "wins", "losses")
     early = o.where(F.col("season_end_year") <= 1998)
-    late = o.where(F.col("season_end_year") > 1998).withColumn("pts", F.lit(None).cast("double"))
+    late = o.where(F.col("season_end_year") > 1998).withColumn("win_pct", out_round(win_pct()))
     return early.unionByName(late, allowMissingColumns=True)
 
 
