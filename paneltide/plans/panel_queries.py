@@ -211,3 +211,22 @@ def q_union_periods(spark, sf_dir):
 def q_win_pct(spark, sf_dir):
     o = dt.outcome(spark, sf_dir)
     return o.select("team", "season_end_year", out_round(win_pct()).alias("win_pct"))
+
+
+@register("trend_features_calendar", with_ctes(_GAPPY) + """, c1 AS (SELECT *,
+  avg(measure) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS prev_measure,
+  avg(measure) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS measure_3y,
+  avg(measure) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 4 PRECEDING AND CURRENT ROW) AS measure_5y
+  FROM g),
+c2 AS (SELECT *, measure_3y - avg(measure_3y) OVER (PARTITION BY entity ORDER BY period
+  RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS measure_trend FROM c1)
+SELECT entity, period, """ + ", ".join(r6(c, c) for c in ("measure", "prev_measure", "measure_3y", "measure_5y",
+                                                            "measure_trend")) + " FROM c2")
+def q_trend_features_calendar(spark, sf_dir):
+    """Trend features with calendar semantics on a panel with gaps: the
+    3/5-period means cover calendar periods (RANGE frames), previous values
+    exist only for period - 1."""
+    g = dt.gappy_panel(spark, sf_dir)
+    t = windows.trend_features(g, "entity", "period", "measure", gap="calendar")
+    cols = ["measure", "prev_measure", "measure_3y", "measure_5y", "measure_trend"]
+    return _rounded(t.select("entity", "period", *cols), cols)
