@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CANDIDATE_SCHEMA = "q_id long, t_id long, dist double, value double"
+CHUNK_ELEMENTS = 8_000_000
 
 
 def _blocks(n: int, cell_rows: int) -> int:
@@ -36,7 +37,8 @@ def _cell_topk(k: int, exclude_self: bool):
         t_ids = t["id"].to_numpy(dtype=np.int64)
         t_val = t["value"].to_numpy(dtype=np.float64)
         out_q, out_t, out_d, out_v = [], [], [], []
-        step = max(1, 4_000_000 // max(len(t_ids), 1))      # bound the distance block in memory
+        # bound the (queries x train x dim) difference block to ~64 MB of doubles
+        step = max(1, CHUNK_ELEMENTS // max(len(t_ids) * tv.shape[1], 1))
         for s in range(0, len(q_ids), step):
             diff = qv[s:s + step, None, :] - tv[None, :, :]
             d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
