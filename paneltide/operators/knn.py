@@ -83,10 +83,10 @@ def knn_regress(queries: DataFrame, train: DataFrame, k: int, q_id: str, q_vec:
     """k-NN regression: mean target of the k nearest (uniform weights);
     also the nearest id and a majority vote (ties -> smallest value)."""
     c = knn_candidates(queries, train, k, q_id, q_vec, t_id, t_vec, t_value, exclude_self, cell_rows)
-    pred = c.groupBy("q_id").agg(
+    # one aggregate over the candidates (the cogroup runs once); the vote is the
+    # most frequent neighbour value, ties to the smallest
+    return c.groupBy("q_id").agg(
         F.avg("value").alias("knn_pred"),
         F.min_by("t_id", "nn_rank").alias("nearest_id"),
-        F.count(F.lit(1)).alias("n_neighbors"))
-    votes = c.groupBy("q_id", "value").agg(F.count(F.lit(1)).alias("_v"))
-    vote = votes.groupBy("q_id").agg(F.min_by("value", F.struct(-F.col("_v"), F.col("value"))).alias("knn_vote"))
-    return pred.join(vote, "q_id")
+        F.count(F.lit(1)).alias("n_neighbors"),
+        F.mode("value", deterministic=True).alias("knn_vote"))

@@ -20,3 +20,11 @@ def test_blocked_knn_equals_brute_force(spark):
         assert abs(out[i].knn_pred - y[nn].mean()) < 1e-12
         assert out[i].nearest_id == nn[0]
         assert out[i].n_neighbors == k
+
+
+def test_vote_ties_to_smallest(spark):
+    # neighbours of id 0 at distances 1,2,3,4 with values 5,3,5,3 -> tie -> 3
+    rows = [(0, [0.0], 0), (1, [1.0], 5), (2, [2.0], 3), (3, [3.0], 5), (4, [4.0], 3)]
+    df = spark.createDataFrame(rows, "id long, v array<float>, y int")
+    r = {x.q_id: x for x in knn_regress(df, df, 4, "id", "v", "id", "v", "y", exclude_self=True).collect()}
+    assert r[0].knn_vote == 3.0 and r[0].nearest_id == 1
