@@ -17,8 +17,9 @@ Two physical strategies with the same result:
 The range path reads its input several times, so the input is first
 materialised once (reliable checkpoint in the shared folder); otherwise each
 reference would re-run the input's whole plan.  ``strategy="auto"`` (the
-default) materialises, measures the largest group on the written data and
-picks ``window`` below ``max_group_rows``.  NULL values get a NULL rank in
+default) materialises (observing the row count during the write), and when
+the total exceeds ``max_group_rows`` measures the largest group on the
+written data; ``window`` is used below ``max_group_rows``.  NULL values get a NULL rank in
 every strategy.
 """
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import default_parallelism, materialize
@@ -49,10 +50,16 @@ def rank_many(df: DataFrame, specs, by=(), strategy: str = "auto",
     by = [by] if isinstance(by, str) else list(by)
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
+    total = None
     if strategy in ("auto", "range") and materialize_input:
-        df = materialize(df)
+        # the row count is observed while the input is written: an upper
+        # bound on every group's size, for free
+        obs = Observation("rank_input")
+        df = materialize(df.observe(obs, F.count(F.lit(1)).alias("n")))
+        total = obs.get.get("n")
     if strategy == "auto":
-        strategy = "window" if _largest_group(df, by) <= max_group_rows else "range"
+        small = total is not None and total <= max_group_rows
+        strategy = "window" if small or _largest_group(df, by) <= max_group_rows else "range"
     if strategy == "window":
         for value, out, avg_out in specs:
             df = _rank_window(df, value, by, out, avg_out)
