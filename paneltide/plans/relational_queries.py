@@ -188,7 +188,7 @@ def q_set_train_periods(spark, sf_dir):
 
 # --- dimension joins ---------------------------------------------------------------------
 
-_DICT = """dict AS (SELECT n_name AS name, upper(substr(n_name, 1, 3)) AS code FROM nation
+_DICT = """dict AS (SELECT n_name AS name, upper(substr(n_name, 1, 1)) || right(n_name, 1) AS code FROM nation
   WHERE n_regionkey <> 4),
 names AS (SELECT s_suppkey, n_name AS name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey)"""
 
