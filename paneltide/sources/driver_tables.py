@@ -114,9 +114,9 @@ def gappy_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def name_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name -> code dictionary; codes are many-to-one (first letter + last
     character of the name), like a dictionary listing several old names of
-    one franchise.  It covers four of
-    the five regions, so names from the fifth are unknown to it, as newly
-    seen team names are to a hand-kept dictionary."""
+    one franchise.  It covers four of the five regions, so names from the
+    fifth are unknown to it, as newly seen team names are to a hand-kept
+    dictionary."""
     n = read_table(spark, sf_dir, "nation", ["n_name", "n_regionkey"])
     return n.where(F.col("n_regionkey") != UNCOVERED_REGION) \
         .select(F.col("n_name").alias("name"),
