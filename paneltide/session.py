@@ -77,11 +77,20 @@ def default_parallelism(spark: SparkSession) -> int:
         return os.cpu_count() or 8
 
 
-def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and continue from
-    there (reliable ``checkpoint``: lineage is cut, a lost executor re-reads
-    the files instead of recomputing the plan).  Used where a computed frame
-    is referenced more than once, which would otherwise re-run its whole
-    plan, fact scans included, once per reference."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, how: str = "table"):
+    """Write ``df`` once below the shared checkpoint folder and continue from
+    the written data.  Lineage is cut, so a lost executor re-reads files
+    instead of recomputing the plan.  Used where a computed frame is referenced
+    more than once; otherwise each reference would re-run its whole plan, fact
+    scans included.
+
+    ``how="table"`` (default) writes Parquet: later reads prune columns, push
+    filters down and give AQE real sizes.  ``how="checkpoint"`` uses a
+    reliable RDD checkpoint (row format, no pruning)."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if how == "checkpoint":
+        return df.checkpoint(eager=True)
+    path = scratch_path(spark, "stage")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
