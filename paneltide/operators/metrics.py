@@ -60,7 +60,8 @@ def spearman(df: DataFrame, truth: str, pred: str, by=(), strategy: str = "auto"
 
 def class_report(df: DataFrame, label: str, pred: str, classes: list[str]) -> DataFrame:
     """Per-class precision / recall / F1 / support plus macro and weighted
-    averages and accuracy, from one pass of conditional counts.
+    averages and accuracy.  One aggregate of conditional counts (one scan);
+    every report row is an expression over that single row, exploded once.
     Undefined precision or recall is 0 (the usual zero-division default)."""
     aggs = [F.count(F.lit(1)).alias("_n"), F.count_if(F.col(label) == F.col(pred)).alias("_ok")]
     for i, c in enumerate(classes):
@@ -68,28 +69,32 @@ def class_report(df: DataFrame, label: str, pred: str, classes: list[str]) -> Da
                  F.count_if(F.col(pred) == c).alias(f"_pp{i}"),
                  F.count_if(F.col(label) == c).alias(f"_sp{i}")]
     wide = df.agg(*aggs)
-    rows = []
-    for i, c in enumerate(classes):
-        tp, pp, sp = F.col(f"_tp{i}"), F.col(f"_pp{i}"), F.col(f"_sp{i}")
-        prec = F.coalesce(F.try_divide(tp.cast("double"), pp), F.lit(0.0))
-        rec = F.coalesce(F.try_divide(tp.cast("double"), sp), F.lit(0.0))
-        f1 = F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0))
-        rows.append(F.struct(F.lit(c).alias("cls"), prec.alias("precision"), rec.alias("recall"),
-                             f1.alias("f1"), sp.cast("long").alias("support")))
-    per = wide.select(F.explode(F.array(*rows)).alias("r"), "_n", "_ok").select("r.*", "_n", "_ok")
-    macro = per.agg(F.lit("macro avg").alias("cls"), F.avg("precision").alias("precision"),
-                    F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
-                    F.sum("support").cast("long").alias("support"))
-    wsum = F.sum("support")
-    weighted = per.agg(F.lit("weighted avg").alias("cls"),
-                       F.try_divide(F.sum(F.col("precision") * F.col("support")), wsum).alias("precision"),
-                       F.try_divide(F.sum(F.col("recall") * F.col("support")), wsum).alias("recall"),
-                       F.try_divide(F.sum(F.col("f1") * F.col("support")), wsum).alias("f1"),
-                       wsum.cast("long").alias("support"))
-    accuracy = F.try_divide(F.first("_ok").cast("double"), F.first("_n"))
-    acc = per.agg(F.lit("accuracy").alias("cls"), accuracy.alias("precision"), accuracy.alias("recall"),
-                  accuracy.alias("f1"), F.first("_n").cast("long").alias("support"))
-    return per.drop("_n", "_ok").unionByName(macro).unionByName(weighted).unionByName(acc)
+    zero = F.lit(0.0)
+    prec, rec, f1, sup = [], [], [], []
+    for i in range(len(classes)):
+        tp, pp, sp = F.col(f"_tp{i}").cast("double"), F.col(f"_pp{i}"), F.col(f"_sp{i}")
+        p_i = F.coalesce(F.try_divide(tp, pp), zero)
+        r_i = F.coalesce(F.try_divide(tp, sp), zero)
+        prec.append(p_i)
+        rec.append(r_i)
+        f1.append(F.coalesce(F.try_divide(2 * p_i * r_i, p_i + r_i), zero))
+        sup.append(sp.cast("long"))
+    k = float(len(classes))
+    total = sum(sup[1:], sup[0])
+
+    def row(name, p, r, f, n):
+        return F.struct(F.lit(name).alias("cls"), p.alias("precision"), r.alias("recall"), f.alias("f1"),
+                        n.cast("long").alias("support"))
+
+    def weighted(xs):
+        return F.try_divide(sum((x * s for x, s in zip(xs[1:], sup[1:])), xs[0] * sup[0]), total)
+
+    acc = F.try_divide(F.col("_ok").cast("double"), F.col("_n"))
+    rows = [row(c, prec[i], rec[i], f1[i], sup[i]) for i, c in enumerate(classes)]
+    rows += [row("macro avg", sum(prec[1:], prec[0]) / k, sum(rec[1:], rec[0]) / k, sum(f1[1:], f1[0]) / k, total),
+             row("weighted avg", weighted(prec), weighted(rec), weighted(f1), total),
+             row("accuracy", acc, acc, acc, F.col("_n"))]
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def confusion(df: DataFrame, label: str, pred: str, classes: list[str]) -> DataFrame:
