@@ -28,18 +28,22 @@ def contains_any_ci(c, tokens=AWARD_TOKENS) -> Column:
     return F.coalesce(hit, F.lit(False)).cast("int")
 
 
+def _lookup(mapping: dict, c) -> Column:
+    """Exact match of a normalised position, else the first token of a
+    hyphenated hybrid, looked up in a map literal (one normalisation per
+    row; a nested CASE would repeat it per branch)."""
+    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    p = F.upper(F.trim(col_(c)))
+    return F.coalesce(F.try_element_at(m, p),
+                      F.when(p.contains("-"), F.try_element_at(m, F.split_part(p, F.lit("-"), F.lit(1)))))
+
+
 def position_five(c) -> Column:
     """Trim + upper; keep one of five positions, else the first token of a
     hyphenated hybrid when that is one, else NULL."""
-    p = F.upper(F.trim(col_(c)))
-    first = F.split_part(p, F.lit("-"), F.lit(1))
-    return (F.when(p.isin(*FIVE_POSITIONS), p)
-            .when(p.contains("-") & first.isin(*FIVE_POSITIONS), first))
+    return _lookup({p: p for p in FIVE_POSITIONS}, c)
 
 
 def position_three(c) -> Column:
-    p5 = position_five(c)
-    out = None
-    for k, v in THREE_CLASS.items():
-        out = F.when(p5 == k, F.lit(v)) if out is None else out.when(p5 == k, F.lit(v))
-    return out
+    """Guard / Wing / Big from the five-way position (NULL when unmappable)."""
+    return _lookup(THREE_CLASS, c)
