@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.formulas import player_pcts, shooting_pcts, win_pct
+from ..functions.formulas import player_pcts, season_label, shooting_pcts, win_pct
 from ..functions.nulls import ne_safe, not_in, sum_or_zero
 
 # Combined multi-team row codes and the rollup measure lists.
@@ -21,6 +21,7 @@ TEAM_SUM_MEASURES = ("fg", "fga", "p3", "p3a", "p2", "p2a", "ft", "fta", "orb",
 PLAYER_SUM_MEASURES = ("g", "gs", "mp", "fg", "fga", "p3", "p3a", "p2", "p2a", "ft", "fta",
                        "orb", "drb", "trb", "ast", "stl", "blk", "tov", "pf", "pts", "trp_dbl")
 PANEL_KEYS = ("season", "season_end_year", "team")
+GROUP_KEYS = ("season_end_year", "team")   # the season label is a function of the end year
 
 
 def drop_combined(df: DataFrame, policy: str = "drop", team: str = "team") -> DataFrame:
@@ -54,9 +55,16 @@ def rollup_mixed(df: DataFrame, keys=PANEL_KEYS, measures=PLAYER_SUM_MEASURES,
     return df.where(cond).groupBy(*keys).agg(*aggs)
 
 
+def with_season_label(df: DataFrame) -> DataFrame:
+    """Add the ``YYYY-YYYY`` label once per output row (not per fact row)."""
+    t = df.withColumn("season", season_label("season_end_year"))
+    return t.select(*PANEL_KEYS, *[c for c in t.columns if c not in PANEL_KEYS])
+
+
 def team_totals(perf: DataFrame) -> DataFrame:
-    """Team-season totals without combined rows, plus shooting percentages."""
-    return rollup_sum(drop_combined(perf)).withColumns(shooting_pcts())
+    """Team-season totals without combined rows, plus shooting percentages.
+    Grouped on (period, team); the season label is derived after the aggregate."""
+    return with_season_label(rollup_sum(drop_combined(perf), keys=GROUP_KEYS)).withColumns(shooting_pcts())
 
 
 def join_outcome(totals: DataFrame, outcome: DataFrame) -> DataFrame:
@@ -78,7 +86,7 @@ def player_team_panel(perf: DataFrame, min_minutes: float = 200.0) -> DataFrame:
     """Player rows -> team-season rows (TOT dropped null-safely, minutes
     floor, sums + mean age, epsilon ratios)."""
     p = perf.where(ne_safe("team", TOTAL_CODE)).where(F.col("mp") >= min_minutes)
-    return rollup_mixed(p).withColumns(player_pcts())
+    return with_season_label(rollup_mixed(p, keys=GROUP_KEYS)).withColumns(player_pcts())
 
 
 def with_win_pct(df: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def q_trend_features_lagged(spark, sf_dir):
 @register("panel_rollup", with_ctes(PERF, TOTALS) + "SELECT season, season_end_year, team, "
           + ", ".join(r6(m, m) for m in TEAM_SUMS) + " FROM totals")
 def q_panel_rollup(spark, sf_dir):
-    t = panel.rollup_sum(panel.drop_combined(dt.perf(spark, sf_dir)))
+    t = panel.with_season_label(panel.rollup_sum(panel.drop_combined(dt.perf(spark, sf_dir)), keys=panel.GROUP_KEYS))
     return _rounded(t, panel.TEAM_SUM_MEASURES)
 
 
