@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -44,6 +46,6 @@ def audited_filter(df: DataFrame, steps: list[tuple[str, object]], name: str = "
         c = F.expr(cond) if isinstance(cond, str) else cond
         metrics.append(F.count_if(cond_so_far & ~F.coalesce(c, F.lit(False))).alias(f"dropped_{label}"))
         cond_so_far = cond_so_far & F.coalesce(c, F.lit(False))
-    obs = Observation(name)
+    obs = Observation(f"{name}_{uuid.uuid4().hex[:12]}")   # unique per call
     observed = df.observe(obs, *metrics)
     return observed.where(cond_so_far), obs

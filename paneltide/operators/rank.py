@@ -25,6 +25,7 @@ every strategy.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, Window
@@ -54,7 +55,7 @@ def rank_many(df: DataFrame, specs, by=(), strategy: str = "auto",
     if strategy in ("auto", "range") and materialize_input:
         # the row count is observed while the input is written: an upper
         # bound on every group's size, for free
-        obs = Observation("rank_input")
+        obs = Observation(f"rank_input_{uuid.uuid4().hex[:12]}")   # unique: ranks may run concurrently
         df = materialize(df.observe(obs, F.count(F.lit(1)).alias("n")))
         total = obs.get.get("n")
     if strategy == "auto":
