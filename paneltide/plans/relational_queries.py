@@ -317,15 +317,23 @@ def q_class_distribution(spark, sf_dir):
     return panel.class_distribution(p, "pos3").withColumn("share", out_round("share"))
 
 
-@register("class_weight", with_ctes(PERF) + """, lab AS (SELECT CAST(coalesce(contains(upper(awards), 'NBA')
-  OR contains(upper(awards), 'MVP'), false) AS INTEGER) AS y FROM perf WHERE coalesce(g, 0) > 0)
+@register("class_weight", with_ctes(PERF) + """, lab AS (SELECT season_end_year, CAST(coalesce(contains(upper(awards), 'NBA')
+  OR contains(upper(awards), 'MVP'), false) AS INTEGER) AS y FROM perf WHERE coalesce(g, 0) > 0),
+yrs AS (SELECT season_end_year, dense_rank() OVER (ORDER BY season_end_year DESC) AS rk
+  FROM (SELECT DISTINCT season_end_year FROM lab)),
+train AS (SELECT lab.* FROM lab JOIN yrs USING (season_end_year) WHERE rk > 3)
 SELECT """ + r6("avg(CAST(y AS DOUBLE))", "pos_rate") + ", "
           + r6("(1 - avg(CAST(y AS DOUBLE))) / avg(CAST(y AS DOUBLE))", "scale_pos_weight")
-          + ", CAST(count(*) AS BIGINT) AS n FROM lab")
+          + ", CAST(count(*) AS BIGINT) AS n FROM train")
 def q_class_weight(spark, sf_dir):
-    p = dt.perf(spark, sf_dir).where(F.coalesce(F.col("g"), F.lit(0.0)) > 0)
-    y = L.contains_any_ci("awards").cast("double")
-    r = p.agg(F.avg(y).alias("pos_rate"), F.count(F.lit(1)).alias("n"))
+    """Positive rate of the award label on the training periods (all but the
+    last three) and the neg/pos weight given to positives."""
+    p = dt.perf(spark, sf_dir).where(F.coalesce(F.col("g"), F.lit(0.0)) > 0) \
+        .select("season_end_year", L.contains_any_ci("awards").cast("double").alias("y"))
+    # reduce to one row per period first (one scan); the split works on that
+    per = p.groupBy("season_end_year").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    train, _ = splits.split_last_n(per, "season_end_year", 3)
+    r = train.agg((F.sum("pos") / F.sum("n")).alias("pos_rate"), F.sum("n").alias("n"))
     return r.select(out_round("pos_rate").alias("pos_rate"),
                     out_round(F.try_divide(F.lit(1.0) - F.col("pos_rate"), F.col("pos_rate"))).alias("scale_pos_weight"),
                     "n")
