@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 CORRUPT = "_corrupt_record"
-SEASON_PATTERN = r"(\d{4}-\d{4})"
+# A whole path segment: "2015-2016.csv", "2015-2016/" or "season=2015-2016/";
+# the greedy prefix takes the last such segment, so ids elsewhere in the path
+# (e.g. a uuid containing "1234-5678") never match.
+SEASON_PATTERN = r".*/(?:[^/=]*=)?(\d{4}-\d{4})(?:\.[A-Za-z0-9]+)?(?:/|$)"
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType, glob: str | None = "*.csv",
@@ -32,7 +35,8 @@ def require_nonempty(df: DataFrame, what: str = "input") -> DataFrame:
 
 
 def file_season(col: str = "_metadata.file_path") -> Column:
-    """Period label taken from the file's path or name (``YYYY-YYYY``)."""
+    """Period label taken from the file's name or its partition directory
+    (``YYYY-YYYY``), never from other parts of the path."""
     return F.regexp_extract(F.col(col), SEASON_PATTERN, 1)
 
 

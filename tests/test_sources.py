@@ -63,3 +63,10 @@ def test_first_table(spark):
             "<table><tr><th>B</th></tr><tr><td>2</td></tr></table>")
     rows = html.html_rows(spark.createDataFrame([(7, page)], "page_id long, html string"))
     assert [r.cells for r in html.first_table(rows).orderBy("row_no").collect()] == [["A"], ["1"]]
+
+
+def test_file_season_ignores_ids_in_the_path(spark):
+    paths = ["file:/ckpt/a36ae7e4-4916-9943-82ec/x/season=1995-1996/part-00000-1234-5678.csv",
+             "file:/data/run-1111-2222/WL/2015-2016.csv", "file:/data/run-0000-1111x/other.csv"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r.s for r in df.select(files.file_season("p").alias("s")).collect()] == ["1995-1996", "2015-2016", ""]
