@@ -138,8 +138,10 @@ def onehot_stages(cat_cols, prefix: str = "_oh"):
     vectors (index 'keep' = the dropped last slot)."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{prefix}_{c}_i", handleInvalid="keep",
                          stringOrderType="alphabetAsc") for c in cat_cols]
+    # the indexer puts unseen values at the last index; dropLast drops exactly
+    # that slot, so unseen -> all zeros and every known level keeps its slot
     enc = OneHotEncoder(inputCols=[f"{prefix}_{c}_i" for c in cat_cols],
-                        outputCols=[f"{prefix}_{c}_v" for c in cat_cols], dropLast=True, handleInvalid="keep")
+                        outputCols=[f"{prefix}_{c}_v" for c in cat_cols], dropLast=True)
     return idx + [enc], [f"{prefix}_{c}_v" for c in cat_cols]
 
 

@@ -186,9 +186,11 @@ def q_onehot(spark, sf_dir):
     stages, outs = models.onehot_stages(["pos", "team"])
     m = Pipeline(stages=stages).fit(train)
     t = m.transform(test)
+    # 1.0 for a category seen in training, 0.0 for an unseen one (all-zero vector)
     return t.select("player", "season_end_year", "pos", "team",
-                    *[F.aggregate(vector_to_array(F.col(c)), F.lit(0.0), lambda a, x: a + x).alias(f"{c}_ones")
-                      for c in outs])
+                    *[F.aggregate(vector_to_array(F.col(o)), F.lit(0.0), lambda a, x: a + x).alias(f"{c}_encoded")
+                      for c, o in zip(["pos", "team"], outs)],
+                    *[F.size(vector_to_array(F.col(o))).alias(f"{c}_width") for c, o in zip(["pos", "team"], outs)])
 
 
 # --- search -------------------------------------------------------------------------------

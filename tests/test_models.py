@@ -41,3 +41,25 @@ def test_lasso_alpha_matches_coordinate_descent(spark):
             z = xc[:, j] @ xc[:, j] / n
             w[j] = np.sign(rho) * max(abs(rho) - alpha, 0.0) / z
     assert np.allclose(_fit(spark, df, "lasso", alpha, y), w, atol=1e-3)
+
+
+def test_onehot_unseen_category_is_all_zeros(spark):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+    train = spark.createDataFrame([("PG",), ("SF",), ("C",), ("SF",)], "pos string")
+    test = spark.createDataFrame([("SF",), ("XX",)], "pos string")
+    stages, outs = models.onehot_stages(["pos"])
+    m = Pipeline(stages=stages).fit(train)
+    got = {r.pos: r.v for r in m.transform(test).select("pos", vector_to_array(F.col(outs[0])).alias("v")).collect()}
+    assert sum(got["XX"]) == 0.0 and sum(got["SF"]) == 1.0
+    assert len(got["SF"]) == 3          # every known level kept (C, PG, SF)
+
+
+def test_linear_pipeline_matches_least_squares(spark):
+    df, x, y = _data(spark, n=80, seed=11)
+    df = df.withColumnRenamed("y", "win_pct")
+    m = models.fit_regression(df, ["a", "b", "c"], "linear", scaler="standard")
+    pred = np.array([r.pred_score for r in models.predict(m, df).collect()])
+    X = np.column_stack([x, np.ones(len(y))])
+    beta = np.linalg.lstsq(X, y, rcond=None)[0]
+    assert np.allclose(pred, X @ beta, atol=1e-6)
