@@ -151,3 +151,30 @@ def select_tables(rows: DataFrame, required: list[str]) -> DataFrame:
 def first_table(rows: DataFrame) -> DataFrame:
     """Rows of each page's first table (the ``read_html(...)[0]`` choice)."""
     return rows.where((F.col("tag") == "tr") & (F.col("table_no") == 0))
+
+
+def standings_from_rows(rows: DataFrame, dictionary: DataFrame, win_col: str = "W", loss_col: str = "L",
+                        name: str = "name", code: str = "code") -> DataFrame:
+    """Win/loss table from scraped standings: tables whose header has both
+    outcome columns, first column = team name with its marker stripped,
+    name -> code through the dictionary (unmapped rows dropped), first
+    occurrence per (page, code) kept in (table, row) order, counts as int."""
+    from ..functions.nulls import try_number
+    from ..operators.joins import dim_lookup
+    from ..operators.panel import dedup_first
+    tables = select_tables(rows, [win_col, loss_col])
+    header = tables.where(F.col("row_no") == 0).select(
+        "page_id", "table_no",
+        F.array_position("cells", win_col).cast("int").alias("_wi"),
+        F.array_position("cells", loss_col).cast("int").alias("_li"))
+    body = tables.where(F.col("row_no") > 0).join(header, ["page_id", "table_no"])
+    parsed = body.select(
+        "page_id", "table_no", "row_no",
+        F.trim(F.replace(F.try_element_at("cells", F.lit(1)), F.lit("*"), F.lit(""))).alias("_name"),
+        try_number(F.try_element_at("cells", F.col("_wi")), "int").alias("wins"),
+        try_number(F.try_element_at("cells", F.col("_li")), "int").alias("losses"))
+    mapped = dim_lookup(parsed, dictionary.select(F.col(name).alias("_name"), F.col(code).alias("team")),
+                        "_name", "_name", "team").where(F.col("team").isNotNull())
+    first = dedup_first(mapped.select("page_id", "team", "table_no", "row_no", "wins", "losses"),
+                        ["page_id", "team"], ["table_no", "row_no"])
+    return first.select("page_id", "team", "wins", "losses").orderBy("page_id", "team")

@@ -70,3 +70,17 @@ def test_file_season_ignores_ids_in_the_path(spark):
              "file:/data/run-1111-2222/WL/2015-2016.csv", "file:/data/run-0000-1111x/other.csv"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert [r.s for r in df.select(files.file_season("p").alias("s")).collect()] == ["1995-1996", "2015-2016", ""]
+
+
+def test_standings_from_rows(spark):
+    page = ("<table><tr><th>Eastern</th><th>W</th><th>L</th></tr>"
+            "<tr><td>Boston Celtics*</td><td>60</td><td>22</td></tr>"
+            "<tr><td>Unknown Club</td><td>10</td><td>72</td></tr></table>"
+            "<table><tr><th>Team</th><th>Pts</th></tr><tr><td>Boston Celtics</td><td>9</td></tr></table>"
+            "<table><tr><th>Division</th><th>L</th><th>W</th></tr>"
+            "<tr><td>Boston Celtics</td><td>21</td><td>61</td></tr>"
+            "<tr><td>Miami Heat</td><td>30</td><td>52</td></tr></table>")
+    rows = html.html_rows(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    d = spark.createDataFrame([("Boston Celtics", "BOS"), ("Miami Heat", "MIA")], "name string, code string")
+    out = [(r.team, r.wins, r.losses) for r in html.standings_from_rows(rows, d).collect()]
+    assert out == [("BOS", 60, 22), ("MIA", 52, 30)]
