@@ -39,6 +39,7 @@ RANK_COLS = ["exact", "within1", "within2", "overall"]
           + ", ".join(r6(c, c) for c in ["exact", "within1", "within2"]) + ", "
           + r6("0.7 * within1 + 0.3 * exact", "overall") + ", hits_within1, n FROM m")
 def q_rank_metrics(spark, sf_dir):
+    """Per-period exact / within-1 / within-2 rank accuracy and weighted overall score."""
     ranked = metrics.with_ranks(eval_frame(spark, sf_dir), "win_pct", "prev_win_pct", by="season_end_year")
     m = metrics.rank_metrics(ranked, by="season_end_year")
     return m.withColumns({c: out_round(c) for c in RANK_COLS})
@@ -49,6 +50,7 @@ def q_rank_metrics(spark, sf_dir):
           + r6("avg(0.7 * within1 + 0.3 * exact)", "overall")
           + ", CAST(count(*) AS BIGINT) AS n_periods FROM m")
 def q_rank_metrics_avg(spark, sf_dir):
+    """Mean of the per-period rank metrics."""
     ranked = metrics.with_ranks(eval_frame(spark, sf_dir), "win_pct", "prev_win_pct", by="season_end_year")
     m = metrics.rank_metrics(ranked, by="season_end_year")
     return m.agg(*[out_round(F.avg(c)).alias(c) for c in RANK_COLS], F.count(F.lit(1)).alias("n_periods"))
@@ -82,6 +84,7 @@ SELECT season_end_year, """ + r6("avg(abs(win_pct - prev_win_pct))", "mae") + ",
           + ", " + r6("corr(win_pct, prev_win_pct)", "pearson") + """, CAST(count(*) AS INTEGER) AS n
 FROM e GROUP BY season_end_year""")
 def q_reg_metrics(spark, sf_dir):
+    """Per-period MAE, RMSE, R2 (1 - SSE/SST) and Pearson correlation."""
     m = metrics.reg_metrics(eval_frame(spark, sf_dir), "win_pct", "prev_win_pct", by="season_end_year")
     return m.withColumns({c: out_round(c) for c in REG_COLS})
 
@@ -94,6 +97,7 @@ a AS (SELECT season_end_year,
     + (count(*) OVER (PARTITION BY season_end_year, prev_win_pct) - 1) / 2.0 AS pa FROM e)
 SELECT season_end_year, """ + r6("corr(ta, pa)", "spearman") + ", CAST(count(*) AS INTEGER) AS n FROM a GROUP BY season_end_year")
 def q_spearman(spark, sf_dir):
+    """Per-period Spearman correlation from average ranks."""
     s = metrics.spearman(eval_frame(spark, sf_dir), "win_pct", "prev_win_pct", by="season_end_year")
     return s.withColumn("spearman", out_round("spearman"))
 
@@ -126,6 +130,7 @@ SELECT cls, """ + ", ".join(r6(c, c) for c in ("precision", "recall", "f1")) + "
 
 @register("class_report", _cls_oracle())
 def q_class_report(spark, sf_dir):
+    """Per-class precision / recall / F1 / support, macro and weighted averages, accuracy."""
     r = metrics.class_report(classification_frame(spark, sf_dir), "label", "pred", CLASSES)
     return r.withColumns({c: out_round(c) for c in ("precision", "recall", "f1")})
 
@@ -134,6 +139,7 @@ def q_class_report(spark, sf_dir):
     f"CAST(count(*) FILTER (WHERE pred = '{c}') AS BIGINT) AS pred_{c}" for c in CLASSES)
           + " FROM cls GROUP BY label")
 def q_confusion(spark, sf_dir):
+    """Confusion matrix with zero cells."""
     return metrics.confusion(classification_frame(spark, sf_dir), "label", "pred", CLASSES)
 
 
@@ -151,6 +157,7 @@ _FF_SQL = """(fg + 0.5 * p3) / (fga + 1e-8) AS efg_factor,
 @register("efficiency", with_ctes(PERF, OUTCOME, TEAM_SEASON) + """, x AS (SELECT season_end_year, team, """
           + _EFF_SQL + " FROM team_season) SELECT season_end_year, team, " + ", ".join(r6(c, c) for c in EFF) + " FROM x")
 def q_efficiency(spark, sf_dir):
+    """True shooting, effective FG and assist/turnover per team-season."""
     t = panel.team_totals(dt.perf(spark, sf_dir)).withColumns(efficiency())
     return t.select("season_end_year", "team", *[out_round(c).alias(c) for c in EFF])
 
@@ -158,6 +165,7 @@ def q_efficiency(spark, sf_dir):
 @register("four_factors", with_ctes(PERF, OUTCOME, TEAM_SEASON) + """, x AS (SELECT season_end_year, team, """
           + _FF_SQL + " FROM team_season) SELECT season_end_year, team, " + ", ".join(r6(c, c) for c in FF) + " FROM x")
 def q_four_factors(spark, sf_dir):
+    """The four factors per team-season."""
     t = panel.team_totals(dt.perf(spark, sf_dir)).withColumns(four_factors())
     return t.select("season_end_year", "team", *[out_round(c).alias(c) for c in FF])
 
@@ -177,6 +185,7 @@ def _per36_sql():
 
 @register("per36", _per36_sql())
 def q_per36(spark, sf_dir):
+    """Per-36-minute rates, shot mix and usage per player row."""
     p = dt.perf(spark, sf_dir).withColumns(per36())
     return p.select("player", "season_end_year", "team", *[out_round(c).alias(c) for c in P36])
 
@@ -218,6 +227,7 @@ SELECT season_end_year, team, """ + ", ".join(r6(c, c) for c in FM_COLS) + " FRO
 
 @register("feature_matrix", _fm_sql())
 def q_feature_matrix(spark, sf_dir):
+    """The whole-table team feature builder (efficiency, four factors, rolling box, trend)."""
     f = feature_matrix(spark, sf_dir)
     return f.select("season_end_year", "team", *[out_round(c).alias(c) for c in FM_COLS])
 
@@ -243,6 +253,7 @@ imp AS (SELECT team, season_end_year, is_holdout, """ + ", ".join(
 @register("impute_train_mean", with_ctes(OUTCOME, TREND_INCL, _SPLIT) + "SELECT team, season_end_year, is_holdout, "
           + ", ".join(r6(c, c) for c in FEATS) + " FROM imp")
 def q_impute_train_mean(spark, sf_dir):
+    """Trend features with NULLs filled by training-period means."""
     allf, train = _split_trends(spark, sf_dir)
     out = scaling.apply_fill(allf, scaling.fit_means(train, FEATS))
     return out.select("team", "season_end_year", "is_holdout", *[out_round(c).alias(c) for c in FEATS])
@@ -268,14 +279,17 @@ def _scaled(spark, sf_dir, kind):
 
 @register("scale_standard", _scaled_sql("avg({c})", "stddev_pop({c})", "moments"))
 def q_scale_standard(spark, sf_dir):
+    """Mean imputation then standard scaling fitted on training periods (population std)."""
     return _scaled(spark, sf_dir, "standard")
 
 
 @register("scale_robust", _scaled_sql("", "", "quantile"))
 def q_scale_robust(spark, sf_dir):
+    """Mean imputation then median / IQR scaling fitted on training periods."""
     return _scaled(spark, sf_dir, "robust")
 
 
 @register("scale_minmax", _scaled_sql("min({c})", "max({c}) - min({c})", "moments"))
 def q_scale_minmax(spark, sf_dir):
+    """Mean imputation then min-max scaling fitted on training periods (constant -> 0)."""
     return _scaled(spark, sf_dir, "minmax")

@@ -63,6 +63,7 @@ def q_src_csv_roundtrip(spark, sf_dir):
 
 @register("src_file_provenance")
 def q_src_file_provenance(spark, sf_dir):
+    """Rows with the season taken from each file's partition directory."""
     path = _written_outcome_csv(spark, sf_dir)
     df = files.read_csv(spark, path, OUTCOME_CSV_SCHEMA, recursive=True)
     return df.select("team", "wins", "losses", files.file_season().alias("season"),
@@ -127,6 +128,7 @@ def q_sink_partitioned(spark, sf_dir):
 
 @register("search_best_json")
 def q_search_best_json(spark, sf_dir):
+    """The best run as one JSON document with alphabetical fields."""
     from ..ml.search import best_config_json, best_run
     return best_config_json(best_run(dt.search_log(spark, sf_dir)))
 
@@ -136,6 +138,7 @@ def q_search_best_json(spark, sf_dir):
 
 @register("html_rows")
 def q_html_rows(spark, sf_dir):
+    """Text blocks and table rows of every stored page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
     return html.html_rows(pages)
 

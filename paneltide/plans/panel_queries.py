@@ -65,12 +65,14 @@ register("flagship", FLAGSHIP_SQL)(flagship)
 
 @register("trend_features", with_ctes(OUTCOME, TREND_INCL) + _trend_select())
 def q_trend_features(spark, sf_dir):
+    """Previous win share, 3/5-period rolling means (current row included) and trend per team."""
     t = outcome_trends(spark, sf_dir, "inclusive")
     return _rounded(t.select("team", "season_end_year", "wins", "losses", *TREND_COLS), TREND_COLS)
 
 
 @register("trend_features_lagged", with_ctes(OUTCOME, TREND_LAG) + _trend_select())
 def q_trend_features_lagged(spark, sf_dir):
+    """The same features from strictly earlier periods only (no target leakage)."""
     t = outcome_trends(spark, sf_dir, "lagged")
     return _rounded(t.select("team", "season_end_year", "wins", "losses", *TREND_COLS), TREND_COLS)
 
@@ -80,6 +82,7 @@ def q_trend_features_lagged(spark, sf_dir):
 @register("panel_rollup", with_ctes(PERF, TOTALS) + "SELECT season, season_end_year, team, "
           + ", ".join(r6(m, m) for m in TEAM_SUMS) + " FROM totals")
 def q_panel_rollup(spark, sf_dir):
+    """Team-season totals of the 18 counting measures, combined rows dropped (partial aggregation)."""
     t = panel.with_season_label(panel.rollup_sum(panel.drop_combined(dt.perf(spark, sf_dir)), keys=panel.GROUP_KEYS))
     return _rounded(t, panel.TEAM_SUM_MEASURES)
 
@@ -90,6 +93,7 @@ PCTS = ["fg_pct", "p3_pct", "p2_pct", "ft_pct", "efg_pct"]
 @register("shooting_pcts", with_ctes(PERF, OUTCOME, TEAM_SEASON)
           + "SELECT season_end_year, team, " + ", ".join(r6(c, c) for c in PCTS) + " FROM team_season")
 def q_shooting_pcts(spark, sf_dir):
+    """Team-season FG%, 3P%, 2P%, FT% and eFG% from summed totals (0 when undefined)."""
     t = panel.team_totals(dt.perf(spark, sf_dir))
     return _rounded(t.select("season_end_year", "team", *PCTS), PCTS)
 
@@ -98,6 +102,7 @@ def q_shooting_pcts(spark, sf_dir):
           + "SELECT season, season_end_year, team, " + r6("pts", "pts") + ", " + r6("fga", "fga")
           + ", " + ", ".join(r6(c, c) for c in PCTS) + ", wins, losses FROM team_season")
 def q_join_left_outcome(spark, sf_dir):
+    """Team-season totals left-joined to outcomes; unmatched team codes keep NULL wins/losses."""
     t = panel.team_season(dt.perf(spark, sf_dir), dt.outcome(spark, sf_dir))
     return _rounded(t.select("season", "season_end_year", "team", "pts", "fga", *PCTS, "wins", "losses"),
                     ["pts", "fga", *PCTS])
@@ -124,6 +129,7 @@ _MIXED_SQL = with_ctes(PERF_AGE, """mixed AS (
 
 @register("panel_rollup_mixed", _MIXED_SQL)
 def q_panel_rollup_mixed(spark, sf_dir):
+    """Player rows to team-season rows: TOT dropped null-safely, minutes floor, sums + mean age, epsilon ratios."""
     t = panel.player_team_panel(dt.perf(spark, sf_dir, with_age=True))
     return _rounded(t.select("season", "season_end_year", "team", *MIXED, "age", *PLAYER_PCTS),
                     (*MIXED, "age", *PLAYER_PCTS))
@@ -141,6 +147,7 @@ _GAPPY = """g AS (SELECT o_custkey AS entity, CAST(year(o_orderdate) AS INTEGER)
            "prev_measure_cal") + """,
   lag(period) OVER (PARTITION BY entity ORDER BY period) AS prev_period_row FROM g""")
 def q_lag_calendar(spark, sf_dir):
+    """Row lag and calendar lag side by side on a panel with gaps."""
     g = windows.lag_calendar(dt.gappy_panel(spark, sf_dir), "entity", "period", "measure")
     return _rounded(g, ["measure", "prev_measure_row", "prev_measure_cal"])
 
@@ -152,6 +159,7 @@ BOX = ("pts", "ast", "trb", "stl", "blk")
     r6(f"avg({m}) OVER (PARTITION BY team ORDER BY season_end_year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
        f"{m}_3y") for m in BOX) + " FROM team_season")
 def q_rolling_box(spark, sf_dir):
+    """3-period rolling means of five box measures in one window projection."""
     t = windows.rolling_box(panel.team_totals(dt.perf(spark, sf_dir)), BOX)
     return _rounded(t.select("season_end_year", "team", *[f"{m}_3y" for m in BOX]), [f"{m}_3y" for m in BOX])
 
@@ -172,6 +180,7 @@ t AS (SELECT *, win_pct_3y - lag(win_pct_3y) OVER (PARTITION BY is_holdout, team
 
 @register("trend_features_split", "WITH " + _SPLIT_TREND + "\n" + _trend_select(", is_holdout"))
 def q_trend_features_split(spark, sf_dir):
+    """Trend features windowed inside each split (train / last-two-period holdout)."""
     from ..operators.splits import flag_last_n
     o = flag_last_n(dt.outcome(spark, sf_dir), "season_end_year", 2).withColumn("win_pct", win_pct())
     t = windows.trend_features(o, "team", "season_end_year", "win_pct", split_col="is_holdout")
@@ -186,6 +195,7 @@ def q_trend_features_split(spark, sf_dir):
   CAST(split_part(season, '-', 1) AS INTEGER) + 1 = season_end_year AS consistent
   FROM outcome""")
 def q_season_label(spark, sf_dir):
+    """Season label from the end year and back (start and end years)."""
     o = dt.outcome(spark, sf_dir)
     return o.select("team", season_label("season_end_year").alias("season"),
                     season_start("season").alias("start_year"), season_end("season").alias("end_year"),
@@ -209,6 +219,7 @@ def q_union_periods(spark, sf_dir):
 @register("win_pct", with_ctes(OUTCOME) + "SELECT team, season_end_year, "
           + r6("CAST(wins AS DOUBLE) / NULLIF(wins + losses, 0)", "win_pct") + " FROM outcome")
 def q_win_pct(spark, sf_dir):
+    """Win share W / (W + L), NULL without games."""
     o = dt.outcome(spark, sf_dir)
     return o.select("team", "season_end_year", out_round(win_pct()).alias("win_pct"))
 

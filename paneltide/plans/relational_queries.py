@@ -17,12 +17,14 @@ from .registry import register
 
 @register("proj_select", with_ctes(PERF) + "SELECT season, team, player, pts, fga FROM perf")
 def q_proj_select(spark, sf_dir):
+    """Column subset, then a dropped column."""
     return dt.perf(spark, sf_dir).select("season", "team", "player", "pts", "fga", "fta").drop("fta")
 
 
 @register("proj_rename", with_ctes(OUTCOME) + """SELECT team AS team_abbr, wins AS w, losses AS l,
   season AS season_label FROM outcome""")
 def q_proj_rename(spark, sf_dir):
+    """Rename one column, then all columns positionally."""
     o = dt.outcome(spark, sf_dir).select("team", "wins", "losses", "season")
     return o.withColumnRenamed("team", "team_abbr").toDF("team_abbr", "w", "l", "season_label")
 
@@ -30,6 +32,7 @@ def q_proj_rename(spark, sf_dir):
 @register("proj_reorder", with_ctes(PERF, OUTCOME, TEAM_SEASON) + """SELECT season, season_end_year, team,
   """ + r6("pts", "pts") + ", " + r6("ast", "ast") + ", wins, losses FROM team_season")
 def q_proj_reorder(spark, sf_dir):
+    """Key columns moved to the front."""
     t = panel.team_season(dt.perf(spark, sf_dir), dt.outcome(spark, sf_dir))
     t = t.select("wins", "losses", "pts", "ast", "team", "season_end_year", "season")
     keys = ["season", "season_end_year", "team"]
@@ -52,6 +55,7 @@ SELECT m.season, m.season_end_year, m.team, """ + r6("m.pts", "pts") + ", " + r6
 FROM mixed m JOIN team_season t ON m.season = t.season AND m.season_end_year = t.season_end_year
   AND m.team = t.team""")
 def q_join_prefixed(spark, sf_dir):
+    """Player-derived team rows inner-joined to team rows on three keys, right side prefixed t_."""
     players = panel.player_team_panel(dt.perf(spark, sf_dir, with_age=True))
     teams = panel.team_season(dt.perf(spark, sf_dir), dt.outcome(spark, sf_dir))
     j = joins.join_prefixed(players.select("season", "season_end_year", "team", "pts", "fga", "age"),
@@ -73,6 +77,7 @@ def q_join_prefixed(spark, sf_dir):
   TRY_CAST(trim(split_part(p_type, ' ', 1)) AS INTEGER) AS type_head
 FROM part""")
 def q_clean_coerce(spark, sf_dir):
+    """Text to numbers with try_cast: bad values become NULL, never an error."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     return p.select("p_partkey",
                     try_number(F.split_part("p_brand", F.lit("#"), F.lit(2)), "int").alias("brand_no"),
@@ -85,6 +90,7 @@ def q_clean_coerce(spark, sf_dir):
   trim(upper(n_name)) AS nation_upper
 FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey""")
 def q_clean_text(spark, sf_dir):
+    """Trim, upper-case and strip a literal marker from names."""
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey")
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     j = s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"], "left")   # 25-row dimension
@@ -110,6 +116,7 @@ def q_clean_inf(spark, sf_dir):
 @register("clean_fill", with_ctes(PERF) + """SELECT player, season, team, coalesce(awards, '') AS awards,
   coalesce(CASE WHEN fta = 0 THEN NULL ELSE ft / fta END, 0.0) AS ft_pct FROM perf""")
 def q_clean_fill(spark, sf_dir):
+    """Constant fills for missing text and undefined ratios."""
     p = dt.perf(spark, sf_dir).select("player", "season", "team", "awards",
                                       F.try_divide("ft", "fta").alias("ft_pct"))
     return p.na.fill({"awards": "", "ft_pct": 0.0})
@@ -121,6 +128,7 @@ def q_clean_fill(spark, sf_dir):
 @register("filter_not_in", with_ctes(PERF) + """SELECT player, season_end_year, team, pts FROM perf
   WHERE coalesce(team NOT IN ('2TM', '3TM', '4TM', '5TM'), true)""")
 def q_filter_not_in(spark, sf_dir):
+    """Combined multi-team rows removed; rows with a NULL team are kept."""
     return panel.drop_combined(dt.perf(spark, sf_dir)).select("player", "season_end_year", "team", "pts")
 
 
@@ -144,6 +152,7 @@ def q_filter_audit(spark, sf_dir):
 @register("filter_dropna", with_ctes(PERF, OUTCOME, TEAM_SEASON) + """SELECT season_end_year, team, wins, losses
   FROM team_season WHERE wins IS NOT NULL AND losses IS NOT NULL""")
 def q_filter_dropna(spark, sf_dir):
+    """Rows without outcome dropped."""
     t = panel.team_season(dt.perf(spark, sf_dir), dt.outcome(spark, sf_dir))
     return t.na.drop(subset=["wins", "losses"]).select("season_end_year", "team", "wins", "losses")
 
@@ -155,6 +164,7 @@ _LAST2 = """yrs AS (SELECT season_end_year, dense_rank() OVER (ORDER BY season_e
 @register("split_last_n", with_ctes(OUTCOME, _LAST2) + """SELECT o.team, o.season_end_year, (y.rk <= 2) AS is_holdout
   FROM outcome o JOIN yrs y USING (season_end_year)""")
 def q_split_last_n(spark, sf_dir):
+    """Holdout flag for the last two periods (distinct periods broadcast into a flag join)."""
     o = dt.outcome(spark, sf_dir)
     return splits.flag_last_n(o, "season_end_year", 2).select("team", "season_end_year", "is_holdout")
 
@@ -162,6 +172,7 @@ def q_split_last_n(spark, sf_dir):
 @register("split_threshold", with_ctes(PERF) + """SELECT season_end_year <= 1999 AS is_train, season_end_year,
   CAST(count(*) AS BIGINT) AS n FROM perf GROUP BY 1, 2""")
 def q_split_threshold(spark, sf_dir):
+    """Row counts of a fixed-year train / test split per period."""
     p = dt.perf(spark, sf_dir)
     train, test = splits.split_threshold(p, "season_end_year", 1999)
     tr = train.groupBy("season_end_year").agg(F.count(F.lit(1)).alias("n")).withColumn("is_train", F.lit(True))
@@ -174,6 +185,7 @@ def q_split_threshold(spark, sf_dir):
 SELECT team, season_end_year, season_end_year > (SELECT max(season_end_year) FROM train) - 3 AS is_recent
 FROM train""")
 def q_split_recent(spark, sf_dir):
+    """In-sample validation mask: last three training periods."""
     train, _ = splits.split_last_n(dt.outcome(spark, sf_dir), "season_end_year", 2)
     return splits.recent_mask(train, "season_end_year", 3).select("team", "season_end_year", "is_recent")
 
@@ -181,6 +193,7 @@ def q_split_recent(spark, sf_dir):
 @register("set_train_periods", with_ctes(OUTCOME, _LAST2) + """SELECT DISTINCT season_end_year FROM outcome
   EXCEPT SELECT season_end_year FROM yrs WHERE rk <= 2""")
 def q_set_train_periods(spark, sf_dir):
+    """Training periods = all periods minus the holdout periods."""
     o = dt.outcome(spark, sf_dir)
     periods = o.select("season_end_year").distinct()
     return periods.subtract(splits.last_n_periods(o, "season_end_year", 2))
@@ -196,6 +209,7 @@ names AS (SELECT s_suppkey, n_name AS name FROM supplier LEFT JOIN nation ON s_n
 @register("dim_lookup", with_ctes(_DICT) + """SELECT s_suppkey, names.name, dict.code,
   dict.code IS NOT NULL AS mapped FROM names LEFT JOIN dict ON names.name = dict.name""")
 def q_dim_lookup(spark, sf_dir):
+    """Name to code through a dictionary (left join, unmatched -> NULL)."""
     names = dt.supplier_names(spark, sf_dir)
     d = dt.name_dictionary(spark, sf_dir)
     out = joins.dim_lookup(names, d, "name", "name", "code")
@@ -205,6 +219,7 @@ def q_dim_lookup(spark, sf_dir):
 @register("dim_unknown", with_ctes(_DICT) + """SELECT DISTINCT names.name FROM names
   WHERE names.name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dict WHERE dict.name = names.name)""")
 def q_dim_unknown(spark, sf_dir):
+    """Distinct names the dictionary does not know, sorted."""
     return joins.unknown_keys(dt.supplier_names(spark, sf_dir), dt.name_dictionary(spark, sf_dir), "name", "name")
 
 
@@ -213,6 +228,7 @@ def q_dim_unknown(spark, sf_dir):
 ranked AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY s_suppkey) AS rn FROM looked)
 SELECT code, s_suppkey FROM ranked WHERE rn = 1""")
 def q_dedup_first(spark, sf_dir):
+    """First supplier per code in an explicit order (keep-first deduplication)."""
     looked = joins.dim_lookup(dt.supplier_names(spark, sf_dir), dt.name_dictionary(spark, sf_dir),
                               "name", "name", "code").select("s_suppkey", "code")
     return panel.dedup_first(looked, "code", ["s_suppkey"]).select("code", "s_suppkey")
@@ -230,6 +246,7 @@ def _players(spark, sf_dir):
 @register("age_curve_total", with_ctes(PERF_AGE, _AGE_BASE) + """SELECT age, """ + r6("sum(pts)", "pts")
           + " FROM players WHERE age IS NOT NULL AND pts IS NOT NULL GROUP BY age")
 def q_age_curve_total(spark, sf_dir):
+    """Total points by age."""
     c = panel.curve(_players(spark, sf_dir), "age", "pts", "sum", out="pts")
     return c.withColumn("pts", out_round("pts")).orderBy("age")
 
@@ -237,6 +254,7 @@ def q_age_curve_total(spark, sf_dir):
 @register("age_curve_avg", with_ctes(PERF_AGE, _AGE_BASE) + """SELECT age, """ + r6("avg(pts)", "pts")
           + " FROM players WHERE age IS NOT NULL AND pts IS NOT NULL GROUP BY age")
 def q_age_curve_avg(spark, sf_dir):
+    """Average points by age."""
     c = panel.curve(_players(spark, sf_dir), "age", "pts", "avg", out="pts")
     return c.withColumn("pts", out_round("pts")).orderBy("age")
 
@@ -245,6 +263,7 @@ def q_age_curve_avg(spark, sf_dir):
           + r6("avg(CASE WHEN g = 0 THEN NULL ELSE pts / g END)", "pts_per_game")
           + " FROM players WHERE age IS NOT NULL AND pts IS NOT NULL GROUP BY age")
 def q_age_curve_rate(spark, sf_dir):
+    """Average points per game by age (mean of row ratios)."""
     c = panel.curve(_players(spark, sf_dir), "age", "pts", "rate", out="pts_per_game", rate_den="g")
     return c.withColumn("pts_per_game", out_round("pts_per_game")).orderBy("age")
 
@@ -274,6 +293,7 @@ def q_experience_curve(spark, sf_dir):
 @register("label_contains", with_ctes(PERF) + """SELECT player, season, team,
   CAST(coalesce(contains(upper(awards), 'AS'), false) AS INTEGER) AS is_all_star FROM perf""")
 def q_label_contains(spark, sf_dir):
+    """Star label: awards text contains AS, case-insensitive."""
     p = dt.perf(spark, sf_dir)
     return p.select("player", "season", "team", L.contains_ci("awards", "AS").alias("is_all_star"))
 
@@ -282,6 +302,7 @@ def q_label_contains(spark, sf_dir):
   CAST(coalesce(contains(upper(awards), 'NBA') OR contains(upper(awards), 'MVP'), false) AS INTEGER) AS is_award
 FROM perf""")
 def q_label_any_of(spark, sf_dir):
+    """Award label: awards text contains NBA or MVP."""
     p = dt.perf(spark, sf_dir)
     return p.select("player", "season", "team", L.contains_any_ci("awards").alias("is_award"))
 
@@ -296,6 +317,7 @@ pos3 AS (SELECT *, CASE pos5 WHEN 'PG' THEN 'Guard' WHEN 'SG' THEN 'Guard' WHEN
 
 @register("position_map", with_ctes(PERF, _POS) + "SELECT player, season, team, pos, pos5, pos3 FROM pos3")
 def q_position_map(spark, sf_dir):
+    """Five-way and three-way position labels from raw position text."""
     p = dt.perf(spark, sf_dir)
     return p.select("player", "season", "team", "pos", L.position_five("pos").alias("pos5"),
                     L.position_three("pos").alias("pos3"))
@@ -304,6 +326,7 @@ def q_position_map(spark, sf_dir):
 @register("label_encode", with_ctes(PERF, _POS) + """SELECT player, season, team, pos3,
   CAST(dense_rank() OVER (ORDER BY pos3) - 1 AS DOUBLE) AS pos_idx FROM pos3 WHERE pos3 IS NOT NULL""")
 def q_label_encode(spark, sf_dir):
+    """Alphabetical label encoding of the three-way position."""
     p = dt.perf(spark, sf_dir).select("player", "season", "team", L.position_three("pos").alias("pos3"))
     p = p.where(F.col("pos3").isNotNull())
     model = StringIndexer(inputCol="pos3", outputCol="pos_idx", stringOrderType="alphabetAsc").fit(p)
@@ -313,6 +336,7 @@ def q_label_encode(spark, sf_dir):
 @register("class_distribution", with_ctes(PERF, _POS) + """SELECT pos3, CAST(count(*) AS BIGINT) AS n,
   """ + r6("count(*) / sum(count(*)) OVER ()", "share") + " FROM pos3 WHERE pos3 IS NOT NULL GROUP BY pos3")
 def q_class_distribution(spark, sf_dir):
+    """Class counts and shares of the three-way position."""
     p = dt.perf(spark, sf_dir).select(L.position_three("pos").alias("pos3")).where(F.col("pos3").isNotNull())
     return panel.class_distribution(p, "pos3").withColumn("share", out_round("share"))
 
@@ -359,6 +383,7 @@ SELECT (SELECT majority FROM maj) AS majority, CAST(count(*) AS BIGINT) AS n_tes
   """ + r6("avg(CAST(label = (SELECT majority FROM maj) AS DOUBLE))", "accuracy") + """
 FROM cls WHERE season_end_year > 1999""")
 def q_majority_baseline(spark, sf_dir):
+    """Accuracy on test periods of always predicting the training majority class."""
     from ..operators.metrics import majority_baseline_split
     c = classification_frame(spark, sf_dir).withColumn("is_train", F.col("season_end_year") <= 1999)
     r = majority_baseline_split(c, "label", "is_train")
@@ -382,6 +407,7 @@ hist AS (SELECT *, 0.7 * test_within1 + 0.3 * test_exact AS test_overall FROM lo
           + r6("test_exact", "test_exact") + ", " + r6("test_within1", "test_within1")
           + " FROM hist WHERE test_exact > 0.4")
 def q_search_filtered(spark, sf_dir):
+    """History runs with exact-rank accuracy above 0.4, overall score dropped."""
     from ..ml.search import filter_history
     h = filter_history(dt.search_log(spark, sf_dir))
     return h.withColumns({c: out_round(c) for c in ("test_exact", "test_within1")})
@@ -390,6 +416,7 @@ def q_search_filtered(spark, sf_dir):
 @register("search_top10", with_ctes(_LOG) + """SELECT iteration, feature_groups, model_type, """
           + r6("test_overall", "test_overall") + " FROM hist ORDER BY test_overall DESC, iteration LIMIT 10")
 def q_search_top10(spark, sf_dir):
+    """Ten best runs by overall score, earlier iteration first on ties."""
     from ..ml.search import top_k
     t = top_k(dt.search_log(spark, sf_dir), 10)
     return t.select("iteration", "feature_groups", "model_type", out_round("test_overall").alias("test_overall"))
@@ -398,6 +425,7 @@ def q_search_top10(spark, sf_dir):
 @register("search_best", with_ctes(_LOG) + "SELECT iteration, " + r6("test_overall", "test_overall")
           + " FROM hist ORDER BY test_overall DESC, iteration LIMIT 1")
 def q_search_best(spark, sf_dir):
+    """The first run reaching the best overall score."""
     from ..ml.search import best_run
     b = best_run(dt.search_log(spark, sf_dir))
     return b.select("iteration", out_round("test_overall").alias("test_overall"))
@@ -409,6 +437,7 @@ SELECT group_set, model_type, CAST(count(*) AS BIGINT) AS n_runs, """ + r6("avg(
           + r6("avg(test_within1)", "avg_within1") + ", " + r6("max(test_overall)", "best_overall") + """
 FROM canon GROUP BY GROUPING SETS ((group_set), (model_type))""")
 def q_search_summary(spark, sf_dir):
+    """Runs, mean exact / within-1 and best overall by canonical group set and by model type."""
     from ..ml.search import summarize_history
     s = summarize_history(dt.search_log(spark, sf_dir))
     return s.withColumns({c: out_round(c) for c in ("avg_exact", "avg_within1", "best_overall")})
@@ -427,6 +456,7 @@ SELECT iteration, CAST(count(DISTINCT c) AS INTEGER) AS n_features,
   array_to_string(list_sort(list_distinct(list(c))), ',') AS feature_cols
 FROM cols GROUP BY iteration""")
 def q_feature_union(spark, sf_dir):
+    """Sorted distinct union of the feature groups' columns per run."""
     from ..ml.feature_groups import feature_union
     h = dt.search_log(spark, sf_dir)
     u = h.select("iteration", feature_union(F.col("feature_groups")).alias("_cols"))
