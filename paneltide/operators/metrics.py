@@ -14,10 +14,12 @@ from ..functions.formulas import overall_score
 from .rank import rank_many
 
 
-def with_ranks(df: DataFrame, truth: str, pred: str, by=(), strategy: str = "auto") -> DataFrame:
+def with_ranks(df: DataFrame, truth: str, pred: str, by=(), strategy: str = "auto",
+               materialize_input: bool = True) -> DataFrame:
     """true_rank / pred_rank (min rank, descending) and their difference;
     both ranks come from one distributed rank pass."""
-    r = rank_many(df, [(truth, "true_rank", None), (pred, "pred_rank", None)], by, strategy)
+    r = rank_many(df, [(truth, "true_rank", None), (pred, "pred_rank", None)], by, strategy,
+                  materialize_input=materialize_input)
     return r.withColumn("rank_diff", F.col("pred_rank") - F.col("true_rank"))
 
 
@@ -50,10 +52,12 @@ def reg_metrics(df: DataFrame, truth: str, pred: str, by=()) -> DataFrame:
     return out.withColumn("r2", F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst"))).drop("_sse", "_sst")
 
 
-def spearman(df: DataFrame, truth: str, pred: str, by=(), strategy: str = "auto") -> DataFrame:
+def spearman(df: DataFrame, truth: str, pred: str, by=(), strategy: str = "auto",
+             materialize_input: bool = True) -> DataFrame:
     """Spearman = Pearson over average ranks (ties share the mean rank)."""
     by = [by] if isinstance(by, str) else list(by)
-    r = rank_many(df, [(truth, "_tr", "_tra"), (pred, "_pr", "_pra")], by, strategy)
+    r = rank_many(df, [(truth, "_tr", "_tra"), (pred, "_pr", "_pra")], by, strategy,
+                  materialize_input=materialize_input)
     g = r.groupBy(*by) if by else r.groupBy()
     return g.agg(F.corr("_tra", "_pra").alias("spearman"), F.count(F.lit(1)).cast("int").alias("n"))
 

@@ -48,3 +48,20 @@ def test_rank_accuracy_ordering(spark, rows):
         assert 0.0 <= r.exact <= r.within1 <= r.within2 <= 1.0
     for r in ranked.collect():
         assert r.true_rank >= 1 and r.pred_rank >= 1
+
+
+@SETTINGS
+@given(st.lists(st.integers(0, 10).map(lambda v: v / 10.0), min_size=1, max_size=12))
+def test_lagged_frame_is_inclusive_shifted_by_one_row(spark, values):
+    from paneltide.operators import windows
+    rows = [("A", 2000 + i, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "team string, season_end_year int, win_pct double")
+    inc = {r.season_end_year: r for r in windows.trend_features(df, frame="inclusive").collect()}
+    lag = {r.season_end_year: r for r in windows.trend_features(df, frame="lagged").collect()}
+    for y in inc:
+        prev = inc.get(y - 1)
+        for c in ("win_pct_3y", "win_pct_5y"):
+            if prev is None:
+                assert lag[y][c] is None
+            else:
+                assert abs(lag[y][c] - prev[c]) < 1e-12
