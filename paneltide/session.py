@@ -94,3 +94,27 @@ def materialize(df, how: str = "table"):
     path = scratch_path(spark, "stage")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def scale_conf(input_bytes: int, executors: int, cores_per_executor: int,
+               target_partition_bytes: int = 256 << 20) -> dict:
+    """Shuffle and scan sizing for a cluster run.
+
+    The initial shuffle partition count is large enough that each
+    partition of the biggest shuffle holds about ``target_partition_bytes``
+    (and at least two waves of tasks); AQE then coalesces small partitions
+    and splits skewed ones at run time.  Scan splits of 512 MB keep the task
+    count of a 100 TB scan around 200 000.  Broadcasts stay capped at 64 MB."""
+    slots = max(1, executors * cores_per_executor)
+    partitions = max(2 * slots, -(-int(input_bytes) // int(target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(512 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }

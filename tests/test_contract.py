@@ -58,3 +58,11 @@ def test_dedup_first_explicit_order(spark):
                                "code string, table_no int, row_no int, wins int")
     out = {r.code: r.wins for r in panel.dedup_first(df, "code", ["table_no", "row_no"]).collect()}
     assert out == {"X": 30, "Y": 40}
+
+
+def test_scale_conf_sizes_partitions():
+    from paneltide.session import scale_conf
+    c = scale_conf(100 * (1 << 40), executors=1000, cores_per_executor=8)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (256 << 20)   # 409600
+    small = scale_conf(1 << 30, executors=10, cores_per_executor=4)
+    assert int(small["spark.sql.shuffle.partitions"]) == 80                             # two waves of 40 slots
