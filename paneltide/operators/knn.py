@@ -45,10 +45,13 @@ def _cell_topk(k: int, exclude_self: bool):
             if exclude_self:
                 d[q_ids[s:s + step, None] == t_ids[None, :]] = np.inf
             kk = min(k, d.shape[1])
+            # k-th smallest distance per query; every candidate at or below it
+            # (ties at the boundary included) is then ordered by (distance, id)
+            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
             for i in range(d.shape[0]):
                 row = d[i]
-                # order by (distance, train id); keep k finite candidates
-                order = np.lexsort((t_ids, row))[:kk]
+                cand = np.nonzero(row <= kth[i])[0]
+                order = cand[np.lexsort((t_ids[cand], row[cand]))][:kk]
                 order = order[np.isfinite(row[order])]
                 out_q.append(np.full(len(order), q_ids[s + i], dtype=np.int64))
                 out_t.append(t_ids[order])
