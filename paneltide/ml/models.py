@@ -166,7 +166,8 @@ def classifier_pipeline(num_cols, cat_cols=(), kind: str = "gbt", params: dict |
         if weight_col:
             est = est.setWeightCol(weight_col)
     elif kind == "ovr_gbt":
-        est = OneVsRest(classifier=GBTClassifier(subsamplingRate=float(p.get("subsample", 1.0)), **gbt),
+        est = OneVsRest(classifier=GBTClassifier(subsamplingRate=float(p.get("subsample", 1.0)),
+                                                 featureSubsetStrategy=str(p.get("colsample", "all")), **gbt),
                         labelCol=label, featuresCol="features", parallelism=max(2, n_classes))
     elif kind == "rf":
         est = RandomForestClassifier(labelCol=label, numTrees=int(p.get("n_estimators", 100)),

@@ -24,7 +24,7 @@ BEST_SHIPPED = ("gb", {"n_estimators": 200, "learning_rate": 0.01, "max_depth":
 BEST_SHIPPED_GROUPS = ["basic_box", "basic_eff", "four_factors", "full_box", "rolling_box", "trend"]
 STAR_MODEL = {"n_estimators": 400, "learning_rate": 0.05, "max_depth": 3}
 AWARD_MODEL = {"n_estimators": 400, "learning_rate": 0.05, "max_depth": 5, "subsample": 0.8, "colsample": "0.8"}
-POSITION_MODEL = {"n_estimators": 600, "learning_rate": 0.1, "max_depth": 4, "subsample": 0.9}
+POSITION_MODEL = {"n_estimators": 600, "learning_rate": 0.1, "max_depth": 4, "subsample": 0.9, "colsample": "0.9"}
 STAR_NUMERIC = ["age", "g", "gs", "mp", "fg", "fga", "fg_pct", "p3", "p3a", "p3_pct", "p2", "p2a", "p2_pct",
                 "efg_pct", "ft", "fta", "ft_pct", "orb", "drb", "trb", "ast", "stl", "blk", "tov", "pf", "pts",
                 "trp_dbl"]
