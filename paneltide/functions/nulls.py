@@ -94,11 +94,11 @@ def add_missing_columns(df: DataFrame, cols: Iterable[str], value=None, dtype: s
 def out_round(c, digits: int = 6) -> Column:
     """Presentation rounding used by registered queries: fixed digits, half
     away from zero, no -0.0.  Plain arithmetic (``round`` on doubles goes
-    through BigDecimal and costs ~10x the whole query on wide outputs); for
-    magnitudes where the scaled value loses integer precision it falls back
-    to ``round``."""
+    through BigDecimal and costs ~10x the whole query on wide outputs).  Same
+    arithmetic as SQL engines that compute round(x * 10^d) / 10^d: at
+    magnitudes where x * 10^d is already an integer it is returned as is."""
     x = col_(c)
     m = float(10 ** digits)
-    fast = F.signum(x) * F.floor(F.abs(x) * F.lit(m) + F.lit(0.5)) / F.lit(m)
-    exact_limit = 2.0 ** 52 / m
-    return F.when(F.abs(x) < F.lit(exact_limit), fast).otherwise(F.round(x, digits)) + F.lit(0.0)
+    scaled = F.abs(x) * F.lit(m)
+    fast = F.signum(x) * F.floor(scaled + F.lit(0.5)) / F.lit(m)
+    return F.when(scaled < F.lit(2.0 ** 52), fast).otherwise(x * F.lit(m) / F.lit(m)) + F.lit(0.0)
