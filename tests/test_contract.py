@@ -66,3 +66,16 @@ def test_scale_conf_sizes_partitions():
     assert int(c["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (256 << 20)   # 409600
     small = scale_conf(1 << 30, executors=10, cores_per_executor=4)
     assert int(small["spark.sql.shuffle.partitions"]) == 80                             # two waves of 40 slots
+
+
+def test_out_round_matches_duckdb_round(spark):
+    import duckdb
+    from paneltide.functions.nulls import out_round
+    vals = [0.0078125, -0.0078125, 2.5e-7, -2.5e-7, 1.0000005, 0.1 + 0.2, -0.0, 123456789.1234565,
+            4.5e9 + 0.123, 9.9e15, -3.3e17, 1e-12, None]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r.r for r in df.select(out_round("v").alias("r")).collect()]
+    con = duckdb.connect()
+    exp = [con.execute("SELECT round(CAST(? AS DOUBLE), 6) + 0.0", [v]).fetchone()[0] if v is not None else None
+           for v in vals]
+    assert got == exp
