@@ -79,3 +79,25 @@ def test_out_round_matches_duckdb_round(spark):
     exp = [con.execute("SELECT round(CAST(? AS DOUBLE), 6) + 0.0", [v]).fetchone()[0] if v is not None else None
            for v in vals]
     assert got == exp
+
+
+def test_bounded_broadcast_only_below_the_bound(spark):
+    import contextlib
+    import io
+
+    from paneltide.operators.joins import bounded_broadcast
+
+    def plan(df):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        return buf.getvalue()
+
+    big = spark.range(100).withColumnRenamed("id", "k")
+    small = spark.range(3).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan(big.join(bounded_broadcast(small, 5), "k"))
+        assert "BroadcastHashJoin" not in plan(big.join(bounded_broadcast(small, 2), "k"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
