@@ -101,3 +101,19 @@ def test_bounded_broadcast_only_below_the_bound(spark):
         assert "BroadcastHashJoin" not in plan(big.join(bounded_broadcast(small, 2), "k"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_out_round_matches_duckdb_on_random_values(spark):
+    import duckdb
+    import numpy as np
+
+    from paneltide.functions.nulls import out_round
+    rng = np.random.default_rng(0)
+    vals = np.concatenate([rng.normal(size=1000), rng.normal(size=1000) * 1e6, rng.normal(size=500) * 1e11,
+                           np.round(rng.normal(size=500), 7), rng.integers(0, 1000, 500) / 128.0])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "i int, v double")
+    got = {r.i: r.r for r in df.select("i", out_round("v").alias("r")).collect()}
+    con = duckdb.connect()
+    con.register("t", df.toPandas())
+    exp = dict(con.execute("SELECT i, round(v, 6) + 0.0 FROM t").fetchall())
+    assert got == exp
