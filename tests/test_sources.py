@@ -84,3 +84,18 @@ def test_standings_from_rows(spark):
     d = spark.createDataFrame([("Boston Celtics", "BOS"), ("Miami Heat", "MIA")], "name string, code string")
     out = [(r.team, r.wins, r.losses) for r in html.standings_from_rows(rows, d).collect()]
     assert out == [("BOS", 60, 22), ("MIA", 52, 30)]
+
+
+def test_write_sorted_by_period(spark, tmpdir_path):
+    import glob
+
+    from paneltide.sinks.writers import write_sorted_by_period
+    rows = [("2001-2002", t, r) for t, r in (("A", 3), ("B", 1), ("C", 2))] + \
+           [("2002-2003", t, r) for t, r in (("A", 2), ("B", 3), ("C", 1))]
+    df = spark.createDataFrame(rows, "season string, team string, pred_rank int").repartition(3)
+    out = os.path.join(tmpdir_path, "pred")
+    write_sorted_by_period(df, out, "season", ["pred_rank"])
+    for season, order in (("2001-2002", ["B", "C", "A"]), ("2002-2003", ["C", "A", "B"])):
+        files = sorted(glob.glob(os.path.join(out, f"season={season}", "*.csv")))
+        lines = [ln.split(",") for f in files for ln in open(f).read().splitlines()[1:]]
+        assert [ln[0] for ln in lines] == order
