@@ -117,3 +117,26 @@ def test_out_round_matches_duckdb_on_random_values(spark):
     con.register("t", df.toPandas())
     exp = dict(con.execute("SELECT i, round(v, 6) + 0.0 FROM t").fetchall())
     assert got == exp
+
+
+def test_materialize_modes_cut_lineage(spark):
+    import contextlib
+    import io
+
+    from pyspark.sql import functions as F
+
+    from paneltide.session import ensure_checkpoint_dir, materialize
+
+    def plan(df):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        return buf.getvalue()
+
+    src = spark.range(50).withColumn("g", F.col("id") % 3).groupBy("g").agg(F.sum("id").alias("s"))
+    t = materialize(src)
+    c = materialize(src, how="checkpoint")
+    assert sorted(map(tuple, t.collect())) == sorted(map(tuple, c.collect())) == sorted(map(tuple, src.collect()))
+    root = ensure_checkpoint_dir(spark).replace("file:", "")
+    assert "Scan parquet" in plan(t) and root in plan(t) and "Range" not in plan(t)
+    assert "ExistingRDD" in plan(c) and "Range" not in plan(c)
