@@ -14,6 +14,14 @@ from ..functions.formulas import overall_score
 from .rank import rank_many
 
 
+def pearson(x, y) -> F.Column:
+    """Pearson correlation as cov / (sd * sd) with ``try_divide``: a group
+    with one row or a constant column gives NULL instead of an ANSI
+    divide-by-zero error (``corr`` raises there)."""
+    x, y = F.col(x) if isinstance(x, str) else x, F.col(y) if isinstance(y, str) else y
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def with_ranks(df: DataFrame, truth: str, pred: str, by=(), strategy: str = "auto",
                materialize_input: bool = True) -> DataFrame:
     """true_rank / pred_rank (min rank, descending) and their difference;
@@ -47,7 +55,7 @@ def reg_metrics(df: DataFrame, truth: str, pred: str, by=()) -> DataFrame:
         F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"),
         F.sum((y - p) * (y - p)).alias("_sse"),
         (F.var_pop(y) * F.count(y)).alias("_sst"),
-        F.corr(y, p).alias("pearson"),
+        pearson(y, p).alias("pearson"),
         F.count(F.lit(1)).cast("int").alias("n"))
     return out.withColumn("r2", F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst"))).drop("_sse", "_sst")
 
@@ -59,7 +67,7 @@ def spearman(df: DataFrame, truth: str, pred: str, by=(), strategy: str = "auto"
     r = rank_many(df, [(truth, "_tr", "_tra"), (pred, "_pr", "_pra")], by, strategy,
                   materialize_input=materialize_input)
     g = r.groupBy(*by) if by else r.groupBy()
-    return g.agg(F.corr("_tra", "_pra").alias("spearman"), F.count(F.lit(1)).cast("int").alias("n"))
+    return g.agg(pearson("_tra", "_pra").alias("spearman"), F.count(F.lit(1)).cast("int").alias("n"))
 
 
 def class_report(df: DataFrame, label: str, pred: str, classes: list[str]) -> DataFrame:

@@ -65,3 +65,30 @@ def test_lagged_frame_is_inclusive_shifted_by_one_row(spark, values):
                 assert lag[y][c] is None
             else:
                 assert abs(lag[y][c] - prev[c]) < 1e-12
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 3), st.integers(0, 3)),
+                min_size=1, max_size=30, unique_by=lambda r: (r[1], r[2])))
+def test_dedup_first_equals_pandas_keep_first(spark, rows):
+    data = [(k, t, r, i) for i, (k, t, r) in enumerate(rows)]
+    df = spark.createDataFrame(data, "k string, t int, r int, v int")
+    got = {x.k: x.v for x in panel.dedup_first(df, "k", ["t", "r"]).collect()}
+    pdf = pd.DataFrame(data, columns=["k", "t", "r", "v"]).sort_values(["t", "r"])
+    exp = dict(pdf.drop_duplicates(subset=["k"], keep="first")[["k", "v"]].itertuples(index=False))
+    assert got == exp
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 5).map(float), st.integers(0, 5).map(float)),
+                min_size=6, max_size=40))
+def test_spearman_range_equals_pandas(spark, rows):
+    df = spark.createDataFrame(rows, "g int, t double, p double")
+    got = {r.g: r.spearman for r in metrics.spearman(df, "t", "p", by="g", strategy="range").collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "t", "p"])
+    for g, part in pdf.groupby("g"):
+        e = part["t"].rank().corr(part["p"].rank())        # Spearman = Pearson of average ranks
+        if pd.isna(e):
+            assert got[g] is None or got[g] != got[g]
+        else:
+            assert abs(got[g] - e) < 1e-9
