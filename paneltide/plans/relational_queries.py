@@ -281,9 +281,11 @@ def q_experience_curve(spark, sf_dir):
     per experience bucket.  Equal to joining experience back onto every row
     and aggregating the rows."""
     per_player = panel.experience_totals(panel.drop_combined(dt.perf(spark, sf_dir)))
+    # rows with missing points are skipped (dropna), so players with none count nowhere
+    per_player = per_player.where(F.col("n_pts") > 0)
     c = per_player.groupBy("seasons_played").agg(F.sum("pts").alias("pts"), F.sum("n_pts").alias("n_rows"))
     return c.select("seasons_played", out_round("pts", 2).alias("pts"),
-                    out_round(F.col("pts") / F.col("n_rows")).alias("pts_avg"),
+                    out_round(F.try_divide(F.col("pts"), F.col("n_rows"))).alias("pts_avg"),
                     F.col("n_rows").cast("long").alias("n_rows")).orderBy("seasons_played")
 
 
@@ -357,7 +359,7 @@ def q_class_weight(spark, sf_dir):
     # reduce to one row per period first (one scan); the split works on that
     per = p.groupBy("season_end_year").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
     train, _ = splits.split_last_n(per, "season_end_year", 3)
-    r = train.agg((F.sum("pos") / F.sum("n")).alias("pos_rate"), F.sum("n").alias("n"))
+    r = train.agg(F.try_divide(F.sum("pos"), F.sum("n")).alias("pos_rate"), F.sum("n").alias("n"))
     return r.select(out_round("pos_rate").alias("pos_rate"),
                     out_round(F.try_divide(F.lit(1.0) - F.col("pos_rate"), F.col("pos_rate"))).alias("scale_pos_weight"),
                     "n")
