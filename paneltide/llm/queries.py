@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paneltide.sources.tables import read_table
 
-from . import nra_topk, prefix_chat, rank_bpe
+from . import nra_topk, prefix_chat, rank_bpe, simhash_bk
 
 #: file of the public vocabulary; any path the driver can read
 WORD_BPE = "word_bpe_49k.json"
@@ -18,6 +18,11 @@ def vocabulary_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash component of every document (3-word shingles, 2 bits)."""
+    return simhash_bk.components(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), radius=2, k=3)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded text of every document, as digests."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
@@ -39,7 +44,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_chat.read_back(prefix_chat.examples(rows.unionByName(more)), in_order=True)
 
 
-QUERIES = {"op8_bpe": op8_bpe, "op9_topk": op9_topk, "op10_chat": op10_chat}
+QUERIES = {"op1_simhash": op1_simhash, "op8_bpe": op8_bpe, "op9_topk": op9_topk, "op10_chat": op10_chat}
 
 ORACLES = {
     "op9_topk": """
