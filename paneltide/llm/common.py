@@ -117,17 +117,17 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, have, power, mult = np.zeros(n, np.uint64), 0, words, GRAM_MULT
-    size, left, scale = 1, k, np.uint64(1)
+    out, have, power, mult = np.zeros(n, np.uint64), 0, words, int(GRAM_MULT)
+    size, left, scale = 1, k, 1
     while left:
         if left & 1:
-            out += power[have:have + n] * scale
+            out += power[have:have + n] * np.uint64(scale)
             have += size
-            scale = scale * mult
+            scale = scale * mult % 2**64
         left >>= 1
         if left:
-            power = power[:-size] + power[size:] * mult
-            mult = mult * mult
+            power = power[:-size] + power[size:] * np.uint64(mult)
+            mult = mult * mult % 2**64
             size *= 2
     return mix(out)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paneltide.sources.tables import read_table
 
-from . import nra_topk, prefix_chat, rank_bpe, simhash_bk
+from . import kn_langid, license_diagonal, nra_topk, prefix_chat, rank_bpe, simhash_bk
 
 #: file of the public vocabulary; any path the driver can read
 WORD_BPE = "word_bpe_49k.json"
@@ -23,6 +23,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.components(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), radius=2, k=3)
 
 
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return license_diagonal.scan(docs).withColumn("spans", F.col("spans").cast("string"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the documents outside fold 0."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    return kn_langid.identify(docs, ["doc_id"]).select("doc_id", "held_out", "lang_pred", "score", "rejected", "entropy", "chars")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded text of every document, as digests."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
@@ -44,7 +56,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_chat.read_back(prefix_chat.examples(rows.unionByName(more)), in_order=True)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op8_bpe": op8_bpe, "op9_topk": op9_topk, "op10_chat": op10_chat}
+QUERIES = {"op1_simhash": op1_simhash, "op3_license": op3_license, "op5_langid": op5_langid,
+           "op8_bpe": op8_bpe, "op9_topk": op9_topk, "op10_chat": op10_chat}
 
 ORACLES = {
     "op9_topk": """
