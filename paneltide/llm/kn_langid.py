@@ -7,7 +7,8 @@ arrays (n-gram key -> log probability, context key -> back-off weight) read with
 binary search; a key packs four 16-bit characters.  The language of lowest
 cross-entropy per character wins.
 
-Rejection is calibrated: the models learn from the labelled folds other than
+Rejection is calibrated, on the cross-entropy with the best language of each word
+(a document that quotes another known language is not foreign): the models learn from the labelled folds other than
 ``CALIBRATION``, whose documents then tell how far a document's cross-entropy strays from
 its language's mean.  The deviation is standardised by the document's length, and a
 document is rejected beyond ``SLACK`` times the largest deviation seen there.
@@ -53,8 +54,8 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys of all 4-grams, row of each, letters per row).  Three pad symbols stand
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of all 4-grams, row of each, letters per row, place of each word's first gram).  Three pad symbols stand
     between rows, so a gram depends on its own row alone."""
     low = [(t or "").lower() for t in texts]
     code = np.frombuffer(("\0\0\0" + "\0\0\0".join(low) + "\0\0\0").encode("utf-32-le"), np.uint32)
@@ -74,7 +75,8 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     s16, s32, s48 = np.uint64(16), np.uint64(32), np.uint64(48)
     key = symbol[:-3] << s48 | symbol[1:-2] << s32 | symbol[2:-1] << s16 | symbol[3:]
     ends = (symbol[3:] != 0) | (symbol[2:-1] != 0)  # a character, or the first pad after the last one
-    return key[ends], row[3:][ends], found
+    head = np.concatenate(([True], (symbol[3:-1] == 32) | (row[3:-1] != row[4:])))[ends[:len(key)]] if len(key) else ends
+    return key[ends], row[3:][ends], found, np.flatnonzero(head)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +93,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             langs = part.column("lang").to_pylist()
             texts = part.column("text").to_pylist()
             for lang in set(langs):
-                key, _, _ = grams([t for t, x in zip(texts, langs) if x == lang])
+                key, _, _, _ = grams([t for t, x in zip(texts, langs) if x == lang])
                 code, distinct = pd.factorize(key)
                 now = pd.Series(np.bincount(code, minlength=len(distinct)), index=distinct)
                 held[lang] = held[lang].add(now, fill_value=0) if lang in held else now
@@ -176,15 +178,22 @@ def train(docs: DataFrame) -> dict[str, KneserNey]:
     return models
 
 
-def _score(texts: list[str | None], models: dict[str, KneserNey]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cross-entropy by row and language, characters, letters) of each row."""
-    key, row, letters = grams(texts)
+def _score(texts: list[str | None], models: dict[str, KneserNey]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cross-entropy by row and language, cross-entropy with the best language of
+    each word, characters, letters) of each row."""
+    key, row, letters, head = grams(texts)
     code, distinct = pd.factorize(key)
     n = np.bincount(row, minlength=len(texts))
-    ce = np.empty((len(texts), len(models)))
+    word_row = row[head]
+    ce, best = np.zeros((len(texts), len(models))), None
     for j, m in enumerate(models.values()):
-        ce[:, j] = -np.bincount(row, m.log_prob(distinct)[code], minlength=len(texts)) / np.maximum(n, 1)
-    return ce, n, letters
+        if not len(key):
+            break
+        word = np.add.reduceat(m.log_prob(distinct)[code], head)
+        best = word if best is None else np.maximum(best, word)
+        ce[:, j] = -np.bincount(word_row, word, minlength=len(texts)) / np.maximum(n, 1)
+    mixed = np.zeros(len(texts)) if best is None else -np.bincount(word_row, best, minlength=len(texts)) / np.maximum(n, 1)
+    return ce, mixed, n, letters
 
 
 SCORED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
@@ -192,7 +201,8 @@ SCORED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField
 
 
 def scored(docs: DataFrame, models: dict[str, KneserNey], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and lang_pred, score, entropy (per character), chars, letters."""
+    """The columns ``keep`` and lang_pred, score, entropy (per character,
+    with the best language of each word), chars, letters."""
     box = docs.sparkSession.sparkContext.broadcast(models)
     names = [f.name for f in SCORED]
     keep = [c for c in keep if c not in names]
@@ -205,18 +215,18 @@ def scored(docs: DataFrame, models: dict[str, KneserNey], keep: list[str]) -> Da
             for part in slices(batch):
                 texts = part.column("text").to_pylist()
                 if models:
-                    ce, n, letters = _score(texts, models)
+                    ce, mixed, n, letters = _score(texts, models)
                     best = ce.argmin(axis=1)
                     low = ce[np.arange(len(best)), best]
                     odds = np.exp(-(ce - low[:, None]) * np.minimum(n, SURE_CHARS)[:, None])
                     sure = 1 / odds.sum(axis=1)
                 else:
                     n = letters = np.array([sum(map(str.isalpha, t or "")) for t in texts])
-                    best, low, sure = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n))
+                    best, mixed, sure = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n))
                 blank = letters == 0
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array(np.where(blank, UNKNOWN, langs[best])), pa.array(np.where(blank, 0.0, sure)),
-                     pa.array(low), pa.array(n.astype(np.int64)), pa.array(letters.astype(np.int64))], [*keep, *names])
+                     pa.array(mixed), pa.array(n.astype(np.int64)), pa.array(letters.astype(np.int64))], [*keep, *names])
 
     need = list(dict.fromkeys([*keep, "text"]))
     return docs.select(*need).mapInArrow(run, schema)
