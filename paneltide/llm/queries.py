@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paneltide.sources.tables import read_table
 
-from . import kn_langid, license_diagonal, nra_topk, prefix_chat, rank_bpe, simhash_bk
+from . import kn_langid, license_diagonal, nra_topk, prefix_chat, rank_bpe, simhash_bk, template_decon
 
 #: file of the public vocabulary; any path the driver can read
 WORD_BPE = "word_bpe_49k.json"
@@ -23,6 +23,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.components(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), radius=2, k=3)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents leak: one row per document and item."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return template_decon.leaks(docs, read_table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices of every document."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
@@ -56,7 +62,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_chat.read_back(prefix_chat.examples(rows.unionByName(more)), in_order=True)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_license": op3_license, "op5_langid": op5_langid,
+QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_license": op3_license, "op5_langid": op5_langid,
            "op8_bpe": op8_bpe, "op9_topk": op9_topk, "op10_chat": op10_chat}
 
 ORACLES = {
