@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paneltide.sources.tables import read_table
 
-from . import kn_langid, license_diagonal, nra_topk, prefix_chat, rank_bpe, secret_ownership, simhash_bk, template_decon
+from . import kn_langid, license_diagonal, nra_topk, pii_boost, prefix_chat, rank_bpe, secret_ownership, simhash_bk, template_decon
 
 #: file of the public vocabulary; any path the driver can read
 WORD_BPE = "word_bpe_49k.json"
@@ -41,6 +41,11 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn_langid.identify(docs, ["doc_id"]).select("doc_id", "held_out", "lang_pred", "score", "rejected", "entropy", "chars")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii_boost.scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; a document is a repository, its source the owner."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
@@ -69,7 +74,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_license": op3_license, "op5_langid": op5_langid,
-           "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_topk": op9_topk, "op10_chat": op10_chat}
+           "op6_pii": op6_pii, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_topk": op9_topk, "op10_chat": op10_chat}
 
 ORACLES = {
     "op9_topk": """
