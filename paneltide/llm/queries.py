@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paneltide.sources.tables import read_table
 
-from . import kn_langid, license_diagonal, nra_topk, pii_boost, prefix_chat, rank_bpe, secret_ownership, simhash_bk, template_decon
+from . import automaton_dedup, kn_langid, license_diagonal, nra_topk, pii_boost, prefix_chat, rank_bpe, secret_ownership, simhash_bk, template_decon
 
 #: file of the public vocabulary; any path the driver can read
 WORD_BPE = "word_bpe_49k.json"
@@ -35,6 +35,13 @@ def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_diagonal.scan(docs).withColumn("spans", F.col("spans").cast("string"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 50-word passages that a document of smaller id holds."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return automaton_dedup.dedup(docs, keep=["doc_id"]).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the documents outside fold 0."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
@@ -73,10 +80,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_chat.read_back(prefix_chat.examples(rows.unionByName(more)), in_order=True)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_license": op3_license, "op5_langid": op5_langid,
+QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_license": op3_license, "op4_substrings": op4_substrings, "op5_langid": op5_langid,
            "op6_pii": op6_pii, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_topk": op9_topk, "op10_chat": op10_chat}
 
 ORACLES = {
+    "op4_substrings": r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+  FROM windows JOIN firsts USING (h) WHERE first < doc_id),
+gone AS (SELECT doc_id, list(p) AS ps FROM covered GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id)""",
     "op9_topk": """
 WITH usable AS (
   SELECT vec_id, min(embedding) AS embedding FROM embeddings
