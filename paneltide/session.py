@@ -3,14 +3,15 @@
 On a cluster the session is created by the platform; ``configure`` only sets
 options that are still at their defaults.  Scratch data (checkpoints, written
 intermediate tables, stream checkpoints) always lives under the shared folder
-named by ``spark.checkpoint.dir``; a private folder is chosen only when the
-session has none (tests, laptops).
+named by ``spark.checkpoint.dir``; on one machine without that setting it is a
+folder of the warehouse.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -47,22 +48,61 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, choosing a private one only if unset."""
+    """The shared folder of the session: ``spark.checkpoint.dir``; where that is unset
+    on a single machine, a folder in the warehouse.  A cluster without the
+    setting and with a warehouse on local disks is an error: executors could not see
+    each other's files."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="paneltide-ckpt-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not sc.master.startswith("local[") and sc.master != "local" and warehouse.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = f"{warehouse.rstrip('/')}/_scratch"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
+# staged tables of this process that nothing has deleted yet, innermost scope last
+_STAGED: list[list[str]] = [[]]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique location below the shared checkpoint folder."""
+    """A fresh, unique location below the shared folder."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/paneltide/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/paneltide/{name}-{uuid.uuid4().hex[:12]}"
+    if len(_STAGED) == 1 and not _STAGED[0]:
+        atexit.register(_drop_at_exit, spark)
+    _STAGED[-1].append(path)
+    return path
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables through Spark's own file systems."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    try:
+        drop_paths(spark, [p for scope in _STAGED for p in scope])
+    except Exception:  # the JVM may be gone; the folder is the session's own
+        pass
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Tables staged inside are deleted at the end, when their result has been written."""
+    _STAGED.append([])
+    try:
+        yield
+    finally:
+        drop_paths(spark, _STAGED.pop())
 
 
 def local_path(path: str) -> str:
