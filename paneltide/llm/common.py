@@ -3,11 +3,13 @@ batch, vectorised word spans and word hashes over UTF-8 bytes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: bytes of text handled at once inside a task; a longer document is one slice
 SLICE_BYTES = 2 << 20
@@ -140,3 +142,12 @@ def within_rows(first: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, bool)
     end = np.repeat(first[1:], np.diff(first))[:n]  # the row's end for each word
     return np.arange(n) + k <= end
+
+
+def sheltered(docs: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(``docs`` with every column but the needed ones under a neutral name, a function
+    that brings the names and their order back), so that no further column of the input
+    clashes with a working column."""
+    inner = {c: c if c in needed else f"_col{i}_" for i, c in enumerate(docs.columns)}
+    hidden = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items()))
+    return hidden, lambda out: out.select(*(F.col(n).alias(c) for c, n in inner.items()))

@@ -20,7 +20,8 @@ Edge cases: null text or text without a letter is ``und`` with score 0 and is
 rejected; very long texts are scored whole; equal cross-entropies go to the
 alphabetically first language; repeated rows count as often as they stand; without
 labelled rows, or on an empty table, there is no model: every row is ``und`` with
-score 0 and only texts without a letter are rejected; further columns are kept.
+score 0 and only texts without a letter are rejected; :func:`keep_known` keeps further
+columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 
 from paneltide.session import materialize
 
-from .common import slices
+from .common import sheltered, slices
 
 FOLDS, CALIBRATION = 5, 1
 MAX_GRAMS = 500_000
@@ -255,3 +256,9 @@ def identify(docs: DataFrame, keep: list[str], key: str = "doc_id") -> DataFrame
         rejected = rejected | F.coalesce(stray > F.lit(SLACK * max(limit, 1e-9)), F.lit(False))
     out = scored(docs, models, keep)
     return out.withColumn("rejected", rejected).withColumn("held_out", F.coalesce(fold(key) == 0, F.lit(True)))
+
+
+def keep_known(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows that language identification rejects."""
+    inner, restored = sheltered(docs, [key, "text", "lang"])
+    return restored(identify(inner, inner.columns, key).where(~F.col("rejected")))

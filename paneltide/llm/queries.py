@@ -62,7 +62,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded text of every document, as digests."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    return rank_bpe.digests(rank_bpe.encode_decode(docs, vocabulary_path()))
+    return rank_bpe.encode_decode(docs, vocabulary_path()).select("doc_id", *rank_bpe.digest_columns())
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

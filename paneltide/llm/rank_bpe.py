@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,12 +217,11 @@ def encode_decode(docs: DataFrame, vocab_path: str, text: str = "text") -> DataF
     return docs.select(*kept).mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Token count and digests of the ids and the decoded text."""
+def digest_columns() -> list[Column]:
+    """n_tokens, ids_sha256, decoded_sha256 of the columns ids and decoded."""
     as_text = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return encoded.select(
-        key,
+    return [
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(as_text.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    ]

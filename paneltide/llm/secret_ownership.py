@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from paneltide.session import materialize
 
+from .common import sheltered
 from .native_spans import span_text, with_spans
 
 #: a value held by more owners than this is a copied example
@@ -103,15 +104,15 @@ def scan(docs: DataFrame, key: str = "doc_id", repo: str = "doc_id", owner: str
 def redact(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> DataFrame:
     """``docs`` with every owner-specific, live-looking value replaced by ``MASK``;
     copied examples stay.  ``n_chars``, if there, follows the text that changed."""
-    found = materialize(findings(docs, docs.columns))
+    inner, restored = sheltered(docs, [repo, owner, "text", "n_chars"])
+    found = materialize(findings(inner, inner.columns))
     hit = found.where(F.size("found") > 0).join(judged(found, repo, owner), "_row", "left")
     values = F.array_distinct(F.transform(F.filter("found", lambda s: F.array_contains("live", F.xxhash64(s["value"]))), lambda s: s["value"]))
     longest_first = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.col("live").isNull(), F.col("text")).otherwise(
-        F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK))))
-    hit = hit.withColumn("_new", text)
+    hit = hit.withColumn("_new", F.when(F.col("live").isNull(), F.col("text")).otherwise(
+        F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK)))))
     if "n_chars" in docs.columns:
         n = docs.schema["n_chars"].dataType
         hit = hit.withColumn("n_chars", F.when(F.col("live").isNotNull(), F.length("_new").cast(n)).otherwise(F.col("n_chars")))
     hit = hit.withColumn("text", F.col("_new"))
-    return found.where(F.size("found") == 0).select(*docs.columns).unionByName(hit.select(*docs.columns))
+    return restored(found.where(F.size("found") == 0).select(*inner.columns).unionByName(hit.select(*inner.columns)))

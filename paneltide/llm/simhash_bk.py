@@ -41,6 +41,8 @@ from pyspark.sql import types as T
 
 from paneltide.session import materialize
 
+from .common import sheltered
+
 #: members of a shard above which it is cut a second time
 SHARD = 2048
 #: (query, node) pairs followed at once while trees are searched
@@ -273,11 +275,9 @@ def components(docs: DataFrame, radius: int = 2, k: int = 3, key: str = "doc_id"
 def keep_first(docs: DataFrame, radius: int = 2, k: int = 3, key: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest key (nulls
     last); of rows that share it, one."""
+    inner, restored = sheltered(docs, [key, "text"])
     row = "_row"
-    while row in docs.columns:
-        row += "_"
-    staged = materialize(with_fingerprint(docs.withColumn(row, F.monotonically_increasing_id())
-                                          .withColumnRenamed("fp", "fp_before"), k=k))
+    staged = materialize(with_fingerprint(inner.withColumn(row, F.monotonically_increasing_id()), k=k))
     label = component_of(staged, radius)
     order = F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("key"), F.col(row).alias("row"))
     groups = staged.groupBy("fp").agg(F.min(order).alias("best"), F.count("*").alias("n"))
@@ -286,4 +286,4 @@ def keep_first(docs: DataFrame, radius: int = 2, k: int = 3, key: str = "doc_id"
     stays = (groups.where("many or n > 1").join(best, "label", "left")
              .select("fp", F.coalesce("of_all", "best")["row"].alias("stays")))
     goes = staged.select("fp", row).join(stays, "fp").where(F.col(row) != F.col("stays")).select(row)
-    return staged.join(goes, row, "left_anti").drop("fp").withColumnRenamed("fp_before", "fp").select(*docs.columns)
+    return restored(staged.join(goes, row, "left_anti"))
