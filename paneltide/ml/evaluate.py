@@ -12,15 +12,8 @@ from ..operators import metrics
 def period_report(scored: DataFrame, truth: str = "win_pct", pred: str = "pred_score",
                   period: str = "season_end_year") -> DataFrame:
     """MAE, RMSE, R2, Pearson, Spearman, exact / within1 / within2 / overall
-    per period (small keyed frames joined on the period).  The scored frame
-    is written once and shared by the three metric passes."""
-    from ..session import materialize
-    scored = materialize(scored.select(period, truth, pred))
-    reg = metrics.reg_metrics(scored, truth, pred, by=period)
-    sp = metrics.spearman(scored, truth, pred, by=period, materialize_input=False).drop("n")
-    ranked = metrics.with_ranks(scored, truth, pred, by=period, materialize_input=False)
-    rk = metrics.rank_metrics(ranked, by=period).drop("n", "hits_within1")
-    return reg.join(sp, period).join(rk, period)
+    per period, from one rank pass and one aggregate."""
+    return metrics.period_metrics(scored.select(period, truth, pred), truth, pred, period)
 
 
 def detailed_predictions(scored: DataFrame, truth: str = "win_pct", pred: str = "pred_score",

@@ -37,5 +37,6 @@ def group_map() -> Column:
 def feature_union(groups_text) -> Column:
     """'a|b' -> sorted distinct union of the groups' columns (array)."""
     g = F.split(groups_text, r"\|")
-    parts = F.filter(F.transform(g, lambda x: F.try_element_at(group_map(), x)), lambda a: a.isNotNull())
+    parts = F.transform(g, lambda x: F.coalesce(
+        F.try_element_at(group_map(), x), F.raise_error(F.concat(F.lit("unknown feature group "), x)).cast("array<string>")))
     return F.array_sort(F.array_distinct(F.flatten(parts)))

@@ -1,5 +1,5 @@
-"""Join helpers: dimension lookups, unknown-key reports, prefixed joins and a
-size-checked broadcast."""
+"""Join helpers: dimension lookups, unknown-key reports and prefixed joins.  No join is
+forced to broadcast: the planner and AQE know the sizes in bytes."""
 
 from __future__ import annotations
 
@@ -7,21 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows
-    (a ``limit(max_rows + 1)`` count stops early); otherwise return it as is
-    and let the planner shuffle-join (AQE may still broadcast at runtime)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def dim_lookup(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, value: str,
-               max_dim_rows: int = 1_000_000) -> DataFrame:
-    """Left lookup of ``value`` by key; unmatched keys give NULL.  The
-    dictionary must be unique on its key (checked by construction: it is
-    deduplicated here with an aggregate)."""
-    d = dim.groupBy(dim_key).agg(F.first(value, ignorenulls=True).alias(value))
-    d = bounded_broadcast(d, max_dim_rows)
+def dim_lookup(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, value: str) -> DataFrame:
+    """Left lookup of ``value`` by key; unmatched keys give NULL.  A key listed with several
+    values takes the smallest one, whatever the row order."""
+    d = dim.groupBy(dim_key).agg(F.min(value).alias(value))
     if fact_key == dim_key:
         return facts.join(d, fact_key, "left")
     return facts.join(d, facts[fact_key] == d[dim_key], "left").drop(d[dim_key])

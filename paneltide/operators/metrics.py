@@ -22,17 +22,17 @@ def pearson(x, y) -> F.Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def with_ranks(df: DataFrame, truth: str, pred: str, by=(), strategy: str = "auto",
+def with_ranks(df: DataFrame, truth: str, pred: str, by=(),
                materialize_input: bool = True) -> DataFrame:
     """true_rank / pred_rank (min rank, descending) and their difference;
     both ranks come from one distributed rank pass."""
-    r = rank_many(df, [(truth, "true_rank", None), (pred, "pred_rank", None)], by, strategy,
-                  materialize_input=materialize_input)
+    r = rank_many(df, [(truth, "true_rank", None), (pred, "pred_rank", None)], by, materialize_input=materialize_input)
     return r.withColumn("rank_diff", F.col("pred_rank") - F.col("true_rank"))
 
 
 def rank_metrics(ranked: DataFrame, by=()) -> DataFrame:
-    """exact / within1 / within2 / overall from a frame with ``rank_diff``."""
+    """exact / within1 / within2 / overall from a frame with ``rank_diff``; rows without a
+    rank take part in none of them, ``n`` included."""
     by = [by] if isinstance(by, str) else list(by)
     d = F.abs(F.col("rank_diff"))
     g = ranked.groupBy(*by) if by else ranked.groupBy()
@@ -41,7 +41,22 @@ def rank_metrics(ranked: DataFrame, by=()) -> DataFrame:
         F.avg((d <= 1).cast("double")).alias("within1"),
         F.avg((d <= 2).cast("double")).alias("within2"),
         F.count_if(d <= 1).cast("int").alias("hits_within1"),
-        F.count(F.lit(1)).cast("int").alias("n"))
+        F.count("rank_diff").cast("int").alias("n"))
+    return out.withColumn("overall", overall_score("within1", "exact"))
+
+
+def period_metrics(df: DataFrame, truth: str, pred: str, by: str) -> DataFrame:
+    """Every measure per period from one rank pass (min and average ranks together) and
+    one ``groupBy``: regression, Pearson, Spearman and rank accuracy."""
+    r = rank_many(df, [(truth, "_tr", "_tra"), (pred, "_pr", "_pra")], by)
+    y, p = F.col(truth), F.col(pred)
+    d = F.abs(F.col("_pr") - F.col("_tr"))
+    out = r.groupBy(by).agg(
+        F.avg(F.abs(y - p)).alias("mae"), F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"),
+        (F.lit(1.0) - F.try_divide(F.sum((y - p) * (y - p)), F.var_pop(y) * F.count(y))).alias("r2"),
+        pearson(y, p).alias("pearson"), pearson("_tra", "_pra").alias("spearman"),
+        F.avg((d == 0).cast("double")).alias("exact"), F.avg((d <= 1).cast("double")).alias("within1"),
+        F.avg((d <= 2).cast("double")).alias("within2"), F.count(F.lit(1)).cast("int").alias("n"))
     return out.withColumn("overall", overall_score("within1", "exact"))
 
 
@@ -60,62 +75,64 @@ def reg_metrics(df: DataFrame, truth: str, pred: str, by=()) -> DataFrame:
     return out.withColumn("r2", F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst"))).drop("_sse", "_sst")
 
 
-def spearman(df: DataFrame, truth: str, pred: str, by=(), strategy: str = "auto",
-             materialize_input: bool = True) -> DataFrame:
+def spearman(df: DataFrame, truth: str, pred: str, by=(), materialize_input: bool = True) -> DataFrame:
     """Spearman = Pearson over average ranks (ties share the mean rank)."""
     by = [by] if isinstance(by, str) else list(by)
-    r = rank_many(df, [(truth, "_tr", "_tra"), (pred, "_pr", "_pra")], by, strategy,
-                  materialize_input=materialize_input)
+    r = rank_many(df, [(truth, "_tr", "_tra"), (pred, "_pr", "_pra")], by, materialize_input=materialize_input)
     g = r.groupBy(*by) if by else r.groupBy()
     return g.agg(pearson("_tra", "_pra").alias("spearman"), F.count(F.lit(1)).cast("int").alias("n"))
 
 
+def cell_counts(df: DataFrame, label: str, pred: str, classes: list[str]) -> DataFrame:
+    """(label, pred, n): one row per cell, every pair of ``classes`` present, zeros
+    included.  One ``groupBy``, so at most classes squared rows leave the tasks.
+    Labels or predictions outside ``classes`` (NULL included) are an error, not a
+    dropped row."""
+    spark = df.sparkSession
+    seen = df.groupBy(F.col(label).alias("label"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, classes))).alias("label")) \
+        .withColumn("pred", F.explode(F.array(*map(F.lit, classes))))
+    known = F.coalesce(F.col("label").isin(*classes) & F.col("pred").isin(*classes), F.lit(False))
+    message = F.concat(F.lit("label or prediction outside the classes: "), F.coalesce("label", F.lit("NULL")),
+                       F.lit(" -> "), F.coalesce("pred", F.lit("NULL")))
+    checked = seen.withColumn("n", F.when(known, F.col("n")).otherwise(F.raise_error(message).cast("long")))
+    return grid.withColumn("n", F.lit(0).cast("long")).unionByName(checked) \
+        .groupBy("label", "pred").agg(F.sum("n").alias("n"))
+
+
 def class_report(df: DataFrame, label: str, pred: str, classes: list[str]) -> DataFrame:
-    """Per-class precision / recall / F1 / support plus macro and weighted
-    averages and accuracy.  One aggregate of conditional counts (one scan);
-    every report row is an expression over that single row, exploded once.
-    Undefined precision or recall is 0 (the usual zero-division default)."""
-    aggs = [F.count(F.lit(1)).alias("_n"), F.count_if(F.col(label) == F.col(pred)).alias("_ok")]
-    for i, c in enumerate(classes):
-        aggs += [F.count_if((F.col(label) == c) & (F.col(pred) == c)).alias(f"_tp{i}"),
-                 F.count_if(F.col(pred) == c).alias(f"_pp{i}"),
-                 F.count_if(F.col(label) == c).alias(f"_sp{i}")]
-    wide = df.agg(*aggs)
+    """Per-class precision / recall / F1 / support plus macro and weighted averages and
+    accuracy, all from the cell counts.  Undefined precision or recall is 0 (the usual
+    zero-division default)."""
+    cells = cell_counts(df, label, pred, classes)
+    hit = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)
+    by_label = cells.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"), F.sum(hit).alias("tp"))
+    by_pred = cells.groupBy(F.col("pred").alias("cls")).agg(F.sum("n").alias("predicted"))
     zero = F.lit(0.0)
-    prec, rec, f1, sup = [], [], [], []
-    for i in range(len(classes)):
-        tp, pp, sp = F.col(f"_tp{i}").cast("double"), F.col(f"_pp{i}"), F.col(f"_sp{i}")
-        p_i = F.coalesce(F.try_divide(tp, pp), zero)
-        r_i = F.coalesce(F.try_divide(tp, sp), zero)
-        prec.append(p_i)
-        rec.append(r_i)
-        f1.append(F.coalesce(F.try_divide(2 * p_i * r_i, p_i + r_i), zero))
-        sup.append(sp.cast("long"))
-    k = float(len(classes))
-    total = sum(sup[1:], sup[0])
-
-    def row(name, p, r, f, n):
-        return F.struct(F.lit(name).alias("cls"), p.alias("precision"), r.alias("recall"), f.alias("f1"),
-                        n.cast("long").alias("support"))
-
-    def weighted(xs):
-        return F.try_divide(sum((x * s for x, s in zip(xs[1:], sup[1:])), xs[0] * sup[0]), total)
-
-    acc = F.try_divide(F.col("_ok").cast("double"), F.col("_n"))
-    rows = [row(c, prec[i], rec[i], f1[i], sup[i]) for i, c in enumerate(classes)]
-    rows += [row("macro avg", sum(prec[1:], prec[0]) / k, sum(rec[1:], rec[0]) / k, sum(f1[1:], f1[0]) / k, total),
-             row("weighted avg", weighted(prec), weighted(rec), weighted(f1), total),
-             row("accuracy", acc, acc, acc, F.col("_n"))]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), zero)
+    per = by_label.join(by_pred, "cls").select(
+        "cls", ratio(F.col("tp").cast("double"), F.col("predicted")).alias("precision"),
+        ratio(F.col("tp").cast("double"), F.col("support")).alias("recall"), "support", "tp")
+    per = per.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    measures = ("precision", "recall", "f1")
+    total = per.agg(
+        F.sum("support").cast("long").alias("support"),
+        F.try_divide(F.sum("tp").cast("double"), F.sum("support")).alias("acc"),
+        *[F.avg(m).alias(f"macro_{m}") for m in measures],
+        *[F.try_divide(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(f"weighted_{m}") for m in measures])
+    summary = total.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("cls"), *[F.col(c).alias(m) for c, m in zip(cols, measures)], F.col("support"))
+        for name, cols in (("macro avg", [f"macro_{m}" for m in measures]),
+                           ("weighted avg", [f"weighted_{m}" for m in measures]), ("accuracy", ["acc"] * 3))])).alias("r"))
+    rows = per.select("cls", *measures, F.col("support").cast("long").alias("support"))
+    return rows.unionByName(summary.select("r.*"))
 
 
 def confusion(df: DataFrame, label: str, pred: str, classes: list[str]) -> DataFrame:
-    """Confusion matrix with every (label, predicted) cell, zeros included.
-    Pivot with an explicit value list: no extra pass to discover classes;
-    the result has at most ``len(classes)`` rows."""
-    m = df.where(F.col(label).isin(*classes)).groupBy(label).pivot(pred, classes).count()
-    return m.select(F.col(label).alias("label"),
-                    *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(f"pred_{c}") for c in classes])
+    """Confusion matrix with a row and a column for every class, zeros included."""
+    cells = cell_counts(df, label, pred, classes)
+    return cells.groupBy("label").agg(*[
+        F.sum(F.when(F.col("pred") == c, F.col("n")).otherwise(0)).cast("long").alias(f"pred_{c}") for c in classes])
 
 
 def majority_class(train: DataFrame, label: str) -> DataFrame:

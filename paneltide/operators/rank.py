@@ -2,122 +2,119 @@
 average rank (for Spearman), per group or pooled, for one or several value
 columns at once.
 
-Two physical strategies with the same result:
-
-* ``window``  ``rank() over (partition by g order by v desc)``.  One task
-  sorts a whole group, so use it only where groups are known to be small.
-* ``range``   distributed: count rows per (column, group, value) in one
-  long-form aggregate (duplicates collapse, so a hot value is one row); cut
-  each group's distinct values into value ranges with ``percentile_approx``
-  (a partial aggregate: a hot group is never gathered in one task); running
-  counts inside each range (bounded window partitions); offsets of each
-  range from a table of at most ``n_buckets`` rows per group; join back on
-  (group, value).  min-rank = 1 + rows with a strictly larger value.
-
-The range path reads its input several times, so the input is first
-materialised once (reliable checkpoint in the shared folder); otherwise each
-reference would re-run the input's whole plan.  ``strategy="auto"`` (the
-default) materialises (observing the row count during the write), and when
-the total exceeds ``max_group_rows`` measures the largest group on the
-written data; ``window`` is used below ``max_group_rows``.  NULL values get a NULL rank in
-every strategy.
+One distributed algorithm for every size:
+
+1. count rows per (group, value): duplicates collapse in partial sums, so a hot value
+   is one row from here on;
+2. range-partition those rows by (group, value descending) into a fixed number of
+   slices and write them with their slice number (Spark samples the cuts, a hot group
+   spans many slices);
+3. running counts inside each slice of a group, plus the counts of the group's earlier
+   slices (at most one row per group and slice);
+4. min-rank = 1 + rows of the group with a strictly larger value; join back on
+   (group, value), null-safe in the group keys.
+
+Values keep their type: bigints and decimals are compared exactly.  A NULL value gets a
+NULL rank; NULL group keys form a group of their own.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_parallelism, materialize
+from ..session import materialize
 
-WINDOW_MAX_GROUP_ROWS = 2_000_000
-STRATEGIES = ("range", "window", "auto")
+#: slices of the value ranges, whatever the shuffle settings; raise it when the
+#: distinct values per slice outgrow a task
+SLICES = 16
 
 
-def _largest_group(df: DataFrame, by: list[str]) -> int:
-    if not by:
-        return df.count()
-    row = df.groupBy(*by).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on equal keys, NULL equal to NULL; the right side's keys are dropped."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_r_{k}"]) for k in keys])
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def rank_many(df: DataFrame, specs, by=(), strategy: str = "auto",
-              max_group_rows: int = WINDOW_MAX_GROUP_ROWS, n_buckets: int | None = None,
-              materialize_input: bool = True) -> DataFrame:
-    """``specs``: list of (value column, min-rank output, average-rank output or None)."""
+def rank_many(df: DataFrame, specs, by=(), n_buckets: int = SLICES, materialize_input: bool = True) -> DataFrame:
+    """``specs``: list of (value column, min-rank output, average-rank output or None).
+    The input is read several times, so a computed one is written once first."""
     by = [by] if isinstance(by, str) else list(by)
-    if strategy not in STRATEGIES:
-        raise ValueError(f"strategy must be one of {STRATEGIES}")
-    total = None
-    if strategy in ("auto", "range") and materialize_input:
-        # the row count is observed while the input is written: an upper
-        # bound on every group's size, for free
-        obs = Observation(f"rank_input_{uuid.uuid4().hex[:12]}")   # unique: ranks may run concurrently
-        df = materialize(df.observe(obs, F.count(F.lit(1)).alias("n")))
-        total = obs.get.get("n")
-    if strategy == "auto":
-        small = total is not None and total <= max_group_rows
-        strategy = "window" if small or _largest_group(df, by) <= max_group_rows else "range"
-    if strategy == "window":
-        for value, out, avg_out in specs:
-            df = _rank_window(df, value, by, out, avg_out)
-        return df
-    n = n_buckets or max(2, default_parallelism(df.sparkSession))
-    return _rank_range(df, specs, by, n)
-
-
-def rank_desc(df: DataFrame, value: str, by=(), out: str = "rank", avg_out: str | None = None,
-              strategy: str = "auto", max_group_rows: int = WINDOW_MAX_GROUP_ROWS,
-              n_buckets: int | None = None, materialize_input: bool = True) -> DataFrame:
-    return rank_many(df, [(value, out, avg_out)], by, strategy, max_group_rows, n_buckets, materialize_input)
-
-
-def _rank_window(df, value, by, out, avg_out):
-    v = F.col(value)
-    w = Window.partitionBy(*by).orderBy(v.desc())
-    cols = {out: F.when(v.isNotNull(), F.rank().over(w))}
-    if avg_out:
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-        cols[avg_out] = F.when(v.isNotNull(), F.rank().over(w) + (ties - 1) / F.lit(2.0))
-    return df.withColumns(cols)
+    if materialize_input:
+        df = materialize(df)
+    base = df if by else df.withColumn("_all", F.lit(0))
+    keys = by or ["_all"]
+    by_type: dict[str, list[int]] = {}
+    for i, (value, _, _) in enumerate(specs):
+        by_type.setdefault(df.schema[value].dataType.simpleString(), []).append(i)
+    out = base
+    for columns in by_type.values():     # columns of one type share one pass
+        ranked = _ranked_values(base, [(i, specs[i][0]) for i in columns], keys, n_buckets)
+        for i in columns:
+            value, name, avg_name = specs[i]
+            r = ranked.where(F.col("_w") == i)
+            sel = [*keys, F.col("_v").alias("_k"), F.col("_r").alias(name)]
+            if avg_name:
+                sel.append((F.col("_r") + (F.col("_ties") - 1) / F.lit(2.0)).alias(avg_name))
+            out = _null_safe(out.withColumn("_k", F.col(value)), r.select(*sel), [*keys, "_k"], "left").drop("_k")
+    return out.drop("_all") if not by else out
 
 
-def _rank_range(df, specs, by, n):
-    keys = by if by else ["_all"]
-    base = df if by else df.withColumn("_all", F.lit(0))
+def _ranked_values(base: DataFrame, values: list[tuple[int, str]], keys: list[str], n: int) -> DataFrame:
+    """(_w, group keys, _v, _r, _ties): the rank of each distinct value."""
     long = reduce(lambda a, b: a.unionByName(b), [
-        base.where(F.col(v).isNotNull()).select(F.lit(i).alias("_w"), *keys, F.col(v).cast("double").alias("_v"))
-        for i, (v, _, _) in enumerate(specs)])
+        base.where(F.col(v).isNotNull()).select(F.lit(i).alias("_w"), *keys, F.col(v).alias("_v")) for i, v in values])
     gk = ["_w", *keys]
-    vals = long.groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_ties"))
-    fractions = [i / n for i in range(1, n)]
-    # one row per (column, group): bounded by the number of groups
-    bounds = vals.groupBy(*gk).agg(F.percentile_approx("_v", fractions, 10000).alias("_bounds"))
-    vals = vals.join(F.broadcast(bounds), gk) \
-        .withColumn("_b", F.size(F.filter("_bounds", lambda b: b > F.col("_v")))).drop("_bounds")
-    per_bucket = vals.groupBy(*gk, "_b").agg(F.sum("_ties").alias("_bn"))
-    w_off = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(w_off), F.lit(0))).drop("_bn")
-    w_in = Window.partitionBy(*gk, "_b").orderBy(F.col("_v").desc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    ranked = vals.withColumn("_before", F.coalesce(F.sum("_ties").over(w_in), F.lit(0))) \
-        .join(F.broadcast(offsets), gk + ["_b"])   # <= n_buckets rows per (column, group)
-    ranked = ranked.select(*gk, "_v", (F.lit(1) + F.col("_off") + F.col("_before")).cast("int").alias("_r"),
-                           "_ties")
-    if len(specs) > 1:
-        ranked = materialize(ranked)   # read once per ranked column below
-    out = base
-    for i, (value, name, avg_name) in enumerate(specs):
-        r = ranked.where(F.col("_w") == i).drop("_w")
-        sel = [*keys, F.col("_v").alias("_k"), F.col("_r").alias(name)]
-        if avg_name:
-            sel.append((F.col("_r") + (F.col("_ties") - 1) / F.lit(2.0)).alias(avg_name))
-        out = out.withColumn("_k", F.col(value).cast("double")).join(r.select(*sel), keys + ["_k"], "left") \
-            .drop("_k")
-    return out.drop("_all") if not by else out
+    counts = long.groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_ties"))
+    cut = materialize(counts.repartitionByRange(n, *gk, F.col("_v").desc()).withColumn("_b", F.spark_partition_id()))
+    earlier = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy(*gk, "_b").agg(F.sum("_ties").alias("_n")) \
+        .select(*gk, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    larger = Window.partitionBy(*gk, "_b").orderBy(F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = cut.withColumn("_before", F.coalesce(F.sum("_ties").over(larger), F.lit(0)))
+    ranked = _null_safe(inside, offsets, [*gk, "_b"], "inner").select(
+        *gk, "_v", (F.lit(1) + F.col("_off") + F.col("_before")).cast("int").alias("_r"), "_ties")
+    return materialize(ranked) if len(values) > 1 else ranked     # read once per ranked column
+
+
+def rank_desc(df: DataFrame, value: str, by=(), out: str = "rank", avg_out: str | None = None,
+              n_buckets: int = SLICES, materialize_input: bool = True) -> DataFrame:
+    return rank_many(df, [(value, out, avg_out)], by, n_buckets, materialize_input)
+
+
+def quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str, list[float] | None]:
+    """Exact interpolated quantiles of several columns (NULLs left out), distributed: the
+    ranks of the distinct values say which value stands at each wanted place, and at most
+    two values per column and quantile come to the driver."""
+    base = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in cols]).withColumn("_all", F.lit(0)))
+    n = base.agg(*[F.count(c).alias(c) for c in cols]).first()
+    ranked = _ranked_values(base, list(enumerate(cols)), ["_all"], SLICES)
+    first = F.col("_r") - 1              # rows with a larger value
+    wanted: dict[int, set[int]] = {}
+    for i, c in enumerate(cols):
+        for q in qs if n[c] else ():
+            at = (n[c] - 1) * q
+            wanted.setdefault(i, set()).update({n[c] - 1 - int(at), n[c] - 1 - min(int(at) + 1, n[c] - 1)})
+    here = F.lit(False)
+    for i, places in wanted.items():
+        for p in places:
+            here = here | ((F.col("_w") == i) & (first <= p) & (F.lit(p) < first + F.col("_ties")))
+    rows = ranked.where(here).select("_w", "_v", first.alias("first"), "_ties").collect()
+
+    def value(i: int, place: int) -> float:
+        return next(r["_v"] for r in rows if r["_w"] == i and r["first"] <= place < r["first"] + r["_ties"])
+
+    out: dict[str, list[float] | None] = {}
+    for i, c in enumerate(cols):
+        out[c] = [] if n[c] else None
+        for q in qs if n[c] else ():
+            at = (n[c] - 1) * q
+            low, high = value(i, n[c] - 1 - int(at)), value(i, n[c] - 1 - min(int(at) + 1, n[c] - 1))
+            out[c].append(low + (high - low) * (at - int(at)))
+    return out
 
 
 def rank_pooled(df: DataFrame, value: str, out: str = "rank", **kw) -> DataFrame:

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rank import quantiles
+
 SCALERS = ("standard", "robust", "minmax", "none")
 
 
@@ -38,19 +40,18 @@ def fit_scaler(train: DataFrame, cols, kind: str = "standard", exact: bool = Tru
         aggs = [a for c in cols for a in (F.min(c).alias(f"{c}__c"),
                                           (F.max(c) - F.min(c)).alias(f"{c}__s"))]
     elif kind == "robust":
-        q = (lambda c: F.percentile(c, [0.25, 0.5, 0.75])) if exact else \
-            (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy))
-        aggs = [q(c).alias(f"{c}__q") for c in cols]
+        if exact:
+            found = quantiles(train, cols, [0.25, 0.5, 0.75])
+        else:
+            row = train.agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).alias(c) for c in cols]).first()
+            found = {c: row[c] for c in cols}
+        return {c: (qs[1], (qs[2] - qs[0]) or 1.0) if qs else (None, 1.0) for c, qs in found.items()}
     else:
         raise ValueError(f"scaler must be one of {SCALERS}")
     row = train.agg(*aggs).first()
     out = {}
     for c in cols:
-        if kind == "robust":
-            qs = row[f"{c}__q"]
-            center, scale = (qs[1], qs[2] - qs[0]) if qs else (None, None)
-        else:
-            center, scale = row[f"{c}__c"], row[f"{c}__s"]
+        center, scale = row[f"{c}__c"], row[f"{c}__s"]
         if scale is None or scale == 0:
             scale = 1.0          # constant column: centred to 0, not divided by 0
         out[c] = (center, scale)

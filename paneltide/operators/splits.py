@@ -1,41 +1,34 @@
-"""Temporal splits.  The distinct-period table is tiny (one row per period),
-so it is computed once and broadcast into a semi/anti/flag join; the fact
-rows are never collected."""
+"""Temporal splits.  A split needs only the last few period values: they are read from
+the period column alone and become a literal filter, so partitions of a
+period-partitioned table are pruned and no row is written or joined."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 
+def last_n_periods(df: DataFrame, period: str, n: int) -> list:
+    """The last ``n`` distinct periods (``sorted(unique())[-n:]``), newest first."""
+    rows = df.select(period).where(F.col(period).isNotNull()).distinct().orderBy(F.col(period).desc()).limit(n).collect()
+    return [r[0] for r in rows]
 
-def last_n_periods(df: DataFrame, period: str, n: int) -> DataFrame:
-    """The last ``n`` distinct periods (``sorted(unique())[-n:]``)."""
-    periods = df.select(period).where(F.col(period).isNotNull()).distinct()
-    # one row per period: the window runs over the (small) distinct set
-    ranked = periods.withColumn("_rk", F.dense_rank().over(Window.orderBy(F.col(period).desc())))
-    return ranked.where(F.col("_rk") <= n).select(period)
 
+def in_last_n(df: DataFrame, period: str, n: int) -> Column:
+    """True for rows of the last ``n`` periods; a NULL period is never one of them."""
+    last = last_n_periods(df, period, n)
+    return F.coalesce(F.col(period).isin(*last), F.lit(False)) if last else F.lit(False)
 
-def flag_last_n(df: DataFrame, period: str, n: int, out: str = "is_holdout",
-                materialize_input: bool = True) -> DataFrame:
-    """Flag rows of the last ``n`` periods.  The input is read twice (periods,
-    then rows), so a computed input is materialised first."""
-    if materialize_input:
-        df = materialize(df)
-    hold = last_n_periods(df, period, n).withColumn(out, F.lit(True))
-    return df.join(F.broadcast(hold), period, "left") \
-        .withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
+def flag_last_n(df: DataFrame, period: str, n: int, out: str = "is_holdout") -> DataFrame:
+    """Flag rows of the last ``n`` periods."""
+    return df.withColumn(out, in_last_n(df, period, n))
 
-def split_last_n(df: DataFrame, period: str, n: int,
-                 materialize_input: bool = True) -> tuple[DataFrame, DataFrame]:
+
+def split_last_n(df: DataFrame, period: str, n: int) -> tuple[DataFrame, DataFrame]:
     """(train, holdout): holdout = rows in the last ``n`` periods."""
-    if materialize_input:
-        df = materialize(df)
-    hold = F.broadcast(last_n_periods(df, period, n))
-    return df.join(hold, period, "left_anti"), df.join(hold, period, "left_semi")
+    hold = in_last_n(df, period, n)
+    return df.where(~hold), df.where(hold)
 
 
 def split_threshold(df: DataFrame, period: str, last_train: int) -> tuple[DataFrame, DataFrame]:

@@ -13,8 +13,10 @@ frame="lagged"     rolling means use strictly earlier rows only
 gap="row"          previous = previous row of the entity (pandas ``shift``)
 gap="calendar"     previous = the row of period - 1, NULL if that period is
                    missing (RANGE frame; no self-join, no extra shuffle)
-split_col          window inside each split as well (train and holdout are
-                   featurised separately, as the search script does)
+split_col          rolling means and the trend window inside each split as well
+                   (train and holdout are featurised separately, as the search
+                   script does); the previous value is taken on the whole panel
+                   before the split, so a holdout row sees its last training period
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ def trend_features(df: DataFrame, entity="team", period: str = "season_end_year"
     p = prefix or value
     w = _spec(entity, period, split_col)
     df = df.withColumns({
-        f"prev_{p}": previous(F.col(value), w, gap),
+        f"prev_{p}": previous(F.col(value), _spec(entity, period), gap),
         f"{p}_3y": rolling_mean(F.col(value), 3, w, frame, gap),
         f"{p}_5y": rolling_mean(F.col(value), 5, w, frame, gap),
     })

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.nulls import out_round
-from ..operators import knn, panel
+from ..operators import clean, knn, panel
 from ..sources import driver_tables as dt
 from ..sources import files, html
 from ..session import materialize, scratch_path
 from ..sinks import writers
-from .oracle_sql import OUTCOME, with_ctes
+from .oracle_sql import OUTCOME, PERF, TEAM_SEASON, r6, with_ctes
 from .registry import register
 
 KNN_K = 5
@@ -58,25 +58,51 @@ def q_src_csv_roundtrip(spark, sf_dir):
     comes from the file path (provenance), not from the data."""
     path = _written_outcome_csv(spark, sf_dir)
     df = files.read_csv(spark, path, OUTCOME_CSV_SCHEMA, recursive=True)
-    return files.require_nonempty(df, path).withColumn("season", files.file_season())
+    return files.require_nonempty(df, path).withColumn("season", files.file_season()).drop("file_path")
 
 
-@register("src_file_provenance")
+#: other spellings of the outcome columns that season files use
+OUTCOME_ALIASES = {"Tm": "team", "Team": "team", "W": "wins", "L": "losses"}
+
+
+@register("src_csv_drift", with_ctes(OUTCOME) + "SELECT team, season_end_year, wins, losses FROM outcome")
+def q_src_csv_drift(spark, sf_dir):
+    """Season files whose headers drift: half of them spell the columns differently and in
+    another order; all are read by name."""
+    path = scratch_path(spark, "outcome_drift")
+    o = dt.outcome(spark, sf_dir)
+    even = F.col("season_end_year") % 2 == 0
+    o.where(even).select("team", "season_end_year", "wins", "losses").write.option("header", True).csv(f"{path}/a")
+    o.where(~even).select(F.col("losses").alias("L"), F.col("wins").alias("W"), "season_end_year", F.col("team").alias("Tm")) \
+        .write.option("header", True).csv(f"{path}/b")
+    return files.read_csv(spark, path, OUTCOME_CSV_SCHEMA, recursive=True, aliases=OUTCOME_ALIASES).drop("file_path")
+
+
+@register("clean_header_rows", with_ctes(OUTCOME) + "SELECT team, season_end_year, wins, losses FROM outcome")
+def q_clean_header_rows(spark, sf_dir):
+    """Scraped tables repeat their header: every written part file brings its own, all are
+    read as data, and the header rows are dropped before the types are set."""
+    path = _written_outcome_csv(spark, sf_dir)
+    raw = spark.read.schema("team string, season_end_year string, wins string, losses string") \
+        .option("recursiveFileLookup", True).option("header", False).csv(path)
+    body = clean.drop_repeated_headers(raw, "team")
+    return clean.coerce_numeric(body, keep_text=["team"], int_cols=["season_end_year", "wins", "losses"])
+
+
+@register("src_file_provenance", with_ctes(OUTCOME) + "SELECT team, wins, losses, season FROM outcome")
 def q_src_file_provenance(spark, sf_dir):
     """Rows with the season taken from each file's partition directory."""
     path = _written_outcome_csv(spark, sf_dir)
     df = files.read_csv(spark, path, OUTCOME_CSV_SCHEMA, recursive=True)
-    return df.select("team", "wins", "losses", files.file_season().alias("season"),
-                     F.col("_metadata.file_name").alias("file_name"))
+    return df.select("team", "wins", "losses", files.file_season().alias("season"))
 
 
-@register("src_glob")
+@register("src_glob", with_ctes(OUTCOME) + "SELECT season, count(*) AS n_rows FROM outcome GROUP BY season")
 def q_src_glob(spark, sf_dir):
-    """Directory glob scan (``*.csv``), error when nothing matches; rows per file."""
+    """Directory glob scan (``*.csv``), error when nothing matches; rows per season."""
     path = _written_outcome_csv(spark, sf_dir)
     df = files.require_nonempty(files.read_csv(spark, path, OUTCOME_CSV_SCHEMA, glob="*.csv", recursive=True), path)
-    return df.groupBy(F.col("_metadata.file_name").alias("file_name"), files.file_season().alias("season")) \
-        .agg(F.count(F.lit(1)).alias("n_rows"))
+    return df.groupBy(files.file_season().alias("season")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("src_parquet_scan", """SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice
@@ -100,20 +126,25 @@ def q_src_period_range(spark, sf_dir):
     return back.select("team", F.col("season_end_year").cast("int").alias("season_end_year"), "wins", "losses")
 
 
-@register("ingest_quarantine")
+@register("ingest_quarantine", """WITH t AS (SELECT event_id,
+  CASE WHEN event_id % 7 = 0 THEN '{broken ' || props ELSE props END AS raw FROM events)
+SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract_string(raw, '$.k') AS INTEGER) END AS k,
+  CASE WHEN event_id % 7 = 0 THEN raw END AS _corrupt_record, event_id % 7 = 0 AS quarantined FROM t""")
 def q_ingest_quarantine(spark, sf_dir):
-    """Typed parse of the event property text; records that do not parse are
-    kept aside with their raw text (quarantine), never dropped silently."""
+    """Typed parse of the event property text, every seventh record broken first; records
+    that do not parse are kept aside with their raw text, never dropped silently."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
+    broken = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{broken "), "props")).otherwise(F.col("props"))
     schema = StructType([StructField("k", IntegerType())])
-    p = files.parse_json_quarantine(e, "props", schema, keys=["event_id"])
+    p = files.parse_json_quarantine(e.withColumn("props", broken), "props", schema, keys=["event_id"])
     return p.withColumn("quarantined", F.col(files.CORRUPT).isNotNull())
 
 
 # --- sinks --------------------------------------------------------------------------------
 
 
-@register("sink_partitioned")
+@register("sink_partitioned", with_ctes(PERF, OUTCOME, TEAM_SEASON) + """SELECT season, count(*) AS n_rows,
+  """ + r6("sum(pts)", "pts", 2) + " FROM team_season GROUP BY season")
 def q_sink_partitioned(spark, sf_dir):
     """Team-season table written one partition per season; one season is
     then rewritten (dynamic overwrite replaces only it); rows per season."""
@@ -126,7 +157,17 @@ def q_sink_partitioned(spark, sf_dir):
     return back.groupBy("season").agg(F.count(F.lit(1)).alias("n_rows"), out_round(F.sum("pts"), 2).alias("pts"))
 
 
-@register("search_best_json")
+@register("search_best_json", """WITH h AS (
+  SELECT event_id AS iteration, event_type AS model_type,
+    CASE user_id % 4 WHEN 0 THEN 'basic_box|trend' WHEN 1 THEN 'trend|basic_box' WHEN 2 THEN 'basic_box'
+      ELSE 'full_box|basic_box' END AS feature_groups,
+    CAST((event_id * 7919) % 61 AS DOUBLE) / 60.0 AS test_exact,
+    CAST((event_id * 104729) % 61 AS DOUBLE) / 60.0 AS test_within1 FROM events),
+s AS (SELECT *, CAST(0.7 AS DOUBLE) * test_within1 + CAST(0.3 AS DOUBLE) * test_exact AS test_overall FROM h)
+SELECT '{"feature_groups":"' || feature_groups || '","iteration":' || iteration || ',"model_type":"' || model_type
+  || '","test_exact":' || test_exact || ',"test_overall":' || test_overall || ',"test_within1":' || test_within1 || '}'
+  AS best_config
+FROM s ORDER BY test_overall DESC, iteration LIMIT 1""")
 def q_search_best_json(spark, sf_dir):
     """The best run as one JSON document with alphabetical fields."""
     from ..ml.search import best_config_json, best_run
@@ -143,10 +184,11 @@ def q_html_rows(spark, sf_dir):
     return html.html_rows(pages)
 
 
-@register("stream_ingest")
+@register("stream_ingest", with_ctes(OUTCOME) + "SELECT team, season_end_year, season, wins, losses FROM outcome")
 def q_stream_ingest(spark, sf_dir):
     """Line-item files streamed with availableNow into a running outcome table."""
     from ..streaming.ingest import ingest_outcomes
-    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    target = ingest_outcomes(spark, sf_dir, schema, glob="lineitem.parquet")
-    return spark.read.parquet(target)
+    source = f"{sf_dir}/lineitem.parquet"
+    target = ingest_outcomes(spark, source, spark.read.parquet(source).schema)
+    return spark.read.parquet(target).select("team", F.col("season_end_year").cast("int").alias("season_end_year"),
+                                             "season", "wins", "losses")

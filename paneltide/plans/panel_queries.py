@@ -170,7 +170,7 @@ yrs AS (SELECT season_end_year, dense_rank() OVER (ORDER BY season_end_year DESC
 w AS (SELECT o.*, CAST(wins AS DOUBLE) / NULLIF(wins + losses, 0) AS win_pct, (y.rk <= 2) AS is_holdout
       FROM outcome o JOIN yrs y USING (season_end_year)),
 t1 AS (SELECT *,
-  lag(win_pct) OVER (PARTITION BY is_holdout, team ORDER BY season_end_year) AS prev_win_pct,
+  lag(win_pct) OVER (PARTITION BY team ORDER BY season_end_year) AS prev_win_pct,
   avg(win_pct) OVER (PARTITION BY is_holdout, team ORDER BY season_end_year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS win_pct_3y,
   avg(win_pct) OVER (PARTITION BY is_holdout, team ORDER BY season_end_year ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS win_pct_5y
   FROM w),
@@ -180,7 +180,8 @@ t AS (SELECT *, win_pct_3y - lag(win_pct_3y) OVER (PARTITION BY is_holdout, team
 
 @register("trend_features_split", "WITH " + _SPLIT_TREND + "\n" + _trend_select(", is_holdout"))
 def q_trend_features_split(spark, sf_dir):
-    """Trend features windowed inside each split (train / last-two-period holdout)."""
+    """Rolling means and trend inside each split (train / last-two-period holdout), the
+    previous value on the whole panel."""
     from ..operators.splits import flag_last_n
     o = flag_last_n(dt.outcome(spark, sf_dir), "season_end_year", 2).withColumn("win_pct", win_pct())
     t = windows.trend_features(o, "team", "season_end_year", "win_pct", split_col="is_holdout")

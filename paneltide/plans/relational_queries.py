@@ -164,7 +164,7 @@ _LAST2 = """yrs AS (SELECT season_end_year, dense_rank() OVER (ORDER BY season_e
 @register("split_last_n", with_ctes(OUTCOME, _LAST2) + """SELECT o.team, o.season_end_year, (y.rk <= 2) AS is_holdout
   FROM outcome o JOIN yrs y USING (season_end_year)""")
 def q_split_last_n(spark, sf_dir):
-    """Holdout flag for the last two periods (distinct periods broadcast into a flag join)."""
+    """Holdout flag for the last two periods (a literal filter on the period)."""
     o = dt.outcome(spark, sf_dir)
     return splits.flag_last_n(o, "season_end_year", 2).select("team", "season_end_year", "is_holdout")
 
@@ -174,10 +174,8 @@ def q_split_last_n(spark, sf_dir):
 def q_split_threshold(spark, sf_dir):
     """Row counts of a fixed-year train / test split per period."""
     p = dt.perf(spark, sf_dir)
-    train, test = splits.split_threshold(p, "season_end_year", 1999)
-    tr = train.groupBy("season_end_year").agg(F.count(F.lit(1)).alias("n")).withColumn("is_train", F.lit(True))
-    te = test.groupBy("season_end_year").agg(F.count(F.lit(1)).alias("n")).withColumn("is_train", F.lit(False))
-    return tr.unionByName(te).select("is_train", "season_end_year", "n")
+    return p.groupBy("season_end_year").agg(F.count(F.lit(1)).alias("n")) \
+        .select((F.col("season_end_year") <= 1999).alias("is_train"), "season_end_year", "n")
 
 
 @register("split_recent", with_ctes(OUTCOME, _LAST2) + """, train AS (
@@ -196,7 +194,7 @@ def q_set_train_periods(spark, sf_dir):
     """Training periods = all periods minus the holdout periods."""
     o = dt.outcome(spark, sf_dir)
     periods = o.select("season_end_year").distinct()
-    return periods.subtract(splits.last_n_periods(o, "season_end_year", 2))
+    return periods.where(~splits.in_last_n(o, "season_end_year", 2))
 
 
 # --- dimension joins ---------------------------------------------------------------------
@@ -289,6 +287,24 @@ def q_experience_curve(spark, sf_dir):
                     F.col("n_rows").cast("long").alias("n_rows")).orderBy("seasons_played")
 
 
+@register("experience_curve_rate", with_ctes(PERF, """players AS (SELECT * FROM perf
+  WHERE coalesce(team NOT IN ('2TM', '3TM', '4TM', '5TM'), true)),
+exp AS (SELECT player, CAST(count(DISTINCT season) AS INTEGER) AS seasons_played FROM players GROUP BY player)""")
+          + """SELECT e.seasons_played, """ + r6("avg(p.pts / NULLIF(p.g, 0))", "pts_per_game") + """
+FROM players p JOIN exp e ON p.player = e.player WHERE p.pts IS NOT NULL AND e.seasons_played > 0
+GROUP BY e.seasons_played""")
+def q_experience_curve_rate(spark, sf_dir):
+    """Points per game by seasons of experience: per player the distinct seasons and the
+    sum and count of its rates, then per experience bucket."""
+    rows = panel.drop_combined(dt.perf(spark, sf_dir)).where(F.col("pts").isNotNull())
+    rate = F.try_divide("pts", "g")
+    seasons = panel.experience_totals(panel.drop_combined(dt.perf(spark, sf_dir))).select("player", "seasons_played")
+    rates = rows.groupBy("player").agg(F.sum(rate).alias("rate"), F.count(rate).alias("n"))
+    c = rates.join(seasons, "player").where("seasons_played > 0") \
+        .groupBy("seasons_played").agg(F.sum("rate").alias("rate"), F.sum("n").alias("n"))
+    return c.select("seasons_played", out_round(F.try_divide(F.col("rate"), F.col("n"))).alias("pts_per_game"))
+
+
 # --- labels ------------------------------------------------------------------------------
 
 

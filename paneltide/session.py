@@ -88,6 +88,11 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _drop_at_exit(spark: SparkSession) -> None:
     try:
         drop_paths(spark, [p for scope in _STAGED for p in scope])

@@ -87,11 +87,11 @@ def perf(spark: SparkSession, sf_dir: str, with_age: bool = False) -> DataFrame:
     return out.drop("_pk")
 
 
-def outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wins/losses per (team, season): lines without / with the loss flag.
-    One supplier digit is coded differently before a cut-over year, the way a
-    renamed franchise is (its outcome rows then do not match the stats)."""
-    li = read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_returnflag", "l_shipdate"])
+def outcome_of(li: DataFrame) -> DataFrame:
+    """Wins/losses per (team, season) of line items, a table or a stream: lines without /
+    with the loss flag.  One supplier digit is coded differently before a cut-over
+    year, the way a renamed franchise is (its outcome rows then do not match the
+    stats)."""
     y = F.year("l_shipdate").cast("int")
     agg = li.groupBy(F.col("l_suppkey"), y.alias("season_end_year")).agg(
         F.count_if(F.col("l_returnflag") != LOSS_FLAG).cast("int").alias("wins"),
@@ -103,6 +103,11 @@ def outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "wins", "losses")
 
 
+def outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of the whole line-item table."""
+    return outcome_of(read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_returnflag", "l_shipdate"]))
+
+
 def gappy_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer x order-year totals: series with calendar gaps."""
     o = read_table(spark, sf_dir, "orders", ["o_custkey", "o_totalprice", "o_orderdate"])

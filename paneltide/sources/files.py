@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 CORRUPT = "_corrupt_record"
+#: columns that a CSV file may have at most
+MAX_COLUMNS = 64
 # A whole path segment: "2015-2016.csv", "2015-2016/" or "season=2015-2016/";
 # the greedy prefix takes the last such segment, so ids elsewhere in the path
 # (e.g. a uuid containing "1234-5678") never match.
@@ -19,13 +21,46 @@ SEASON_PATTERN = r".*/(?:[^/=]*=)?(\d{4}-\d{4})(?:\.[A-Za-z0-9]+)?(?:/|$)"
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType, glob: str | None = "*.csv",
-             recursive: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
-    r = spark.read.schema(schema).option("header", True).option("mode", mode)
+             recursive: bool = False, aliases: dict[str, str] | None = None, required=None,
+             quarantine: bool = False) -> DataFrame:
+    """CSV files with a header, read by column name.
+
+    Every file may order its columns differently, carry further ones, or spell a name in
+    another way (``aliases``: spelling -> name).  Rows that hold all ``required`` names
+    (default: the whole schema) are headers, also where a file repeats them; a file
+    without a header, or without a required column, is an error.  Values that do not
+    parse are NULL, and with ``quarantine`` the row's raw fields stand in
+    ``_corrupt_record``.  The file's path stays readable as ``file_path``."""
+    required = [f.name for f in schema.fields] if required is None else list(required)
+    fields = [f"_c{i}" for i in range(MAX_COLUMNS)]
+    r = spark.read.schema(", ".join(f"{c} string" for c in fields)).option("header", False)
     if glob:
         r = r.option("pathGlobFilter", glob)
     if recursive:
         r = r.option("recursiveFileLookup", True)
-    return r.csv(path)
+    raw = r.csv(path).select(F.col("_metadata.file_path").alias("file_path"), F.array(*fields).alias("_v"))
+    spelled = F.transform("_v", lambda v: F.trim(v))
+    if aliases:
+        known = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+        spelled = F.transform(spelled, lambda v: F.coalesce(F.try_element_at(known, v), v))
+    is_header = F.size(F.array_except(F.array(*map(F.lit, required)), spelled)) == 0
+    headers = raw.where(is_header).groupBy("file_path").agg(F.min(spelled).alias("_names"))
+    bare = raw.select("file_path").distinct().join(headers, "file_path", "left_anti").limit(5).collect()
+    if bare:
+        raise ValueError(f"columns {required} are missing in {[b[0] for b in bare]}")
+    body = raw.where(~is_header).join(headers, "file_path")
+
+    def value(name: str) -> Column:
+        return F.get("_v", F.array_position("_names", name).cast("int") - 1)
+
+    cols = [value(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    if quarantine:
+        bad = [value(f.name).isNotNull() & value(f.name).try_cast(f.dataType).isNull() for f in schema.fields]
+        broken = bad[0]
+        for b in bad[1:]:
+            broken = broken | b
+        cols.append(F.when(broken, F.concat_ws(",", "_v")).alias(CORRUPT))
+    return body.select(*cols, "file_path")
 
 
 def require_nonempty(df: DataFrame, what: str = "input") -> DataFrame:
@@ -34,7 +69,7 @@ def require_nonempty(df: DataFrame, what: str = "input") -> DataFrame:
     return df
 
 
-def file_season(col: str = "_metadata.file_path") -> Column:
+def file_season(col: str = "file_path") -> Column:
     """Period label taken from the file's name or its partition directory
     (``YYYY-YYYY``), never from other parts of the path."""
     return F.regexp_extract(F.col(col), SEASON_PATTERN, 1)
@@ -45,18 +80,10 @@ def header_columns(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
-def with_quarantine(spark: SparkSession, path: str, schema: StructType, fmt: str = "csv",
-                    **options) -> tuple[DataFrame, DataFrame]:
-    """(good, bad): malformed records land in the quarantine frame with their
-    raw text instead of failing the job or being silently dropped."""
-    full = StructType(list(schema.fields) + [StructField(CORRUPT, _string(), True)])
-    r = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    for k, v in options.items():
-        r = r.option(k, v)
-    # Spark refuses plans that read only the corrupt-record column from raw
-    # files; the parsed result is materialised once (reliable checkpoint in the
-    # shared folder), as an ingest step writes its typed table anyway.
-    df = r.format(fmt).load(path).checkpoint(eager=True)
+def with_quarantine(spark: SparkSession, path: str, schema: StructType, **options) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) rows of CSV files: records whose values do not parse land in the
+    quarantine frame with their raw text instead of failing the job or being dropped."""
+    df = read_csv(spark, path, schema, quarantine=True, **options).drop("file_path")
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull())
 
 

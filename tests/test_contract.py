@@ -81,26 +81,12 @@ def test_out_round_matches_duckdb_round(spark):
     assert got == exp
 
 
-def test_bounded_broadcast_only_below_the_bound(spark):
-    import contextlib
-    import io
-
-    from paneltide.operators.joins import bounded_broadcast
-
-    def plan(df):
-        buf = io.StringIO()
-        with contextlib.redirect_stdout(buf):
-            df.explain()
-        return buf.getvalue()
-
-    big = spark.range(100).withColumnRenamed("id", "k")
-    small = spark.range(3).withColumnRenamed("id", "k")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastHashJoin" in plan(big.join(bounded_broadcast(small, 5), "k"))
-        assert "BroadcastHashJoin" not in plan(big.join(bounded_broadcast(small, 2), "k"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_lookup_of_a_key_with_several_values_takes_the_smallest(spark):
+    from paneltide.operators.joins import dim_lookup
+    facts = spark.createDataFrame([("x",), ("y",), (None,)], "name string")
+    for order in (["B", "A"], ["A", "B"]):
+        dim = spark.createDataFrame([("x", c) for c in order], "name string, code string")
+        assert {r.name: r.code for r in dim_lookup(facts, dim, "name", "name", "code").collect()} == {"x": "A", "y": None, None: None}
 
 
 def test_out_round_matches_duckdb_on_random_values(spark):

@@ -11,7 +11,7 @@ def _frame(spark):
 
 def test_rank_metric_ordering_and_values(spark):
     df, rows = _frame(spark)
-    ranked = metrics.with_ranks(df, "win_pct", "pred", by="season_end_year", strategy="window")
+    ranked = metrics.with_ranks(df, "win_pct", "pred", by="season_end_year")
     m = {r.season_end_year: r for r in metrics.rank_metrics(ranked, by="season_end_year").collect()}
     for r in m.values():
         assert r.exact <= r.within1 <= r.within2
@@ -35,9 +35,9 @@ def test_regression_metrics_against_pandas(spark):
 def test_spearman_uses_average_ranks(spark):
     df, rows = _frame(spark)
     pdf = pd.DataFrame(rows, columns=["y", "t", "w", "p"])
-    for strategy in ("window", "range"):
+    for _ in range(1):
         out = {r.season_end_year: r.spearman for r in
-               metrics.spearman(df, "win_pct", "pred", by="season_end_year", strategy=strategy).collect()}
+               metrics.spearman(df, "win_pct", "pred", by="season_end_year").collect()}
         for y, g in pdf.groupby("y"):
             assert abs(out[y] - g["w"].rank().corr(g["p"].rank())) < 1e-12
 
@@ -59,3 +59,14 @@ def test_majority_baseline_ties_to_smallest(spark):
     test = spark.createDataFrame([("a",), ("a",), ("c",)], "label string")
     r = metrics.majority_baseline(train, test, "label").first()
     assert r.majority == "a" and abs(r.accuracy - 2 / 3) < 1e-12
+
+
+def test_confusion_has_every_cell_and_refuses_unknown_classes(spark):
+    import pytest
+    df = spark.createDataFrame([("A", "A"), ("A", "B"), ("A", "C")], "y string, p string")
+    got = {r.label: (r.pred_A, r.pred_B, r.pred_C) for r in metrics.confusion(df, "y", "p", ["A", "B", "C"]).collect()}
+    assert got == {"A": (1, 1, 1), "B": (0, 0, 0), "C": (0, 0, 0)}
+    with pytest.raises(Exception, match="outside the classes"):
+        metrics.confusion(df.union(spark.createDataFrame([("A", "Z")], "y string, p string")), "y", "p", ["A", "B", "C"]).collect()
+    with pytest.raises(Exception, match="outside the classes"):
+        metrics.class_report(df.union(spark.createDataFrame([("A", None)], "y string, p string")), "y", "p", ["A", "B", "C"]).collect()

@@ -31,7 +31,7 @@ def test_rollup_conserves_sums(spark, rows):
 def test_range_rank_equals_pandas(spark, rows):
     data = [(g, i, v) for i, (g, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "g int, id int, v double")
-    got = {r.id: r.r for r in rank_desc(df, "v", by="g", out="r", strategy="range", n_buckets=3).collect()}
+    got = {r.id: r.r for r in rank_desc(df, "v", by="g", out="r", n_buckets=3).collect()}
     pdf = pd.DataFrame(data, columns=["g", "id", "v"])
     exp = pdf.groupby("g")["v"].rank(method="min", ascending=False)
     for i, e in zip(pdf["id"], exp):
@@ -43,7 +43,7 @@ def test_range_rank_equals_pandas(spark, rows):
                 min_size=2, max_size=40))
 def test_rank_accuracy_ordering(spark, rows):
     df = spark.createDataFrame([(g, t, p) for g, t, p in rows], "g int, t double, p double")
-    ranked = metrics.with_ranks(df, "t", "p", by="g", strategy="window")
+    ranked = metrics.with_ranks(df, "t", "p", by="g")
     for r in metrics.rank_metrics(ranked, by="g").collect():
         assert 0.0 <= r.exact <= r.within1 <= r.within2 <= 1.0
     for r in ranked.collect():
@@ -84,7 +84,7 @@ def test_dedup_first_equals_pandas_keep_first(spark, rows):
                 min_size=6, max_size=40))
 def test_spearman_range_equals_pandas(spark, rows):
     df = spark.createDataFrame(rows, "g int, t double, p double")
-    got = {r.g: r.spearman for r in metrics.spearman(df, "t", "p", by="g", strategy="range").collect()}
+    got = {r.g: r.spearman for r in metrics.spearman(df, "t", "p", by="g").collect()}
     pdf = pd.DataFrame(rows, columns=["g", "t", "p"])
     for g, part in pdf.groupby("g"):
         e = part["t"].rank().corr(part["p"].rank())        # Spearman = Pearson of average ranks

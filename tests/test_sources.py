@@ -20,13 +20,24 @@ def test_csv_quarantine_and_provenance(spark, tmpdir_path):
     _write(d, "2001-2002.csv", "team,wins,losses\nAAA,10,72\nBBB,x,41\n")
     _write(d, "2002-2003.csv", "team,wins,losses\nAAA,20,62\n")
     _write(d, "notes.txt", "ignored")
-    good, bad = files.with_quarantine(spark, d, SCHEMA, header=True, pathGlobFilter="*.csv")
+    good, bad = files.with_quarantine(spark, d, SCHEMA)
     assert good.count() == 2 and bad.count() == 1
     df = files.read_csv(spark, d, SCHEMA).withColumn("season", files.file_season())
     assert sorted(r.season for r in df.collect()) == ["2001-2002", "2001-2002", "2002-2003"]
     assert files.header_columns(spark, os.path.join(d, "2002-2003.csv")) == ["team", "wins", "losses"]
 
 
+def test_csv_columns_are_read_by_name(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "drift")
+    _write(d, "2001-2002.csv", "wins,losses,team\n10,20,AAA\n")
+    _write(d, "2002-2003.csv", "Tm,extra,L,W\nBBB,z,2,1\nTm,extra,L,W\nCCC,z,4,3\n")
+    got = {(r.team, r.wins, r.losses) for r in files.read_csv(
+        spark, d, SCHEMA, aliases={"Tm": "team", "W": "wins", "L": "losses"}).collect()}
+    assert got == {("AAA", 10, 20), ("BBB", 1, 2), ("CCC", 3, 4)}
+    with pytest.raises(ValueError, match="missing"):
+        files.read_csv(spark, d, SCHEMA)
+
+
 def test_empty_directory_raises(spark, tmpdir_path):
     d = os.path.join(tmpdir_path, "empty")
     _write(d, "readme.txt", "nothing")

@@ -45,4 +45,5 @@ def test_split_windows(spark):
     df = _panel(spark, [("A", 2000, 0.2), ("A", 2001, 0.4), ("A", 2002, 0.9)]) \
         .withColumn("is_holdout", F.col("season_end_year") == 2002)
     r = {x.season_end_year: x for x in windows.trend_features(df, split_col="is_holdout").collect()}
-    assert r[2002].prev_win_pct is None and r[2002].win_pct_3y == 0.9
+    # the previous value is taken before the split, rolling means inside it
+    assert r[2002].prev_win_pct == 0.4 and r[2002].win_pct_3y == 0.9 and r[2002].win_pct_trend is None
