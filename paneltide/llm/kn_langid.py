@@ -11,7 +11,9 @@ Rejection is calibrated, on the cross-entropy with the best language of each wor
 (a document that quotes another known language is not foreign): the models learn from the labelled folds other than
 ``CALIBRATION``, whose documents then tell how far a document's cross-entropy strays from
 its language's mean.  The deviation is standardised by the document's length, and a
-document is rejected beyond ``SLACK`` times the largest deviation seen there.
+document is rejected beyond ``SLACK`` times the largest deviation seen there, and only if
+it is at least as far off as a text of ``LONG`` characters with ``FAR`` nats per character
+more than its language's mean, so that few calibration documents don't make it strict.
 
 ``MAX_GRAMS`` bounds the n-grams of one language that the models keep (the most frequent
 by powers of two of their count); the discounts still come from all counts.
@@ -43,6 +45,7 @@ from .common import sheltered, slices
 FOLDS, CALIBRATION = 5, 1
 MAX_GRAMS = 500_000
 SLACK = 1.25
+FAR, LONG = 1.0, 400
 #: distinct n-grams a task holds before it passes their counts on
 HELD = 1 << 19
 #: characters that count towards the certainty of a prediction
@@ -249,11 +252,11 @@ def identify(docs: DataFrame, keep: list[str], key: str = "doc_id") -> DataFrame
     expected = F.lit(None).cast("double")
     for lang, m in mean.items():
         expected = F.when(F.col("lang_pred") == lang, F.lit(m)).otherwise(expected)
-    stray = (F.col("entropy") - expected) * F.sqrt(F.least(F.col("chars"), F.lit(400)).cast("double"))
+    stray = (F.col("entropy") - expected) * F.sqrt(F.least(F.col("chars"), F.lit(LONG)).cast("double"))
     limit = known.select(F.max(stray).alias("m")).first()["m"] if mean else None
     rejected = F.col("letters") == 0
     if limit is not None:
-        rejected = rejected | F.coalesce(stray > F.lit(SLACK * max(limit, 1e-9)), F.lit(False))
+        rejected = rejected | F.coalesce(stray > F.lit(max(SLACK * limit, FAR * LONG ** 0.5)), F.lit(False))
     out = scored(docs, models, keep)
     return out.withColumn("rejected", rejected).withColumn("held_out", F.coalesce(fold(key) == 0, F.lit(True)))
 
