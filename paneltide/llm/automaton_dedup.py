@@ -298,7 +298,8 @@ def marks(docs: DataFrame, length: int = LENGTH, key: str = "doc_id") -> DataFra
                   .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", (F.col("first") < F.col("low")).alias("seen")))), lambda s: s["seen"]).alias("seen"))
                   .where(F.exists("seen", lambda s: s)))
     seen = in_shards.unionByName(in_windows)
-    judged = refs.select(*of, "low").join(seen, of, "left")
+    # written, so that the next join has a plain exchange on both sides and skewed runs split
+    judged = materialize(refs.select(*of, "low").join(seen, of, "left"))
     return (runs.join(judged, of)
             .where("_id > low OR seen IS NOT NULL")
             .select("_id", "_th", F.struct("start", "n", F.when(F.col("_id") == F.col("low"), F.col("seen")).alias("seen")).alias("mark"))
