@@ -80,6 +80,7 @@ def player_pcts(eps: float = TEAM_EPS) -> dict[str, Column]:
     }
 
 
+# The measures of the per-36 table.
 PER36_MEASURES = ("pts", "ast", "trb", "stl", "blk", "tov", "fga", "fta", "p3a")
 
 

@@ -1,7 +1,7 @@
 """Model presets as Spark ML pipelines.
 
-Preprocessing (mean imputation fitted on train -> vector assembly ->
-scaler) and the estimator form one ``Pipeline``; fitting runs distributed
+Preprocessing (mean imputation and scaler fitted on train -> vector assembly)
+and the estimator form one ``PipelineModel``; fitting runs distributed
 tree/gradient aggregations, scoring is a projection (``transform``).
 
 Model families of the original search and their Spark form:
@@ -19,13 +19,15 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import (Imputer, MinMaxScaler, OneHotEncoder, RobustScaler, StandardScaler,
-                                StringIndexer, VectorAssembler)
+from pyspark.ml.feature import (FeatureHasher, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
+                                VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import scaling
+
 SEED = 42
 MAX_TREE_DEPTH = 30          # Spark's limit for tree depth
 
@@ -38,23 +40,37 @@ ENSEMBLES = [
 ]
 
 
-def preprocess_stages(cols, scaler: str = "standard", impute: bool = True, prefix: str = "_f"):
-    stages, inputs = [], list(cols)
-    if impute:
-        imp_out = [f"{prefix}_{c}" for c in cols]
-        stages.append(Imputer(strategy="mean", inputCols=list(cols), outputCols=imp_out))
-        inputs = imp_out
-    raw = f"{prefix}_raw" if scaler != "none" else "features"
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=raw, handleInvalid="keep"))
-    if scaler == "standard":
-        stages.append(StandardScaler(inputCol=raw, outputCol="features", withMean=True, withStd=True))
-    elif scaler == "robust":
-        stages.append(RobustScaler(inputCol=raw, outputCol="features", withCentering=True, withScaling=True))
-    elif scaler == "minmax":
-        stages.append(MinMaxScaler(inputCol=raw, outputCol="features"))
-    elif scaler != "none":
-        raise ValueError(scaler)
-    return stages
+#: what each member of an ensemble is when nothing else is said: the documented defaults of
+#: its family (unlimited forests stop at Spark's depth limit; 31 leaves are a tree of depth 5)
+MEMBER_PARAMS = {
+    "lgb": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 5},
+    "xgb": {"n_estimators": 100, "learning_rate": 0.3, "max_depth": 6},
+    "gb": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3},
+    "rf": {"n_estimators": 100, "max_depth": MAX_TREE_DEPTH},
+    "ridge": {"alpha": 1.0},
+}
+
+
+def _depth(p: dict, default: int) -> int:
+    depth = int(p.get("max_depth", default))
+    if depth > MAX_TREE_DEPTH:
+        raise ValueError(f"trees are at most {MAX_TREE_DEPTH} deep, not {depth}")
+    return depth
+
+
+def preprocess(train: DataFrame, cols, scaler: str = "standard", prefix: str = "_f") -> list:
+    """Fitted stages: train means for missing values, then the contract's scaler
+    (``operators.scaling``: population std, interpolated quartiles, a constant column to
+    0), as one projection; then the feature vector.  A column that is NULL in all of
+    ``train`` counts as 0."""
+    cols = list(cols)
+    means = scaling.fit_means(train, cols)
+    means = {c: 0.0 if m is None else float(m) for c, m in means.items()}
+    params = scaling.fit_scaler(scaling.apply_fill(train, means), cols, scaler)
+    exprs = ", ".join(
+        f"(coalesce(`{c}`, {means[c]!r}D) - {float(params[c][0] or 0.0)!r}D) / {float(params[c][1])!r}D AS `{prefix}_{c}`" for c in cols)
+    return [SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"{prefix}_{c}" for c in cols], outputCol="features", handleInvalid="keep")]
 
 
 def regressor(kind: str, params: dict | None = None, label: str = "label", pred: str = "prediction",
@@ -74,16 +90,22 @@ def regressor(kind: str, params: dict | None = None, label: str = "label", pred:
                                 standardization=False, **common)
     if kind == "rf":
         return RandomForestRegressor(numTrees=int(p.get("n_estimators", 100)),
-                                     maxDepth=min(int(p.get("max_depth", 10)), MAX_TREE_DEPTH),
+                                     maxDepth=_depth(p, 10),
                                      featureSubsetStrategy="all", seed=seed, **common)
     if kind in ("gb", "xgb", "lgb"):
         extra = {"xgb": dict(subsamplingRate=1.0), "lgb": dict(subsamplingRate=1.0, minInstancesPerNode=20),
                  "gb": dict(subsamplingRate=1.0)}[kind]
         return GBTRegressor(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
-                            maxDepth=min(int(p.get("max_depth", 3)), MAX_TREE_DEPTH), seed=seed, **extra, **common)
+                            maxDepth=_depth(p, 3), seed=seed, **extra, **common)
     raise ValueError(f"no Spark estimator for model type {kind!r}")
 
 
+def _fitted(train: DataFrame, cols, scaler: str, est, prefix: str = "_f") -> PipelineModel:
+    stages = preprocess(train, cols, scaler, prefix)
+    prepared = PipelineModel(stages=stages).transform(train)
+    return PipelineModel(stages=[*stages, est.fit(prepared)])
+
+
 def fit_regression(train: DataFrame, cols, kind: str = "linear", params: dict | None = None,
                    scaler: str = "standard", label: str = "win_pct") -> PipelineModel:
     """Fit imputation + scaling + model on ``train`` only."""
@@ -92,7 +114,7 @@ def fit_regression(train: DataFrame, cols, kind: str = "linear", params: dict |
         r = train.agg(F.stddev_pop(label).alias("s"), F.count(label).alias("n")).first()
         y_std, n = r["s"], r["n"]
     est = regressor(kind, params, label=label, y_std=y_std, n_rows=n)
-    return Pipeline(stages=preprocess_stages(cols, scaler) + [est]).fit(train)
+    return _fitted(train, cols, scaler, est)
 
 
 def predict(model: PipelineModel, df: DataFrame, out: str = "pred_score") -> DataFrame:
@@ -104,18 +126,16 @@ def predict(model: PipelineModel, df: DataFrame, out: str = "pred_score") -> Dat
 
 def fit_ensemble(train: DataFrame, cols, recipe: dict, scaler: str = "standard", label: str = "win_pct",
                  member_params: dict | None = None):
-    """Fit every member (100 estimators each, seeds 42, 43, ...) -> list of (weight, model)."""
+    """Fit every member (``MEMBER_PARAMS``, seeds 42, 43, ...) -> list of (weight, model)."""
     out = []
     for i, (m, w) in enumerate(zip(recipe["models"], recipe["weights"])):
-        params = dict({"n_estimators": 100}, **(member_params or {}).get(m, {}))
-        if m == "ridge":
-            params = {"alpha": 1.0}
+        params = {**MEMBER_PARAMS[m], **(member_params or {}).get(m, {})}
         y_std = n = None
         if m == "ridge":
             r = train.agg(F.stddev_pop(label).alias("s"), F.count(label).alias("n")).first()
             y_std, n = r["s"], r["n"]
         est = regressor(m, params, label=label, pred=f"_p{i}", seed=SEED + i, y_std=y_std, n_rows=n)
-        out.append((w, Pipeline(stages=preprocess_stages(cols, scaler, prefix=f"_e{i}") + [est]).fit(train)))
+        out.append((w, _fitted(train, cols, scaler, est, f"_e{i}")))
     return out
 
 
@@ -145,8 +165,16 @@ def onehot_stages(cat_cols, prefix: str = "_oh"):
     return idx + [enc], [f"{prefix}_{c}_v" for c in cat_cols]
 
 
+#: slots of the hashed encoding of a category whose number of values grows with the data
+HASHED_SLOTS = 256
+
+
 def classifier_pipeline(num_cols, cat_cols=(), kind: str = "gbt", params: dict | None = None,
-                        label: str = "label", weight_col: str | None = None, n_classes: int = 2) -> Pipeline:
+                        label: str = "label", weight_col: str | None = None, n_classes: int = 2,
+                        hashed_cols=()) -> Pipeline:
+    """``cat_cols`` have few values and get a slot each; ``hashed_cols`` may have any number
+    (one per team): they are hashed to ``HASHED_SLOTS`` slots, so no list of values is
+    held by the driver or the model; a NULL sets no slot."""
     p = dict(params or {})
     stages = []
     num_in = list(num_cols)
@@ -157,6 +185,9 @@ def classifier_pipeline(num_cols, cat_cols=(), kind: str = "gbt", params: dict |
         oh, oh_cols = onehot_stages(cat_cols)
         stages += oh
         vec_cols += oh_cols
+    if hashed_cols:
+        stages.append(FeatureHasher(inputCols=list(hashed_cols), outputCol="_hashed", numFeatures=HASHED_SLOTS))
+        vec_cols.append("_hashed")
     stages.append(VectorAssembler(inputCols=vec_cols, outputCol="features"))
     gbt = dict(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
                maxDepth=int(p.get("max_depth", 3)), seed=SEED, featuresCol="features")

@@ -10,11 +10,12 @@ from ..functions.formulas import per36, shooting_pcts
 from ..functions.nulls import numeric_columns, out_round
 from ..ml import evaluate, models
 from ..ml.feature_groups import TREND_ONLY, columns_for
-from ..operators import metrics, splits
+from ..operators import joins, metrics, panel, splits, windows
 from ..session import materialize
 from ..sources import driver_tables as dt
 from .eval_queries import feature_matrix
 from .panel_queries import outcome_trends
+from .oracle_sql import PERF_AGE, with_ctes
 from .registry import register
 
 # Model configurations of the original scripts.
@@ -53,16 +54,56 @@ def q_ml_linear(spark, sf_dir):
     return _report(models.predict(m, hold))
 
 
+def player_team_frame(spark, sf_dir):
+    """Player rows rolled up to teams, inner-joined to the team table (right side
+    prefixed), with win share and its trend windows over the whole panel."""
+    keys = ["season", "season_end_year", "team"]
+    players = panel.player_team_panel(dt.perf(spark, sf_dir, with_age=True))
+    teams = panel.team_season(dt.perf(spark, sf_dir), dt.outcome(spark, sf_dir)).na.drop(subset=["wins", "losses"])
+    j = joins.join_prefixed(players, teams, keys=keys, prefix="t_", keep=("wins", "losses"))
+    return windows.trend_features(panel.with_win_pct(j), "team", "season_end_year", "win_pct")
+
+
 @register("ml_forest")
 def q_ml_forest(spark, sf_dir):
-    """Team forest: 100 trees of depth 10 on the trend features of the
-    player-derived team panel (full-panel windows)."""
-    f = feature_matrix(spark, sf_dir)
-    train, hold = splits.split_last_n(f, "season_end_year", 2)     # materialises f once
+    """Player-to-team forest: 100 trees of depth 10 on the trend features of the joined
+    player and team panel (full-panel windows), scored on the last two periods."""
+    f = materialize(player_team_frame(spark, sf_dir).select("season_end_year", "team", "win_pct", *TREND_ONLY))
+    train, hold = splits.split_last_n(f, "season_end_year", 2)
     m = models.fit_regression(train, TREND_ONLY, FOREST_MODEL[0], FOREST_MODEL[1])
     return _report(models.predict(m, hold))
 
 
+def _trend_model(spark, sf_dir, kind, params, scaler="standard"):
+    f = materialize(outcome_trends(spark, sf_dir).where(F.col("prev_win_pct").isNotNull()))
+    train, hold = splits.split_last_n(f, "season_end_year", 2)
+    return _report(models.predict(models.fit_regression(train, TREND_ONLY, kind, params, scaler=scaler), hold))
+
+
+@register("ml_ridge")
+def q_ml_ridge(spark, sf_dir):
+    """Ridge (alpha 1) on the robust-scaled trend features."""
+    return _trend_model(spark, sf_dir, "ridge", {"alpha": 1.0}, "robust")
+
+
+@register("ml_lasso")
+def q_ml_lasso(spark, sf_dir):
+    """Lasso (alpha 0.001) on the min-max-scaled trend features."""
+    return _trend_model(spark, sf_dir, "lasso", {"alpha": 0.001}, "minmax")
+
+
+@register("ml_boosted_deep")
+def q_ml_boosted_deep(spark, sf_dir):
+    """The deeper boosted preset (depth 6, rate 0.3), 50 rounds, unscaled."""
+    return _trend_model(spark, sf_dir, "xgb", {**models.MEMBER_PARAMS["xgb"], "n_estimators": 50}, "none")
+
+
+@register("ml_boosted_leaves")
+def q_ml_boosted_leaves(spark, sf_dir):
+    """The leaf-bounded boosted preset (depth 5, 20 rows a leaf), 50 rounds."""
+    return _trend_model(spark, sf_dir, "lgb", {**models.MEMBER_PARAMS["lgb"], "n_estimators": 50})
+
+
 @register("ml_gbt")
 def q_ml_gbt(spark, sf_dir):
     """Boosted trees on box + trend groups, windows computed inside each split."""
@@ -121,9 +162,11 @@ def q_ml_star(spark, sf_dir):
     team (unseen categories -> zeros), 400 boosted trees; test = last 3 periods."""
     p = _players(spark, sf_dir).withColumn("label", L.contains_ci(F.coalesce("awards", F.lit("")), "AS"))
     p = p.where(F.col("g") > 0).na.drop(subset=["label", *STAR_NUMERIC]).withColumn("label", F.col("label").cast("double"))
-    p = p.na.fill("", subset=["pos", "team"])
-    train, test = _test_last_periods(p)          # materialises p once
-    model = models.classifier_pipeline(STAR_NUMERIC, ["pos", "team"], "gbt", STAR_MODEL).fit(train)
+    p = _fit_frame(p.na.fill("", subset=["pos", "team"]).select("season_end_year", "label", "pos", "team", *STAR_NUMERIC))
+    train, test = _test_last_periods(p)
+    seen = train.select("team").distinct().withColumn("seen", F.lit(True))
+    test = test.join(seen, "team", "left").withColumn("team", F.when("seen", F.col("team"))).drop("seen")
+    model = models.classifier_pipeline(STAR_NUMERIC, ["pos"], "gbt", STAR_MODEL, hashed_cols=["team"]).fit(train)
     scored = model.transform(test).withColumn("pred", F.col("prediction"))
     return evaluate.binary_report(scored).withColumns({c: out_round(c) for c in ("precision", "recall", "f1")})
 
@@ -135,7 +178,7 @@ def q_ml_award(spark, sf_dir):
     p = _players(spark, sf_dir).withColumn("label", L.contains_any_ci("awards").cast("double"))
     p = p.where(F.coalesce(F.col("g"), F.lit(0.0)) > 0)
     num = numeric_columns(p, exclude={"label", "player"})
-    p = p.na.fill(0.0, subset=num)
+    p = _fit_frame(p.na.fill(0.0, subset=num).select("label", *dict.fromkeys(["season_end_year", *num])))
     train, test = _test_last_periods(p)
     pos_rate = train.agg(F.avg("label")).first()[0] or 0.0
     if pos_rate == 0:
@@ -175,35 +218,62 @@ def q_ml_position(spark, sf_dir):
     return rep.withColumns({c: out_round(c) for c in ("precision", "recall", "f1", "majority_accuracy")})
 
 
-@register("onehot")
+@register("onehot", with_ctes(PERF_AGE) + """, p AS (SELECT player, season_end_year, coalesce(pos, '') AS pos,
+  coalesce(team, '') AS team FROM perf_age),
+yrs AS (SELECT season_end_year, dense_rank() OVER (ORDER BY season_end_year DESC) AS rk FROM (SELECT DISTINCT season_end_year FROM p)),
+train AS (SELECT p.* FROM p JOIN yrs USING (season_end_year) WHERE rk > 3),
+test AS (SELECT p.* FROM p JOIN yrs USING (season_end_year) WHERE rk <= 3)
+SELECT player, season_end_year, pos, team,
+  CAST(pos IN (SELECT pos FROM train) AS INTEGER)::DOUBLE AS pos_encoded,
+  CAST(team IN (SELECT team FROM train) AS INTEGER)::DOUBLE AS team_encoded,
+  (SELECT CAST(count(DISTINCT pos) AS BIGINT) FROM train) AS pos_width,
+  (SELECT CAST(count(DISTINCT team) AS BIGINT) FROM train) AS team_width FROM test""")
 def q_onehot(spark, sf_dir):
-    """Categorical encoding fitted on train periods, applied to the last three:
-    categories never seen in training encode as all-zero vectors."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
+    """Categorical encoding fitted on train periods, applied to the last three: a category
+    seen in training sets one of ``width`` slots, an unseen one none.  The categories are
+    a distributed table and met by a join, not a list on the driver."""
     p = _players(spark, sf_dir).select("player", "season_end_year", "pos", "team").na.fill("", subset=["pos", "team"])
     train, test = _test_last_periods(p)
-    stages, outs = models.onehot_stages(["pos", "team"])
-    m = Pipeline(stages=stages).fit(train)
-    t = m.transform(test)
-    # 1.0 for a category seen in training, 0.0 for an unseen one (all-zero vector)
-    return t.select("player", "season_end_year", "pos", "team",
-                    *[F.aggregate(vector_to_array(F.col(o)), F.lit(0.0), lambda a, x: a + x).alias(f"{c}_encoded")
-                      for c, o in zip(["pos", "team"], outs)],
-                    *[F.size(vector_to_array(F.col(o))).alias(f"{c}_width") for c, o in zip(["pos", "team"], outs)])
+    for c in ("pos", "team"):
+        seen = train.select(c).distinct()
+        width = seen.agg(F.count(F.lit(1))).scalar()
+        test = test.join(seen.withColumn("_seen", F.lit(1.0)), c, "left") \
+            .withColumn(f"{c}_encoded", F.coalesce("_seen", F.lit(0.0))).drop("_seen").withColumn(f"{c}_width", width)
+    return test.select("player", "season_end_year", "pos", "team", "pos_encoded", "team_encoded", "pos_width", "team_width")
 
 
 # --- search -------------------------------------------------------------------------------
 
+#: the search draws as many configurations as its caller asks for (``run_search`` defaults to
+#: 1000); the registered query asks for these
 SEARCH_ITERATIONS, SEARCH_SEED = 6, 42
 
 
+def _searched(spark, sf_dir, n_iter=SEARCH_ITERATIONS):
+    from ..ml.search import run_search
+    f = materialize(feature_matrix(spark, sf_dir, split_col="is_holdout"))
+    train, hold = f.where(~F.col("is_holdout")), f.where(F.col("is_holdout"))
+    return run_search(spark, train, hold, n_iter=n_iter, seed=SEARCH_SEED)
+
+
 @register("search_history")
 def q_search_history(spark, sf_dir):
     """Seeded random search over feature groups x scalers x models on the
-    team panel (windows inside each split); one history row per iteration."""
-    from ..ml.search import run_search
+    team panel (windows inside each split); one history row per iteration, with its metrics per season."""
+    hist, per = _searched(spark, sf_dir)
+    rows = per.groupBy("iteration").agg(F.sort_array(F.collect_list(F.struct(
+        "season_end_year", "exact", "within1", "within2", "overall"))).alias("seasons"))
+    return hist.join(rows, "iteration", "left").withColumn("seasons", F.to_json("seasons"))
+
+
+@register("search_refit")
+def q_search_refit(spark, sf_dir):
+    """The configuration that validates best, refitted on all training periods: its
+    detailed predictions for the holdout periods."""
+    from ..ml.search import refit_best
     f = materialize(feature_matrix(spark, sf_dir, split_col="is_holdout"))
     train, hold = f.where(~F.col("is_holdout")), f.where(F.col("is_holdout"))
-    hist, _ = run_search(spark, train, hold, n_iter=SEARCH_ITERATIONS, seed=SEARCH_SEED)
-    return hist
+    hist, _ = _searched(spark, sf_dir, n_iter=2)
+    d = refit_best(hist, train, hold)
+    return d.select("season", "season_end_year", "team", "win_pct", out_round("pred_score").alias("pred_score"),
+                    "pred_rank", "true_rank", "rank_diff", "iteration", "model_type")
