@@ -22,6 +22,59 @@ ROW_SCHEMA = ("page_id long, block_no int, tag string, text string, "
 _WS = re.compile(r"\s+")
 
 
+#: the largest spans that HTML allows
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+
+
+def _span(attrs, name: str, most: int) -> int:
+    value = (dict(attrs).get(name) or "").strip()
+    return min(max(int(value), 1), most) if value.isdecimal() else 1
+
+
+class _Table:
+    """State of one open table: nested tables have their own."""
+
+    def __init__(self, number: int):
+        self.number = number
+        self.row_no = -1
+        self.row = None          # [(text, colspan, rowspan)] of the open row
+        self.cell = None         # text pieces of the open cell
+        self.span = (1, 1)
+        self.carried = {}        # column -> (text, rows it still covers)
+
+    def open_row(self):
+        self.row, self.row_no = [], self.row_no + 1
+
+    def close_cell(self):
+        if self.cell is not None and self.row is not None:
+            self.row.append((_WS.sub(" ", "".join(self.cell)).strip(), *self.span))
+        self.cell = None
+
+    def close_row(self) -> list[str] | None:
+        """The cells of the row, spans expanded: a cell stands in every column and row it covers."""
+        self.close_cell()
+        row, self.row = self.row, None
+        if not row:
+            return None
+        out, below = [], {}
+
+        def fill():
+            while (got := self.carried.pop(len(out), None)) is not None:
+                if got[1] > 1:
+                    below[len(out)] = (got[0], got[1] - 1)
+                out.append(got[0])
+
+        for text, cols, rows in row:
+            fill()
+            for _ in range(cols):
+                if rows > 1:
+                    below[len(out)] = (text, rows - 1)
+                out.append(text)
+        fill()
+        self.carried = below
+        return out
+
+
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -29,11 +82,12 @@ class _Blocks(HTMLParser):
         self.skip = 0
         self.block_tag = None
         self.buf = []
-        self.table_no = -1
-        self.table_depth = 0
-        self.row_no = -1
-        self.cells = None
-        self.cell = None
+        self.n_tables = 0
+        self.open = []          # open tables, the innermost last
+
+    @property
+    def table(self):
+        return self.open[-1] if self.open else None
 
     def _close_block(self):
         if self.block_tag is not None:
@@ -42,55 +96,52 @@ class _Blocks(HTMLParser):
                 self.rows.append((len(self.rows), self.block_tag, text, None, None, None))
         self.block_tag, self.buf = None, []
 
+    def _close_row(self):
+        t = self.table
+        cells = t.close_row() if t else None
+        if cells:
+            self.rows.append((len(self.rows), "tr", " | ".join(cells), t.number, t.row_no, cells))
+
     def handle_starttag(self, tag, attrs):
         if tag in SKIP_TAGS:
             self.skip += 1
             return
+        t = self.table
         if tag == "table":
-            self.table_depth += 1
-            self.table_no += 1
-            self.row_no = -1
-        elif tag == "tr" and self.table_depth:
+            self.open.append(_Table(self.n_tables))
+            self.n_tables += 1
+        elif tag == "tr" and t:
             self._close_row()
-            self.cells = []
-            self.row_no += 1
-        elif tag in ("td", "th") and self.cells is not None:
-            self._close_cell()
-            self.cell = []
-        elif tag in BLOCK_TAGS and self.cell is None:
+            t.open_row()
+        elif tag in ("td", "th") and t and t.row is not None:
+            t.close_cell()
+            t.cell, t.span = [], (_span(attrs, "colspan", MAX_COLSPAN), _span(attrs, "rowspan", MAX_ROWSPAN))
+        elif tag in BLOCK_TAGS and not (t and t.cell is not None):
             self._close_block()
             self.block_tag = tag
         elif tag == "br":
             self._data(" ")
 
-    def _close_cell(self):
-        if self.cell is not None and self.cells is not None:
-            self.cells.append(_WS.sub(" ", "".join(self.cell)).strip())
-        self.cell = None
-
-    def _close_row(self):
-        self._close_cell()
-        if self.cells:
-            self.rows.append((len(self.rows), "tr", " | ".join(self.cells), self.table_no, self.row_no,
-                              list(self.cells)))
-        self.cells = None
-
     def handle_endtag(self, tag):
+        t = self.table
         if tag in SKIP_TAGS:
             self.skip = max(0, self.skip - 1)
         elif tag in ("td", "th"):
-            self._close_cell()
+            if t:
+                t.close_cell()
         elif tag == "tr":
             self._close_row()
         elif tag == "table":
             self._close_row()
-            self.table_depth = max(0, self.table_depth - 1)
+            if self.open:
+                self.open.pop()
         elif tag == self.block_tag:
             self._close_block()
 
     def _data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
+        t = self.table
+        if t and t.cell is not None:
+            t.cell.append(data)
         elif self.block_tag is not None:
             self.buf.append(data)
 
@@ -100,7 +151,9 @@ class _Blocks(HTMLParser):
 
     def close(self):
         super().close()
-        self._close_row()
+        while self.open:
+            self._close_row()
+            self.open.pop()
         self._close_block()
 
 

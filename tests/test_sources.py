@@ -69,6 +69,18 @@ def test_html_rows_tables_and_blocks(spark):
     assert [r.w for r in dedup_first(t, "name", ["table_no", "row_no"]).collect()] == ["60"]
 
 
+def test_html_spans_and_nested_tables():
+    page = ("<table><tr><th rowspan=2>Team</th><th colspan=2>Record</th></tr><tr><th>W</th><th>L</th></tr>"
+            "<tr><td>A</td><td>1</td><td>2</td></tr></table>"
+            "<table><tr><td>outer</td><td><table><tr><td>inner</td></tr><tr><td>inner 2</td></tr></table></td></tr>"
+            "<tr><td>after</td><td>x</td></tr></table>")
+    rows = [(r[3], r[4], r[5]) for r in html.parse_page(page)]
+    assert rows[:3] == [(0, 0, ["Team", "Record", "Record"]), (0, 1, ["Team", "W", "L"]), (0, 2, ["A", "1", "2"])]
+    assert (2, 0, ["inner"]) in rows and (2, 1, ["inner 2"]) in rows
+    assert (1, 0, ["outer", ""]) in rows and (1, 1, ["after", "x"]) in rows
+    assert html.parse_page("<table><tr><td colspan=x rowspan=0>a</table>")[0][5] == ["a"]
+
+
 def test_first_table(spark):
     page = ("<table><tr><th>A</th></tr><tr><td>1</td></tr></table>"
             "<table><tr><th>B</th></tr><tr><td>2</td></tr></table>")
