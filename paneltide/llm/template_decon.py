@@ -197,18 +197,20 @@ def _runs(docs: Templates, index: Index) -> Iterator[tuple]:
             yield r, it, start, len(words), len(words) / n, exact
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
     """Benchmark items in blocks of bounded size.  Items come to the driver one
-    partition at a time and leave it as one bounded broadcast per pass."""
-    blocks, now, words = [], [], 0
+    partition at a time and leave it as one bounded broadcast per pass; the driver
+    holds one block."""
+    now, words = [], 0
     for r in benchmark.select("item_id", "text").dropDuplicates().orderBy("item_id", "text").toLocalIterator():
         n = len((r["text"] or "").split())
         if now and words + n > BLOCK_WORDS:
-            blocks.append(now)
+            yield now
             now, words = [], 0
         now.append((r["item_id"], r["text"]))
         words += n
-    return [*blocks, now] if now else blocks
+    if now:
+        yield now
 
 
 LEAKS = "item_id long, start_word long, words long, coverage double, kind string"

@@ -39,7 +39,7 @@ def test_blocks_give_the_same_leaks(spark, monkeypatch):
     docs = [(i, "so " + t + " it is") for i, t in items]
     one = run(spark, docs, items)[2]
     monkeypatch.setattr(D, "BLOCK_WORDS", 20)
-    assert len(D._blocks(spark.createDataFrame(items, "item_id long, text string"))) == 7
+    assert len(list(D._blocks(spark.createDataFrame(items, "item_id long, text string")))) == 7
     assert run(spark, docs, items)[2] == one and {(i, i) for i in range(7)} <= {g[:2] for g in one}
 
 
