@@ -165,9 +165,12 @@ def _tree_sql(debug: str) -> str:
 def train(found: DataFrame) -> tuple[str, dict[int, float]] | None:
     """(margin as SQL over an array ``f``, threshold per kind), from a bounded sample."""
     each = found.where(F.size("candidates") > 0).select("_row", F.explode("candidates").alias("c"))
-    order = F.xxhash64("_row", "c.kind", "c.start")
-    sample = materialize(each.select(order.alias("h"), "_row", "c.kind", "c.start", "c.features", "c.personal")
-                         .orderBy("h", "_row", "kind", "start").limit(TRAIN_ROWS)
+    order = F.pmod(F.xxhash64("_row", "c.kind", "c.start"), F.lit(1 << 40))
+    drawn = each.select(order.alias("h"), "_row", "c.kind", "c.start", "c.features", "c.personal")
+    total = found.agg(F.sum(F.size("candidates"))).first()[0] or 0
+    if total > 2 * TRAIN_ROWS:  # the smallest hashes lie here: a task sends on few rows, however many it has
+        drawn = drawn.where(F.col("h") < F.lit(int((1 << 40) * (2 * TRAIN_ROWS / total))))
+    sample = materialize(drawn.orderBy("h", "_row", "kind", "start").limit(TRAIN_ROWS)
                          .select("kind", "features", F.col("personal").cast("double").alias("label"), F.pmod("h", F.lit(2)).alias("half")))
     # equal candidates are one weighted row
     rows = sample.groupBy("half", "kind", "features", "label").agg(F.count("*").cast("double").alias("weight"))
