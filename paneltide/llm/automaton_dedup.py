@@ -284,7 +284,7 @@ def marks(docs: DataFrame, length: int = LENGTH, key: str = "doc_id") -> DataFra
     of = ["anchor", "content", "n"]
     refs = materialize(runs.groupBy(*of).agg(F.min(F.struct("_id", "_th", "start")).alias("r"))
                        .select(*of, F.col("r._id").alias("low"), "r._th", "r.start"))
-    size = refs.groupBy("anchor").agg(F.count("*").alias("size")).where("size > 1")
+    size = materialize(refs.groupBy("anchor").agg(F.count("*").alias("size")).where("size > 1"))
     wanted = (refs.join(size, "anchor")
               .groupBy(F.col("low").alias("_id"), "_th").agg(F.collect_list(F.struct(*of, "low", "start", "size")).alias("wanted")))
     # one text per id and hash: repeated rows are the same text
