@@ -20,7 +20,8 @@ def with_spans(df, name: str, text: str, regex: str, group: int = 0):
 
     The pieces between the matches and the matches themselves give the places as
     running sums, in steps of whole chunks, so a text with m matches costs about
-    m * CHUNK / 2 additions, not m * m."""
+    m * CHUNK / 2 additions, not m * m.  Write the result before filtering or exploding the
+    column: a filter pushed below it would repeat all of these expressions."""
     p, m, v, s, c = (f"_{name}_{x}" for x in ("pieces", "matches", "values", "steps", "chunks"))
     none = F.array().cast("array<string>")
     df = df.withColumn(p, F.split(text, regex, -1))

@@ -118,7 +118,8 @@ def _features(kind: str, i: int, s: Column, text: Column) -> Column:
 
 def findings(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep``, ``_row``, ``base`` (array<struct<kind, start, end>>, by kind and
-    start) and ``candidates`` (array<struct<kind, start, end, features, personal>>)."""
+    start) and ``candidates`` (array<struct<kind, start, end, features, personal>>).  Written
+    once: filters on them must not be pushed into the expressions that make them."""
     df = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     for kind, regex in zip(KINDS, (EMAIL, IP, CARD, PHONE)):
         df = with_spans(df, f"_b_{kind}", "_text", regex)
@@ -127,7 +128,7 @@ def findings(docs: DataFrame, keep: list[str]) -> DataFrame:
         df = with_spans(df, f"_g_{kind}", "_text", GENERATORS[kind])
         df = df.withColumn(f"_g_{kind}", F.transform(f"_g_{kind}", _candidate(kind, i, f"_b_{kind}")))
     base = F.concat(*(F.transform(f"_b_{kind}", _numbered(i)) for i, kind in enumerate(KINDS)))
-    return df.select(*keep, "_row", base.alias("base"), F.concat(*(f"_g_{k}" for k in KINDS)).alias("candidates"))
+    return materialize(df.select(*keep, "_row", base.alias("base"), F.concat(*(f"_g_{k}" for k in KINDS)).alias("candidates")))
 
 
 def _judge(kind: str):
@@ -195,7 +196,7 @@ def train(found: DataFrame) -> tuple[str, dict[int, float]] | None:
 
 def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
-    found = materialize(findings(docs, [key]))
+    found = findings(docs, [key])
     model = train(found)
     added = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     if model and model[1]:

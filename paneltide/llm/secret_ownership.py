@@ -43,7 +43,8 @@ KNOWN = (r"gh[pousr]_[A-Za-z0-9]{36,}|sk[-_](?:live_|test_)?[A-Za-z0-9]{20,}|xox
 
 def findings(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep``, ``_row`` (a number per row) and ``found``: all candidates as
-    array<struct<start, kind, name, end, value>>, sorted by start, then kind."""
+    array<struct<start, kind, name, end, value>>, sorted by start, then kind.  Written
+    once: filters on ``found`` must not be pushed into the expressions that make it."""
     df = docs.select(*[F.col(c) for c in keep], F.coalesce("text", F.lit("")).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     df = with_spans(df, "_assign", "_text", ASSIGN, 2)
     df = with_spans(df, "_access", "_text", ACCESS)
@@ -57,7 +58,7 @@ def findings(docs: DataFrame, keep: list[str]) -> DataFrame:
     sure = F.filter("_assign", lambda s: F.length(s["value"]) >= 6)
     df = df.withColumn("_assign", sure)
     found = F.array_sort(F.concat(*(of(n, i) for i, n in enumerate(["_assign", "_access", "_hex", "_known"]))))
-    return df.withColumn("found", found).drop("_text", "_assign", "_access", "_hex", "_known")
+    return materialize(df.withColumn("found", found).drop("_text", "_assign", "_access", "_hex", "_known"))
 
 
 def _varied(value: Column) -> Column:
@@ -87,7 +88,7 @@ def _only(kinds: Column, name: str) -> Column:
 
 def scan(docs: DataFrame, key: str = "doc_id", repo: str = "doc_id", owner: str = "source") -> DataFrame:
     """key, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
-    found = materialize(findings(docs.withColumn("_repo", F.col(repo)).withColumn("_owner", F.col(owner)), [key, "_repo", "_owner"]))
+    found = findings(docs.withColumn("_repo", F.col(repo)).withColumn("_owner", F.col(owner)), [key, "_repo", "_owner"])
     df = found.join(judged(found, "_repo", "_owner"), "_row", "left")
     live = F.coalesce("live", F.array().cast("array<bigint>"))
     is_live = lambda s: F.array_contains(live, F.xxhash64(s["value"]))
@@ -105,7 +106,7 @@ def redact(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> Data
     """``docs`` with every owner-specific, live-looking value replaced by ``MASK``;
     copied examples stay.  ``n_chars``, if there, follows the text that changed."""
     inner, restored = sheltered(docs, [repo, owner, "text", "n_chars"])
-    found = materialize(findings(inner, inner.columns))
+    found = findings(inner, inner.columns)
     hit = found.where(F.size("found") > 0).join(judged(found, repo, owner), "_row", "left")
     values = F.array_distinct(F.transform(F.filter("found", lambda s: F.array_contains("live", F.xxhash64(s["value"]))), lambda s: s["value"]))
     longest_first = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))

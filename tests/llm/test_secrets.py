@@ -68,6 +68,7 @@ def test_redaction_keeps_rows_and_columns(spark):
 
 def test_places_of_many_matches(spark):
     from paneltide.llm.native_spans import with_spans
+    from paneltide.session import materialize
     text = "".join(f"é{i} " for i in range(1500))
-    got = with_spans(spark.createDataFrame([(text,)], "t string"), "s", "t", "[0-9]+").select(F.explode("s")).select("col.start", "col.end", "col.value").collect()
+    got = materialize(with_spans(spark.createDataFrame([(text,)], "t string"), "s", "t", "[0-9]+")).select(F.explode("s")).select("col.start", "col.end", "col.value").collect()
     assert [tuple(r) for r in got] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", text)]
