@@ -165,7 +165,7 @@ def q_ml_star(spark, sf_dir):
     p = _fit_frame(p.na.fill("", subset=["pos", "team"]).select("season_end_year", "label", "pos", "team", *STAR_NUMERIC))
     train, test = _test_last_periods(p)
     seen = train.select("team").distinct().withColumn("seen", F.lit(True))
-    test = test.join(seen, "team", "left").withColumn("team", F.when("seen", F.col("team"))).drop("seen")
+    test = test.join(seen, "team", "left").withColumn("team", F.when(F.col("seen"), F.col("team"))).drop("seen")
     model = models.classifier_pipeline(STAR_NUMERIC, ["pos"], "gbt", STAR_MODEL, hashed_cols=["team"]).fit(train)
     scored = model.transform(test).withColumn("pred", F.col("prediction"))
     return evaluate.binary_report(scored).withColumns({c: out_round(c) for c in ("precision", "recall", "f1")})
