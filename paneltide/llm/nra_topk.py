@@ -88,7 +88,8 @@ def nra_cell(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k:
         upper = t @ last_top + b @ last_low + np.where(top, c - last_top, 0) @ t.T + np.where(low, c - last_low, 0) @ b.T
         own = cid[:, None] == qid[open_q]
         lower[own] = -np.inf
-        bar = np.partition(lower, n - min(k + 1, n), axis=0)[max(n - k, 0)] if limit < 2**52 else np.sort(lower, axis=0)[max(n - k, 0)]
+        at = max(n - k, 0)  # the k-th largest lower bound
+        bar = np.partition(lower, at, axis=0)[at] if limit < 2**52 else np.sort(lower, axis=0)[at]
         may = (upper >= bar) & ~own
         few = may.sum(axis=0) <= max(4 * k, n // 64)
         done = few | (depth == n)

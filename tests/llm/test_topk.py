@@ -62,3 +62,19 @@ def test_reading_stops_early_and_stays_exact():
     q = np.full((1, 6), 7)
     got = N.nra_cell(q, np.array([-1]), c, np.arange(2000), 5)
     assert [g[1] for g in got] == [0, 1, 2, 3, 4] and all(g[2] == 42000 for g in got)
+
+
+@pytest.mark.parametrize("n", [500, 2000, 4096])
+def test_many_queries_equal_brute_force(n):
+    rnd = np.random.default_rng(n)
+    c = rnd.integers(-10**6, 10**6, (n, 6))
+    q = rnd.integers(-10**6, 10**6, (2000, 6))
+    wrong = 0
+    for a in range(0, len(q), N.BLOCK):
+        got = {}
+        for i, j, score in N.nra_cell(q[a:a + N.BLOCK], np.arange(-1 - a, -1 - a - len(q[a:a + N.BLOCK]), -1), c, np.arange(n), 5):
+            got.setdefault(i, []).append((j, score))
+        for i, scores in enumerate(q[a:a + N.BLOCK] @ c.T):
+            best = np.lexsort((np.arange(n), -scores))[:5]
+            wrong += got[-1 - a - i] != [(j, scores[j]) for j in best]
+    assert not wrong
