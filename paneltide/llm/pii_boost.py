@@ -6,20 +6,23 @@ candidates: spelled-out emails, addresses with odd separators, numbers without a
 country prefix.  Each candidate has format features (digits, separators, glued
 neighbours, groups) and context features (words nearby that speak for or against it).
 
-Boosted trees learn on a bounded sample of ``TRAIN_ROWS`` candidates, the ones of smallest
-hash over the whole corpus.  Labels come from the strict patterns: a candidate that
-overlaps a base span of its kind is personal, any other is not; features that
-give the strict pattern away (the plus sign, the checksum) are withheld, so what
-trees learn is how personal data looks and where it stands.  A threshold per kind is
-calibrated on the other half of the sample to at least ``PRECISION`` among ``EVIDENCE`` or
-more candidates; a kind without such a threshold adds nothing.
+Labels are weak and come from the strict patterns and the context: a candidate is
+personal if it overlaps a base span of its kind or only words that speak for its kind are
+near, not personal if it overlaps none and only words that speak against it are near, and
+unlabelled otherwise.  What gives a label away (the plus sign, the checksum, those words)
+is withheld from the trees, so they learn how personal data looks and judge labelled
+and unlabelled candidates alike.
+
+Boosted trees learn on a sample of about ``TRAIN_ROWS`` labelled candidates of each kind, the
+ones of smallest hash over the whole corpus.  A threshold per kind is calibrated on all
+other labelled candidates of the corpus, by one aggregate of their margins, to at least
+``PRECISION`` among ``EVIDENCE`` or more; a kind without such a threshold adds nothing.
 
 The trees are turned into one SQL expression, so scoring is part of the projection
 that writes the result: rows are not exploded and not shuffled.
 
 Edge cases: null text is empty: no spans; very long texts are scanned whole; a
-sample without both labels trains nothing and adds nothing; ties in the sample are
-cut by row number; repeated rows give repeated results; an empty table gives no
+sample without both labels trains nothing and adds nothing; repeated rows give repeated results; an empty table gives no
 rows; further columns are ignored by :func:`scan`.
 """
 
@@ -98,6 +101,7 @@ def _valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+#: the last two give labels, the trees learn from the others
 FEATURES = ["kind", "length", "digits", "separators", "groups", "distinct", "brackets", "glued_before", "glued_after", "words_for", "words_against"]
 
 
@@ -163,25 +167,32 @@ def _tree_sql(debug: str) -> str:
     return node()
 
 
+def _label() -> Column:
+    """1: personal, 0: not, null: unlabelled."""
+    speaks_for, against = (F.element_at("c.features", FEATURES.index(x) + 1) > 0 for x in ("words_for", "words_against"))
+    return F.when(F.col("c.personal") | (speaks_for & ~against), 1.0).when(against & ~speaks_for, 0.0)
+
+
 def train(found: DataFrame) -> tuple[str, dict[int, float]] | None:
-    """(margin as SQL over an array ``f``, threshold per kind), from a bounded sample."""
-    each = found.where(F.size("candidates") > 0).select("_row", F.explode("candidates").alias("c"))
+    """(margin as SQL over an array ``f``, threshold per kind): trees from a bounded sample,
+    thresholds from all other labelled candidates."""
     order = F.pmod(F.xxhash64("_row", "c.kind", "c.start"), F.lit(1 << 40))
-    drawn = each.select(order.alias("h"), "_row", "c.kind", "c.start", "c.features", "c.personal")
-    total = found.agg(F.sum(F.size("candidates"))).first()[0] or 0
-    if total > 2 * TRAIN_ROWS:  # the smallest hashes lie here: a task sends on few rows, however many it has
-        drawn = drawn.where(F.col("h") < F.lit(int((1 << 40) * (2 * TRAIN_ROWS / total))))
-    sample = materialize(drawn.orderBy("h", "_row", "kind", "start").limit(TRAIN_ROWS)
-                         .select("kind", "features", F.col("personal").cast("double").alias("label"), F.pmod("h", F.lit(2)).alias("half")))
+    each = (found.where(F.size("candidates") > 0).select("_row", F.explode("candidates").alias("c"))
+            .select(order.alias("h"), "c.kind", F.slice("c.features", 1, len(FEATURES) - 2).alias("features"), _label().alias("label"))
+            .where("label IS NOT NULL"))
+    # the smallest hashes of each kind, half of them at most, are learnt from; no candidate is shuffled
+    bound = F.lit(0)
+    for r in each.groupBy("kind").count().collect():
+        bound = F.when(F.col("kind") == r["kind"], int((1 << 40) * min(0.5, TRAIN_ROWS / r["count"]))).otherwise(bound)
     # equal candidates are one weighted row
-    rows = sample.groupBy("half", "kind", "features", "label").agg(F.count("*").cast("double").alias("weight"))
-    fit = rows.where("half = 0").withColumn("x", array_to_vector("features"))
+    fit = materialize(each.where(F.col("h") < bound).groupBy("kind", "features", "label").agg(F.count("*").cast("double").alias("weight"))
+                      .withColumn("x", array_to_vector("features")))
     if fit.select(F.count_distinct("label")).first()[0] < 2:
         return None
     model = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(fit)
     margin = " + ".join(f"{w}D * ({_tree_sql(t.toDebugString)})" for w, t in zip(model.treeWeights, model.trees))
-    seen = (rows.where("half = 1").select("kind", "label", "weight", F.expr(f"transform(array(features), f -> {margin})[0]").alias("margin"))
-            .groupBy("kind", F.round("margin", 3).alias("margin")).agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("good")).collect())
+    seen = (each.where(F.col("h") >= bound).select("kind", "label", F.expr(f"transform(array(features), f -> {margin})[0]").alias("margin"))
+            .groupBy("kind", F.round("margin", 3).alias("margin")).agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect())
     limits: dict[int, float] = {}
     for kind in {r["kind"] for r in seen}:
         n = good = 0.0

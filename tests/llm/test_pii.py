@@ -76,6 +76,25 @@ def test_trees_as_sql_equal_the_model_and_add_spans(spark):
     assert both and all(abs(r.a / 2 - r.b) < 1e-9 or abs(r.a - 2 * r.b) < 1e-9 or abs(r.a - r.b) < 1e-9 for r in both)
 
 
+def test_common_local_forms_are_added(spark):
+    """Local phone numbers and spelled-out emails that are far more common than strict ones."""
+    local = "concat('please call (', 200 + id % 700, ') 555-', 1000 + id % 9000, ' today')"
+    bare = "concat('it was (', 200 + id % 700, ') 555-', 1000 + id % 9000, ' then')"
+    spelled = "concat('mail joe', id, ' [at] example [dot] com now')"
+    site = "concat('see page at site', id, '.org')"
+    docs = corpus(spark).union(spark.range(1000, 4000).selectExpr("id as doc_id", f"CASE id % 4 WHEN 0 THEN {local} WHEN 1 THEN {bare} WHEN 2 THEN {spelled} ELSE {site} END"))
+    got = P.scan(docs).where("doc_id >= 1000").collect()
+    assert all((r.n_added, r.spans.split(":")[0]) == (1, "email" if r.doc_id % 4 == 2 else "phone") for r in got if r.doc_id % 4 < 3)
+    assert not any(r.n_added for r in got if r.doc_id % 4 == 3)
+
+
+def test_a_rare_kind_is_calibrated_on_all_candidates(spark, monkeypatch):
+    monkeypatch.setattr(P, "TRAIN_ROWS", 200)
+    mail = "if(id % 2 = 0, concat('mail joe', id, ' [at] example [dot] com now'), concat('see page at site', id, '.org'))"
+    docs = corpus(spark, 4000).union(spark.range(10_000, 10_300).selectExpr("id as doc_id", mail))
+    assert set(P.train(P.findings(docs, ["doc_id"]))[1]) == {0, 3}
+
+
 def test_no_labels_and_empty_table(spark):
     df = spark.createDataFrame([(1, "plain words alone"), (2, "3 4")], "doc_id long, text string")
     assert {(r.spans, r.n_added) for r in P.scan(df).collect()} == {("", 0)}
