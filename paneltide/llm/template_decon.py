@@ -4,9 +4,9 @@ Texts become sequences of word templates: numbers, names and units are replaced
 typed placeholders, every other word is its lower-case form.  Windows of ``WINDOW``
 template words are hashed; the windows of all documents are hash-joined with the
 windows of the benchmark.  Hits of one item on one diagonal (document position minus item
-position) form a run.  For each run the slots are checked: a value that fills several
-slots of the item must be replaced by one value everywhere, different values by
-different ones.  Inconsistent runs are dropped; consistent ones are ``exact`` (all slots
+position) without a gap form a run.  For each run the slots are checked: a value that fills
+several slots of the item must be replaced by one value everywhere; two values may get
+the same one.  Inconsistent runs are dropped, other runs of their diagonal stay; consistent ones are ``exact`` (all slots
 as in the item) or ``reparameterised``.
 
 A document leaks an item if consistent runs cover ``COVERAGE`` of the item's words, or
@@ -158,9 +158,9 @@ class Index:
 
 
 def _consistent(item: np.ndarray, doc: np.ndarray) -> bool:
-    """A slot value is replaced by one value, different values by different ones."""
+    """A slot value is replaced by one value everywhere."""
     pairs = np.unique(np.stack([item, doc]), axis=1)
-    return len(np.unique(pairs[0])) == pairs.shape[1] == len(np.unique(pairs[1]))
+    return len(np.unique(pairs[0])) == pairs.shape[1]
 
 
 def _runs(docs: Templates, index: Index) -> Iterator[tuple]:
@@ -178,19 +178,18 @@ def _runs(docs: Templates, index: Index) -> Iterator[tuple]:
     best: dict[tuple[int, int], list] = {}
     for a, b in zip(starts[:-1], starts[1:]):
         words = np.unique((i[a:b, None] + np.arange(int(k[a:b].max()))[None, :])[np.arange(int(k[a:b].max()))[None, :] < k[a:b, None]])
-        there = words + (d[a] - i[a])
-        slot = (index.t.kind[words] > 0) | (docs.kind[there] > 0)
-        mine, theirs = index.t.value[words[slot]], docs.value[there[slot]]
-        if len(mine) and not _consistent(mine, theirs):
-            continue
-        exact = bool((mine == theirs).all())
-        cut = np.flatnonzero(np.diff(words) > 1)
-        longest = int(np.diff(np.concatenate(([-1], cut, [len(words) - 1]))).max())
-        known = best.setdefault((int(row[a]), int(item[a])), [int(there[0] - docs.first[row[a]]), set(), 0, True])
-        known[0] = min(known[0], int(there[0] - docs.first[row[a]]))
-        known[1].update(words.tolist())
-        known[2] = max(known[2], longest)
-        known[3] &= exact
+        for run in np.split(words, np.flatnonzero(np.diff(words) > 1) + 1):
+            there = run + (d[a] - i[a])
+            slot = (index.t.kind[run] > 0) | (docs.kind[there] > 0)
+            mine, theirs = index.t.value[run[slot]], docs.value[there[slot]]
+            if len(mine) and not _consistent(mine, theirs):
+                continue
+            start = int(there[0] - docs.first[row[a]])
+            known = best.setdefault((int(row[a]), int(item[a])), [start, set(), 0, True])
+            known[0] = min(known[0], start)
+            known[1].update(run.tolist())
+            known[2] = max(known[2], len(run))
+            known[3] &= bool((mine == theirs).all())
     for (r, it), (start, words, longest, exact) in best.items():
         n = int(index.size[it])
         if len(words) >= COVERAGE * n or longest >= WORDS:

@@ -25,6 +25,13 @@ def test_kinds_of_leaks(spark):
     assert D.clean(d, b).columns == d.columns
 
 
+def test_slots_are_checked_by_run(spark):
+    item = "Ann packs 5 red boxes with 3 old books for the school and then she walks home slowly because Ann carried 5 heavy bags up the hill"
+    docs = [(1, item.replace("she walks", "he runs").replace("carried 5", "carried 9")),  # two runs, each consistent
+            (2, item.replace("5", "4").replace("3", "4")), (3, item.replace("carried 5", "carried 9"))]
+    assert run(spark, docs, [(10, item)])[2] == [(1, 10, "reparameterised"), (2, 10, "reparameterised")]
+
+
 def test_edge_cases(spark):
     docs = [(1, None), (2, ""), (None, "Short item here"), (4, ITEM * 2000), (4, ITEM * 2000), (5, "été ÉTÉ Œuvre fin")]
     items = [(1, None), (2, ""), (3, "short item here"), (10, ITEM), (10, ITEM), (11, "ÉTÉ été œuvre fin")]
