@@ -10,8 +10,9 @@ the same one.  Inconsistent runs are dropped, other runs of their diagonal stay;
 as in the item) or ``reparameterised``.
 
 A document leaks an item if consistent runs cover ``COVERAGE`` of the item's words, or
-``WORDS`` words in one run.  Windows need ``LITERAL`` ordinary words, so rows of numbers do not
-match each other; items shorter than a window are one window of their own length.
+``WORDS`` words in one run.  Windows with placeholders need ``LITERAL`` ordinary words, so rows of
+numbers do not match each other; every window is hashed by its actual words as well,
+which need no ordinary word to match; items shorter than a window are one window of their own length.
 
 The benchmark's windows go to the tasks in blocks of at most ``BLOCK_WORDS`` words, one pass
 over the documents per block; a block is a broadcast of bounded size.  Documents are not
@@ -102,12 +103,15 @@ class Templates:
         self.plain = np.where(slot, mark[kind], self.value)
         self.named = np.where(kind > 0, mark[kind], self.value)
 
-    def windows(self, k: int, named: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, first word) of windows with enough ordinary words."""
+    def windows(self, k: int, named: bool | None) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, first word) of windows with enough ordinary words; None: of all windows,
+        by their actual words."""
         ok = within_rows(self.first, k)
         n = len(ok)
         if not n:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if named is None:
+            return gram_hashes(self.value, k)[ok], np.flatnonzero(ok)
         slot = self.kind > 0 if named else (self.kind == NUMBER) | (self.kind == UNIT)
         literal = np.concatenate(([0], np.cumsum(~slot)))
         ok &= literal[k:k + n] - literal[:n] >= min(LITERAL, k)
@@ -129,7 +133,7 @@ class Index:
         self.tables = {}  # window length -> sorted hashes and first words
         for k in sorted({min(WINDOW, int(n)) for n in size if n}):
             hashes, at = [], []
-            for named in (False, True):
+            for named in (False, True, None):
                 h, a = t.windows(k, named)
                 fit = np.minimum(size[row[a]], WINDOW) == k
                 hashes.append(h[fit])
@@ -145,7 +149,7 @@ class Index:
         for k, (known, at) in self.tables.items():
             if not len(known):
                 continue
-            for named in (False, True):
+            for named in (False, True, None):
                 h, a = docs.windows(k, named)
                 lo = np.searchsorted(known, h)
                 found = np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == h)

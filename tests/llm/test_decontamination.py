@@ -32,6 +32,12 @@ def test_slots_are_checked_by_run(spark):
     assert run(spark, docs, [(10, item)])[2] == [(1, 10, "reparameterised"), (2, 10, "reparameterised")]
 
 
+def test_short_and_number_dense_items_are_found(spark):
+    items = [(1, "What is 15 times 12?"), (2, "Factor 36 into primes"), (3, "Add 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg and 9 kg")]
+    docs = [(i, "Here it comes. " + t + " So it went.") for i, t in items] + [(4, "What is 16 times 12?"), (5, "Factor 35 into primes")]
+    assert run(spark, docs, items)[2] == [(1, 1, "exact"), (2, 2, "exact"), (3, 3, "exact")]
+
+
 def test_edge_cases(spark):
     docs = [(1, None), (2, ""), (None, "Short item here"), (4, ITEM * 2000), (4, ITEM * 2000), (5, "été ÉTÉ Œuvre fin")]
     items = [(1, None), (2, ""), (3, "short item here"), (10, ITEM), (10, ITEM), (11, "ÉTÉ été œuvre fin")]
