@@ -2,7 +2,8 @@
 
 Each finding's value is hashed.  Hashes are aggregated over the corpus to the numbers
 of distinct repositories and owners that hold them.  A value that many owners share
-is a copied example; one that ``OWNERS`` owners at most hold, and that looks random, is
+or that stands in many repositories is a copied example, even if one owner holds them all;
+one that ``OWNERS`` owners and ``REPOS`` repositories at most hold, and that looks random, is
 owner-specific and live-looking.  Base findings are always reported; findings of the
 further formats (``KNOWN``) are added only when they are owner-specific.
 
@@ -28,6 +29,8 @@ from .native_spans import span_text, with_spans
 
 #: a value held by more owners than this is a copied example
 OWNERS = 2
+#: a value in more repositories than this is a copied example, whoever owns them
+REPOS = 10
 #: different characters of a value that looks random
 VARIED = 6
 MASK = "[SECRET]"
@@ -75,7 +78,7 @@ def ownership(found: DataFrame, repo: str, owner: str) -> DataFrame:
 
 def judged(found: DataFrame, repo: str, owner: str) -> DataFrame:
     """(_row, live): the hashes of each row's owner-specific, live-looking values."""
-    live = ownership(found, repo, owner).where(F.col("owners") <= OWNERS).select("hash")
+    live = ownership(found, repo, owner).where((F.col("owners") <= OWNERS) & (F.col("repos") <= REPOS)).select("hash")
     each = (found.where(F.size("found") > 0)
             .select("_row", F.explode(F.array_distinct(F.transform("found", lambda s: s["value"]))).alias("value"))
             .where(_varied(F.col("value"))).select("_row", F.xxhash64("value").alias("hash")))

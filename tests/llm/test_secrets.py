@@ -53,6 +53,16 @@ def test_ownership_separates_live_values_from_examples(spark):
     assert (1, 1) in held.values() and (3, 3) in held.values()
 
 
+def test_value_in_many_documents_of_one_source_is_an_example(spark):
+    few = "ghp_bB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF3hI6"
+    rows = [(i, f"see {COPIED} here", "hot") for i in range(200)] + [(300 + i, f"key {few}", "hot") for i in range(S.REPOS)]
+    rows += [(500, f"key {LIVE} ", "hot")] * 200                        # repeated rows are one repository
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc_id, r.n_live) for r in S.scan(d).collect()}
+    assert got == {(i, 0) for i in range(200)} | {(300 + i, 1) for i in range(S.REPOS)} | {(500, 1)}
+    assert {r.doc_id for r in S.redact(d).where("text LIKE '%[SECRET]%'").collect()} == {300 + i for i in range(S.REPOS)} | {500}
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     d = df(spark)
     out = S.redact(d)
