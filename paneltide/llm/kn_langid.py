@@ -11,8 +11,8 @@ Rejection is calibrated, on the cross-entropy with the best language of each wor
 (a document that quotes another known language is not foreign): the models learn from the labelled folds other than
 ``CALIBRATION``, whose documents then tell how far a document's cross-entropy strays from
 its language's mean.  The deviation is standardised by the document's length, and a
-document is rejected beyond ``SLACK`` times the largest deviation seen there, and only if
-it is at least as far off as a text of ``LONG`` characters with ``FAR`` nats per character
+document is rejected beyond ``SLACK`` times the deviation that a share of ``FALSE_REJECT`` of
+its language's calibration documents exceed (of all, where the language has too few), and only if it is at least as far off as a text of ``LONG`` characters with ``FAR`` nats per character
 more than its language's mean, so that few calibration documents don't make it strict.
 
 ``MAX_GRAMS`` bounds the n-grams of one language that the models keep (the most frequent
@@ -45,6 +45,8 @@ from .common import sheltered, slices
 FOLDS, CALIBRATION = 5, 1
 MAX_GRAMS = 500_000
 SLACK = 1.25
+#: share of a language's calibration documents that may lie beyond its quantile
+FALSE_REJECT = 0.01
 FAR, LONG = 1.0, 400
 #: distinct n-grams a task holds before it passes their counts on
 HELD = 1 << 19
@@ -248,15 +250,26 @@ def identify(docs: DataFrame, keep: list[str], key: str = "doc_id") -> DataFrame
     if not models:  # few rows: nothing is left for calibration
         models = train(rows.where("_fold <> 0"))
     known = scored(rows.where(F.col("_fold") == CALIBRATION).where("lang IS NOT NULL"), models, ["lang"]).where("letters > 0 AND lang = lang_pred")
+    known = materialize(known.select("lang", "entropy", "chars"))
     mean = {r["lang"]: r["mean"] for r in known.groupBy("lang").agg(F.avg("entropy").alias("mean")).collect()} if models else {}
-    expected = F.lit(None).cast("double")
-    for lang, m in mean.items():
-        expected = F.when(F.col("lang_pred") == lang, F.lit(m)).otherwise(expected)
-    stray = (F.col("entropy") - expected) * F.sqrt(F.least(F.col("chars"), F.lit(LONG)).cast("double"))
-    limit = known.select(F.max(stray).alias("m")).first()["m"] if mean else None
-    rejected = F.col("letters") == 0
-    if limit is not None:
-        rejected = rejected | F.coalesce(stray > F.lit(max(SLACK * limit, FAR * LONG ** 0.5)), F.lit(False))
+
+    def by_lang(lang: str, values: dict[str, float]):
+        out = F.lit(None).cast("double")
+        for x, v in values.items():
+            out = F.when(F.col(lang) == x, F.lit(v)).otherwise(out)
+        return out
+
+    def stray(lang: str):
+        return (F.col("entropy") - by_lang(lang, mean)) * F.sqrt(F.least(F.col("chars"), F.lit(LONG)).cast("double"))
+
+    far = F.percentile_approx("stray", F.lit(1 - FALSE_REJECT), F.lit(100_000)).alias("far")
+    seen = known.select("lang", stray("lang").alias("stray"))
+    pooled = seen.agg(far).first()["far"] if mean else None
+    limit = {}
+    for r in seen.groupBy("lang").agg(far, F.count("*").alias("n")).collect() if mean else []:
+        q = r["far"] if r["n"] * FALSE_REJECT >= 1 else pooled  # too few to tell that share: that of all languages
+        limit[r["lang"]] = max(SLACK * q, FAR * LONG ** 0.5)
+    rejected = (F.col("letters") == 0) | F.coalesce(stray("lang_pred") > by_lang("lang_pred", limit), F.lit(False))
     out = scored(docs, models, keep)
     return out.withColumn("rejected", rejected).withColumn("held_out", F.coalesce(fold(key) == 0, F.lit(True)))
 

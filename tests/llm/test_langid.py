@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paneltide.llm import kn_langid as K
 
@@ -39,6 +40,16 @@ def test_held_out_accuracy(spark):
     assert [r.doc_id for r in both] == [999990]   # no language explains it
 
 
+def test_junk_in_the_calibration_fold_sets_no_limit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = spark.range(900_000, 900_100).selectExpr("id as doc_id", "repeat('qzxj wvkq zzxq ', 40) text").where(K.fold() == K.CALIBRATION).limit(1)
+    lang = K.identify(docs.unionByName(junk.selectExpr("*", "'en' lang")), ["doc_id"]).where("doc_id >= 900000").first().lang_pred
+    both = docs.unionByName(junk.withColumn("lang", F.lit(lang)))  # labelled as it is predicted
+    odd = spark.createDataFrame([(999_990, "xqkz vjqw qqzx " * 40, "en")], docs.schema)
+    got = K.identify(both.unionByName(odd), ["doc_id"]).where("rejected").collect()
+    assert {r.doc_id for r in got} == {junk.first().doc_id, 999_990}
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "en"), (2, "", "en"), (3, "12 !!", None), (None, "the the", "en"), (4, "die die", "de"), (4, "die die", "de"),
             (5, "wort " * 20000, "de"), (6, "the thing", "en"), (7, "und die", None)]
