@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paneltide.sources.tables import read_table
 
-from . import automaton_dedup, kn_langid, license_diagonal, nra_topk, pii_boost, prefix_chat, rank_bpe, secret_ownership, simhash_bk, template_decon
+from . import automaton_dedup, kn_langid, license_diagonal, merkle_bitmap, nra_topk, pii_boost, prefix_chat, rank_bpe, secret_ownership, simhash_bk, template_decon
 
 #: file of the public vocabulary; any path the driver can read
 WORD_BPE = "word_bpe_49k.json"
@@ -80,8 +80,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_chat.read_back(prefix_chat.examples(rows.unionByName(more)), in_order=True)
 
 
+def op12_columns(docs: DataFrame) -> DataFrame:
+    """The manifest of ``docs``, checked against texts that were tampered with: every fifth
+    document (by the CRC of its id) in lower case."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    made = merkle_bitmap.manifest(docs, F.when(tampered, F.translate("text", upper, lower)).otherwise(F.col("text")))
+    made = made.select("doc_id", "leaf", "subroot", "root", merkle_bitmap.proof_digest(F.col("path")).alias("proof_sha256"),
+                       merkle_bitmap.fold(F.col("path"), F.col("probe")).alias("folded_root"))
+    return made.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaf, roots and proof of every document, and the root its tampered text gives."""
+    return op12_columns(read_table(spark, sf_dir, "documents", merkle_bitmap.FIELDS))
+
+
 QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_license": op3_license, "op4_substrings": op4_substrings, "op5_langid": op5_langid,
-           "op6_pii": op6_pii, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_topk": op9_topk, "op10_chat": op10_chat}
+           "op6_pii": op6_pii, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_topk": op9_topk, "op10_chat": op10_chat,
+           "op12_merkle": op12_merkle}
 
 ORACLES = {
     "op4_substrings": r"""
@@ -128,3 +145,50 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(so_far) FILTER (role = 'assistant' OR i = total) AS BIGINT) AS formatted_chars
 FROM run GROUP BY conv_id""",
 }
+
+
+#: levels that the SQL tree spells out: 16**4 documents a source, 16**2 sources
+SQL_LEVELS, SQL_TOP_LEVELS = 4, 2
+
+
+def _merkle_sql() -> str:
+    """The manifest in SQL: leaves numbered by window functions, each level spelled out; a
+    level's ``lo`` and ``hi`` are the siblings left and right (empty once one node is left)."""
+    text = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    field = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')".format
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    # CRC-32 of the decimal id, bit by bit
+    crc = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+    ctes = [f"""base AS (SELECT doc_id, source, coalesce('=' || source, '') AS k, sha256({head} || {field('text')}) AS leaf,
+  sha256({head} || CASE WHEN text IS NOT NULL AND {crc} % 5 = 0 THEN {field(text)} ELSE {field('text')} END) AS probe FROM documents)""",
+            "t0 AS (SELECT k, leaf AS h, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, doc_id, leaf, probe FROM base)"]
+
+    def level(name: str, below: str, cols: str) -> list[str]:
+        run = "PARTITION BY k, i // 16 ORDER BY i ROWS BETWEEN"
+        return [f"""{name}_p AS (SELECT *, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS lo,
+  CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS hi FROM {below})""",
+                f"""{name} AS (SELECT k, i // 16 AS i, max((n + 15) // 16) AS n,
+  CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h FROM {below} GROUP BY k, i // 16)"""]
+
+    for lv in range(1, SQL_LEVELS + 1):
+        ctes += level(f"t{lv}", f"t{lv - 1}", "")
+    top = f"t{SQL_LEVELS}"
+    ctes.append(f"s0 AS (SELECT '' AS k, h, count(*) OVER () AS n, row_number() OVER (ORDER BY encode(k)) - 1 AS i, k AS source_key FROM {top})")
+    for lv in range(1, SQL_TOP_LEVELS + 1):
+        ctes += level(f"s{lv}", f"s{lv - 1}", "")
+    steps = [f"p{lv}" for lv in range(1, SQL_LEVELS + 1)] + [f"u{lv}" for lv in range(1, SQL_TOP_LEVELS + 1)]
+    joins = " ".join(f"JOIN t{lv}_p p{lv} ON p{lv}.k = l.k AND p{lv}.i = l.i // {16 ** (lv - 1)}" for lv in range(1, SQL_LEVELS + 1))
+    joins += " JOIN s0 ON s0.source_key = l.k "
+    joins += " ".join(f"JOIN s{lv}_p u{lv} ON u{lv}.i = s0.i // {16 ** (lv - 1)}" for lv in range(1, SQL_TOP_LEVELS + 1))
+    proof = " || ".join(f"{s}.lo || {s}.hi" for s in steps)
+    folded = [f"f0 AS (SELECT l.doc_id, l.leaf, s0.h AS subroot, r.h AS root, sha256({proof}) AS proof_sha256, l.probe AS x, "
+              + ", ".join(f"{s}.lo AS {s}_lo, {s}.hi AS {s}_hi, {s}.n AS {s}_n" for s in steps)
+              + f" FROM t0 l {joins} JOIN s{SQL_TOP_LEVELS} r ON true)"]
+    for j, s in enumerate(steps):
+        folded.append(f"f{j + 1} AS (SELECT * REPLACE (CASE WHEN {s}_n > 1 THEN sha256({s}_lo || x || {s}_hi) ELSE x END AS x) FROM f{j})")
+    return ("WITH " + ",\n".join(ctes + folded)
+            + f"\nSELECT doc_id, leaf, subroot, root, proof_sha256, x AS folded_root, x = root AS verified FROM f{len(steps)}")
+
+
+ORACLES["op12_merkle"] = _merkle_sql()
