@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paneltide.sources.tables import read_table
 
-from . import automaton_dedup, kn_langid, license_diagonal, merkle_bitmap, nra_topk, pii_boost, prefix_chat, rank_bpe, secret_ownership, simhash_bk, template_decon
+from . import automaton_dedup, chebyshev_whiten, iblt_fingerprint, kn_langid, license_diagonal, merkle_bitmap, nra_topk, pii_boost, prefix_chat, rank_bpe, secret_ownership, simhash_bk, template_decon
 
 #: file of the public vocabulary; any path the driver can read
 WORD_BPE = "word_bpe_49k.json"
@@ -80,6 +80,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_chat.read_back(prefix_chat.examples(rows.unionByName(more)), in_order=True)
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch of every document and of its edited text, and their likeness by peeling."""
+    made = iblt_fingerprint.succeed(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "cells")
+
+
 def op12_columns(docs: DataFrame) -> DataFrame:
     """The manifest of ``docs``, checked against texts that were tampered with: every fifth
     document (by the CRC of its id) in lower case."""
@@ -96,9 +102,15 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_columns(read_table(spark, sf_dir, "documents", merkle_bitmap.FIELDS))
 
 
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 8 leading components of unit variance."""
+    made = chebyshev_whiten.whiten(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), ["vec_id"])
+    return made.withColumn("deviation", chebyshev_whiten.deviation_long())
+
+
 QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_license": op3_license, "op4_substrings": op4_substrings, "op5_langid": op5_langid,
            "op6_pii": op6_pii, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_topk": op9_topk, "op10_chat": op10_chat,
-           "op12_merkle": op12_merkle}
+           "op11_fingerprint": op11_fingerprint, "op12_merkle": op12_merkle, "op13_whiten": op13_whiten}
 
 ORACLES = {
     "op4_substrings": r"""
