@@ -7,26 +7,28 @@ tree/gradient aggregations, scoring is a projection (``transform``).
 Model families of the original search and their Spark form:
   linear / ridge / lasso -> LinearRegression (ridge regParam scaled so the
                             objective matches the unnormalised ridge loss)
-  rf                     -> RandomForestRegressor(featureSubsetStrategy="all")
-  gb / xgb / lgb         -> GBTRegressor presets (no native XGBoost/LightGBM)
+  rf                     -> RandomForestRegressor(featureSubsetStrategy="all"); as a member
+                            of unlimited depth, ``ml.boosting`` trees on bootstrapped rows
+  gb / xgb / lgb         -> ``ml.boosting``: level-wise first-order trees, level-wise trees
+                            with a penalty, leaf-wise trees (scalers do not change trees)
   ensemble               -> weighted mean of member predictions
   knn                    -> exact k-nearest-neighbour join (operators.knn)
-Support-vector and MLP regressors have no distributed Spark counterpart and
-are not built.
+Support-vector and MLP regressors are not built.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import (FeatureHasher, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import scaling
+from . import boosting
 
 SEED = 42
 MAX_TREE_DEPTH = 30          # Spark's limit for tree depth
@@ -41,15 +43,33 @@ ENSEMBLES = [
 
 
 #: what each member of an ensemble is when nothing else is said: the documented defaults of
-#: its family (unlimited forests stop at Spark's depth limit; 31 leaves are a tree of depth 5)
+#: its family (depth 0: no limit)
 MEMBER_PARAMS = {
-    "lgb": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 5},
+    "lgb": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 0},
     "xgb": {"n_estimators": 100, "learning_rate": 0.3, "max_depth": 6},
     "gb": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3},
-    "rf": {"n_estimators": 100, "max_depth": MAX_TREE_DEPTH},
+    "rf": {"n_estimators": 100, "max_depth": 0},
     "ridge": {"alpha": 1.0},
 }
 
+# Documented defaults of the boosting families (leaves, least rows and Hessian of
+# a leaf, penalty).
+FAMILIES = {
+    "lgb": {"leaves": 31, "min_rows": 20, "min_hessian": 1e-3},
+    "xgb": {"lam": 1.0, "min_hessian": 1.0},
+    "gb": {},
+    "rf": {"objective": "forest"},
+}
+#: leaves of a Spark forest's tree beyond one task's rows: nodes stop at rows / NODE_SHARE
+NODE_SHARE = 1 << 12
+
+
+def tree_params(kind: str, params: dict | None = None, seed: int = SEED, **more) -> boosting.Params:
+    """The boosting parameters of a family and its configuration."""
+    p = dict(params or {})
+    return boosting.Params(rounds=int(p.get("n_estimators", 100)), rate=float(p.get("learning_rate", 0.1)), depth=int(p.get("max_depth", 3)),
+                           seed=seed, **{**FAMILIES[kind], **more})
+
 
 def _depth(p: dict, default: int) -> int:
     depth = int(p.get("max_depth", default))
@@ -90,13 +110,8 @@ def regressor(kind: str, params: dict | None = None, label: str = "label", pred:
                                 standardization=False, **common)
     if kind == "rf":
         return RandomForestRegressor(numTrees=int(p.get("n_estimators", 100)),
-                                     maxDepth=_depth(p, 10),
+                                     maxDepth=_depth(p, 10) or MAX_TREE_DEPTH, minInstancesPerNode=int(p.get("min_rows", 1)),
                                      featureSubsetStrategy="all", seed=seed, **common)
-    if kind in ("gb", "xgb", "lgb"):
-        extra = {"xgb": dict(subsamplingRate=1.0), "lgb": dict(subsamplingRate=1.0, minInstancesPerNode=20),
-                 "gb": dict(subsamplingRate=1.0)}[kind]
-        return GBTRegressor(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
-                            maxDepth=_depth(p, 3), seed=seed, **extra, **common)
     raise ValueError(f"no Spark estimator for model type {kind!r}")
 
 
@@ -106,9 +121,17 @@ def _fitted(train: DataFrame, cols, scaler: str, est, prefix: str = "_f") -> Pip
     return PipelineModel(stages=[*stages, est.fit(prepared)])
 
 
+def fit_trees(train: DataFrame, cols, kind: str, params: dict | None = None, label: str = "win_pct", seed: int = SEED) -> boosting.Booster:
+    """Fit a tree family on ``train`` with missing values at the training means."""
+    means = scaling.fit_means(train, list(cols))
+    return boosting.fit_frame(train, list(cols), label, tree_params(kind, params, seed), fill={c: 0.0 if m is None else float(m) for c, m in means.items()})
+
+
 def fit_regression(train: DataFrame, cols, kind: str = "linear", params: dict | None = None,
-                   scaler: str = "standard", label: str = "win_pct") -> PipelineModel:
+                   scaler: str = "standard", label: str = "win_pct") -> PipelineModel | boosting.Booster:
     """Fit imputation + scaling + model on ``train`` only."""
+    if kind in ("gb", "xgb", "lgb"):
+        return fit_trees(train, cols, kind, params, label)
     y_std = n = None
     if kind == "ridge":
         r = train.agg(F.stddev_pop(label).alias("s"), F.count(label).alias("n")).first()
@@ -130,6 +153,12 @@ def fit_ensemble(train: DataFrame, cols, recipe: dict, scaler: str = "standard",
     out = []
     for i, (m, w) in enumerate(zip(recipe["models"], recipe["weights"])):
         params = {**MEMBER_PARAMS[m], **(member_params or {}).get(m, {})}
+        rows = train.where(F.col(label).isNotNull()).count() if m == "rf" else 0
+        if m in ("gb", "xgb", "lgb") or (m == "rf" and rows * len(cols) <= boosting.TASK_CELLS):
+            out.append((w, fit_trees(train, cols, m, params, label, SEED + i)))
+            continue
+        if m == "rf":
+            params["min_rows"] = max(1, rows // NODE_SHARE)
         y_std = n = None
         if m == "ridge":
             r = train.agg(F.stddev_pop(label).alias("s"), F.count(label).alias("n")).first()
@@ -144,7 +173,7 @@ def predict_ensemble(members, df: DataFrame, out: str = "pred_score") -> DataFra
     total = sum(w for w, _ in members)
     cur = df
     for i, (w, m) in enumerate(members):
-        cur = m.transform(cur).drop("features")
+        cur = m.transform(cur, f"_p{i}") if isinstance(m, boosting.Booster) else m.transform(cur).drop("features")
         cur = cur.drop(*[c for c in cur.columns if c.startswith(f"_e{i}_")])
     score = sum(F.col(f"_p{i}") * (w / total) for i, (w, _) in enumerate(members))
     return cur.withColumn(out, score).select(*df.columns, out)
@@ -170,8 +199,7 @@ HASHED_SLOTS = 256
 
 
 def classifier_pipeline(num_cols, cat_cols=(), kind: str = "gbt", params: dict | None = None,
-                        label: str = "label", weight_col: str | None = None, n_classes: int = 2,
-                        hashed_cols=()) -> Pipeline:
+                        label: str = "label", weight_col: str | None = None, hashed_cols=()) -> Pipeline:
     """``cat_cols`` have few values and get a slot each; ``hashed_cols`` may have any number
     (one per team): they are hashed to ``HASHED_SLOTS`` slots, so no list of values is
     held by the driver or the model; a NULL sets no slot."""
@@ -196,10 +224,6 @@ def classifier_pipeline(num_cols, cat_cols=(), kind: str = "gbt", params: dict |
                             featureSubsetStrategy=str(p.get("colsample", "all")), **gbt)
         if weight_col:
             est = est.setWeightCol(weight_col)
-    elif kind == "ovr_gbt":
-        est = OneVsRest(classifier=GBTClassifier(subsamplingRate=float(p.get("subsample", 1.0)),
-                                                 featureSubsetStrategy=str(p.get("colsample", "all")), **gbt),
-                        labelCol=label, featuresCol="features", parallelism=max(2, n_classes))
     elif kind == "rf":
         est = RandomForestClassifier(labelCol=label, numTrees=int(p.get("n_estimators", 100)),
                                      maxDepth=int(p.get("max_depth", 5)), seed=SEED, featuresCol="features")

@@ -2,13 +2,14 @@
 average rank (for Spearman), per group or pooled, for one or several value
 columns at once.
 
-One distributed algorithm for every size:
+Up to ``SLICE_ROWS`` rows (counted, not guessed) a group fits one task, and the ranks are window
+functions.  Beyond that no task ever holds a group:
 
 1. count rows per (group, value): duplicates collapse in partial sums, so a hot value
    is one row from here on;
-2. range-partition those rows by (group, value descending) into a fixed number of
-   slices and write them with their slice number (Spark samples the cuts, a hot group
-   spans many slices);
+2. range-partition those rows by (group, value descending) into slices of about
+   ``SLICE_ROWS`` distinct values and write them with their slice number (Spark samples
+   the cuts, a hot group spans many slices);
 3. running counts inside each slice of a group, plus the counts of the group's earlier
    slices (at most one row per group and slice);
 4. min-rank = 1 + rows of the group with a strictly larger value; join back on
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: slices of the value ranges, whatever the shuffle settings; raise it when the
-#: distinct values per slice outgrow a task
-SLICES = 16
+#: rows that one task ranks: the size up to which whole groups are ranked by a window, and
+#: the distinct values of a slice beyond it
+SLICE_ROWS = 1 << 20
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -39,12 +40,16 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) ->
     return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def rank_many(df: DataFrame, specs, by=(), n_buckets: int = SLICES, materialize_input: bool = True) -> DataFrame:
+def rank_many(df: DataFrame, specs, by=(), n_buckets: int | None = None, materialize_input: bool = True) -> DataFrame:
     """``specs``: list of (value column, min-rank output, average-rank output or None).
-    The input is read several times, so a computed one is written once first."""
+    The input is counted and ranked, so a computed one is written once first (set
+    ``materialize_input`` to False for a staged one).  ``n_buckets`` asks for that many slices
+    instead of a number from the size."""
     by = [by] if isinstance(by, str) else list(by)
     if materialize_input:
         df = materialize(df)
+    if n_buckets is None and df.count() <= SLICE_ROWS:
+        return _by_window(df, specs, by)
     base = df if by else df.withColumn("_all", F.lit(0))
     keys = by or ["_all"]
     by_type: dict[str, list[int]] = {}
@@ -63,12 +68,27 @@ def rank_many(df: DataFrame, specs, by=(), n_buckets: int = SLICES, materialize_
     return out.drop("_all") if not by else out
 
 
-def _ranked_values(base: DataFrame, values: list[tuple[int, str]], keys: list[str], n: int) -> DataFrame:
+def _by_window(df: DataFrame, specs, by: list[str]) -> DataFrame:
+    made = {}
+    for value, name, avg_name in specs:
+        v = F.col(value)
+        rank = F.rank().over(Window.partitionBy(*by).orderBy(v.desc_nulls_last()))
+        made[name] = F.when(v.isNotNull(), rank)
+        if avg_name:
+            ties = F.count(F.lit(1)).over(Window.partitionBy(*by, v))
+            made[avg_name] = F.when(v.isNotNull(), rank + (ties - 1) / F.lit(2.0))
+    return df.withColumns(made)
+
+
+def _ranked_values(base: DataFrame, values: list[tuple[int, str]], keys: list[str], n: int | None) -> DataFrame:
     """(_w, group keys, _v, _r, _ties): the rank of each distinct value."""
     long = reduce(lambda a, b: a.unionByName(b), [
         base.where(F.col(v).isNotNull()).select(F.lit(i).alias("_w"), *keys, F.col(v).alias("_v")) for i, v in values])
     gk = ["_w", *keys]
     counts = long.groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_ties"))
+    if n is None:
+        counts = materialize(counts)
+        n = -(-counts.count() // SLICE_ROWS) or 1
     cut = materialize(counts.repartitionByRange(n, *gk, F.col("_v").desc()).withColumn("_b", F.spark_partition_id()))
     earlier = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut.groupBy(*gk, "_b").agg(F.sum("_ties").alias("_n")) \
@@ -81,17 +101,21 @@ def _ranked_values(base: DataFrame, values: list[tuple[int, str]], keys: list[st
 
 
 def rank_desc(df: DataFrame, value: str, by=(), out: str = "rank", avg_out: str | None = None,
-              n_buckets: int = SLICES, materialize_input: bool = True) -> DataFrame:
+              n_buckets: int | None = None, materialize_input: bool = True) -> DataFrame:
     return rank_many(df, [(value, out, avg_out)], by, n_buckets, materialize_input)
 
 
-def quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str, list[float] | None]:
-    """Exact interpolated quantiles of several columns (NULLs left out), distributed: the
-    ranks of the distinct values say which value stands at each wanted place, and at most
-    two values per column and quantile come to the driver."""
+def quantiles(df: DataFrame, cols: list[str], qs: list[float], n_buckets: int | None = None) -> dict[str, list[float] | None]:
+    """Exact interpolated quantiles of several columns (NULLs left out).  Up to
+    ``SLICE_ROWS`` rows they are one aggregate; beyond, the ranks of the distinct values say
+    which value stands at each wanted place, and at most two values per column and quantile
+    come to the driver."""
     base = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in cols]).withColumn("_all", F.lit(0)))
+    if n_buckets is None and base.count() <= SLICE_ROWS:
+        row = base.agg(*[F.percentile(c, list(qs)).alias(c) for c in cols]).first()
+        return {c: row[c] for c in cols}
     n = base.agg(*[F.count(c).alias(c) for c in cols]).first()
-    ranked = _ranked_values(base, list(enumerate(cols)), ["_all"], SLICES)
+    ranked = _ranked_values(base, list(enumerate(cols)), ["_all"], n_buckets)
     first = F.col("_r") - 1              # rows with a larger value
     wanted: dict[int, set[int]] = {}
     for i, c in enumerate(cols):

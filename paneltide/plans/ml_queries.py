@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions.formulas import per36, shooting_pcts
 from ..functions.nulls import numeric_columns, out_round
-from ..ml import evaluate, models
+from ..ml import boosting, evaluate, models
 from ..ml.feature_groups import TREND_ONLY, columns_for
 from ..operators import joins, metrics, panel, splits, windows
 from ..session import materialize
@@ -24,8 +24,10 @@ FOREST_MODEL = ("rf", {"n_estimators": 100, "max_depth": 10})
 BEST_SHIPPED = ("gb", {"n_estimators": 200, "learning_rate": 0.01, "max_depth": 3})
 BEST_SHIPPED_GROUPS = ["basic_box", "basic_eff", "four_factors", "full_box", "rolling_box", "trend"]
 STAR_MODEL = {"n_estimators": 400, "learning_rate": 0.05, "max_depth": 3}
-AWARD_MODEL = {"n_estimators": 400, "learning_rate": 0.05, "max_depth": 5, "subsample": 0.8, "colsample": "0.8"}
-POSITION_MODEL = {"n_estimators": 600, "learning_rate": 0.1, "max_depth": 4, "subsample": 0.9, "colsample": "0.9"}
+AWARD_MODEL = {"n_estimators": 400, "learning_rate": 0.05, "max_depth": 5}
+AWARD_SHARE = 0.8
+POSITION_MODEL = {"n_estimators": 600, "learning_rate": 0.1, "max_depth": 4}
+POSITION_SHARE = 0.9
 STAR_NUMERIC = ["age", "g", "gs", "mp", "fg", "fga", "fg_pct", "p3", "p3a", "p3_pct", "p2", "p2a", "p2_pct",
                 "efg_pct", "ft", "fta", "ft_pct", "orb", "drb", "trb", "ast", "stl", "blk", "tov", "pf", "pts",
                 "trp_dbl"]
@@ -94,13 +96,13 @@ def q_ml_lasso(spark, sf_dir):
 
 @register("ml_boosted_deep")
 def q_ml_boosted_deep(spark, sf_dir):
-    """The deeper boosted preset (depth 6, rate 0.3), 50 rounds, unscaled."""
+    """The deeper boosted preset (depth 6, rate 0.3, penalty 1), 50 rounds."""
     return _trend_model(spark, sf_dir, "xgb", {**models.MEMBER_PARAMS["xgb"], "n_estimators": 50}, "none")
 
 
 @register("ml_boosted_leaves")
 def q_ml_boosted_leaves(spark, sf_dir):
-    """The leaf-bounded boosted preset (depth 5, 20 rows a leaf), 50 rounds."""
+    """The leaf-wise boosted preset (31 leaves, 20 rows a leaf), 50 rounds."""
     return _trend_model(spark, sf_dir, "lgb", {**models.MEMBER_PARAMS["lgb"], "n_estimators": 50})
 
 
@@ -185,28 +187,39 @@ def q_ml_award(spark, sf_dir):
         raise RuntimeError("no positive samples in training data")
     w = (1.0 - pos_rate) / pos_rate
     train = train.withColumn("w", F.when(F.col("label") == 1.0, F.lit(w)).otherwise(F.lit(1.0)))
-    model = models.classifier_pipeline(num, (), "gbt", AWARD_MODEL, weight_col="w").fit(train)
-    scored = model.transform(test).withColumn(
-        "pred", (models.positive_probability() >= 0.5).cast("double"))
+    p = models.tree_params("xgb", AWARD_MODEL, objective="logistic", row_share=AWARD_SHARE, column_share=AWARD_SHARE)
+    model = boosting.fit_frame(train, num, "label", p, weight="w")
+    scored = model.transform(test, "probability").withColumn("pred", (F.col("probability") >= 0.5).cast("double"))
     return evaluate.binary_report(scored).withColumns({c: out_round(c) for c in ("precision", "recall", "f1")})
 
 
 @register("ml_position")
 def q_ml_position(spark, sf_dir):
     """Three-class position (Guard / Wing / Big) from box and per-36 features,
-    minutes floor 500, train <= 1999 < test; one-vs-rest boosted trees."""
-    from pyspark.ml.feature import IndexToString, StringIndexer
-    p = _players(spark, sf_dir).withColumn("pos3", L.position_three("pos")).where(F.col("pos3").isNotNull())
+    minutes floor 500, train <= 1999 < test; boosted trees on one softmax."""
+    return _position(spark, sf_dir, L.position_three("pos"))
+
+
+@register("ml_position_five")
+def q_ml_position_five(spark, sf_dir):
+    """The same with the five positions; half the rounds."""
+    return _position(spark, sf_dir, L.position_five("pos"), POSITION_MODEL["n_estimators"] // 2)
+
+
+def _position(spark, sf_dir, position, rounds=POSITION_MODEL["n_estimators"]):
+    p = _players(spark, sf_dir).withColumn("pos3", position).where(F.col("pos3").isNotNull())
     p = p.where(F.col("mp") >= 500).withColumns(per36())
     feats = POSITION_BASE + [c for c in per36().keys()]
-    p = p.na.fill(0.0, subset=feats)
-    idx = StringIndexer(inputCol="pos3", outputCol="label", stringOrderType="alphabetAsc").fit(p)
-    p = _fit_frame(idx.transform(p))
+    p = _fit_frame(p.na.fill(0.0, subset=feats).select("season_end_year", "pos3", *feats))
     train, test = splits.split_threshold(p, "season_end_year", 1999)
-    model = models.classifier_pipeline(feats, (), "ovr_gbt", POSITION_MODEL, n_classes=3).fit(train)
-    scored = model.transform(test)
-    scored = IndexToString(inputCol="prediction", outputCol="pred", labels=idx.labels).transform(scored)
-    rep = metrics.class_report(scored, "pos3", "pred", sorted(idx.labels))
+    classes = sorted(r.pos3 for r in train.select("pos3").distinct().collect())     # 3 or 5 labels
+    number = F.array_position(F.array(*map(F.lit, classes)), F.col("pos3")) - 1
+    params = models.tree_params("xgb", {**POSITION_MODEL, "n_estimators": rounds}, objective="softmax", classes=len(classes),
+                                row_share=POSITION_SHARE, column_share=POSITION_SHARE)
+    model = boosting.fit_frame(train.withColumn("label", number), feats, "label", params)
+    best = F.array_position("probability", F.array_max("probability")).cast("int")
+    scored = model.transform(test, "probability").withColumn("pred", F.element_at(F.array(*map(F.lit, classes)), best))
+    rep = metrics.class_report(scored, "pos3", "pred", classes)
     base = metrics.majority_baseline(train, test, "pos3")
     rep = rep.withColumn("majority_accuracy", F.lit(None).cast("double"))
     rep = rep.unionByName(base.select(F.concat(F.lit("majority="), "majority").alias("cls"),
@@ -244,36 +257,47 @@ def q_onehot(spark, sf_dir):
 
 # --- search -------------------------------------------------------------------------------
 
-#: the search draws as many configurations as its caller asks for (``run_search`` defaults to
-#: 1000); the registered query asks for these
-SEARCH_ITERATIONS, SEARCH_SEED = 6, 42
+#: configurations that the registered search draws (``run_search`` takes any number, 1000 by
+#: default; README has the seconds)
+SEARCH_ITERATIONS, SEARCH_SEED = 120, 42
 
 
-def _searched(spark, sf_dir, n_iter=SEARCH_ITERATIONS):
-    from ..ml.search import run_search
+def _split_features(spark, sf_dir):
     f = materialize(feature_matrix(spark, sf_dir, split_col="is_holdout"))
-    train, hold = f.where(~F.col("is_holdout")), f.where(F.col("is_holdout"))
-    return run_search(spark, train, hold, n_iter=n_iter, seed=SEARCH_SEED)
+    return f.where(~F.col("is_holdout")), f.where(F.col("is_holdout"))
+
+
+def _with_seasons(hist, per):
+    rows = per.groupBy("iteration").agg(F.sort_array(F.collect_list(F.struct(
+        "season_end_year", "exact", "within1", "within2", "overall"))).alias("seasons"))
+    return hist.join(rows, "iteration", "left").withColumn("seasons", F.to_json("seasons"))
 
 
 @register("search_history")
 def q_search_history(spark, sf_dir):
     """Seeded random search over feature groups x scalers x models on the
     team panel (windows inside each split); one history row per iteration, with its metrics per season."""
-    hist, per = _searched(spark, sf_dir)
-    rows = per.groupBy("iteration").agg(F.sort_array(F.collect_list(F.struct(
-        "season_end_year", "exact", "within1", "within2", "overall"))).alias("seasons"))
-    return hist.join(rows, "iteration", "left").withColumn("seasons", F.to_json("seasons"))
+    from ..ml.search import run_search
+    train, hold = _split_features(spark, sf_dir)
+    return _with_seasons(*run_search(spark, train, hold, n_iter=SEARCH_ITERATIONS, seed=SEARCH_SEED))
+
+
+@register("search_linear")
+def q_search_linear(spark, sf_dir):
+    """The whole grid of ridge and lasso configurations x scalers x feature groups, solved from
+    one Gram matrix for each fit."""
+    from ..ml.search import linear_configs, score_configs
+    train, hold = _split_features(spark, sf_dir)
+    return _with_seasons(*score_configs(spark, train, hold, linear_configs(spark), SEARCH_SEED))
 
 
 @register("search_refit")
 def q_search_refit(spark, sf_dir):
     """The configuration that validates best, refitted on all training periods: its
     detailed predictions for the holdout periods."""
-    from ..ml.search import refit_best
-    f = materialize(feature_matrix(spark, sf_dir, split_col="is_holdout"))
-    train, hold = f.where(~F.col("is_holdout")), f.where(F.col("is_holdout"))
-    hist, _ = _searched(spark, sf_dir, n_iter=2)
+    from ..ml.search import refit_best, run_search
+    train, hold = _split_features(spark, sf_dir)
+    hist, _ = run_search(spark, train, hold, n_iter=SEARCH_ITERATIONS, seed=SEARCH_SEED)
     d = refit_best(hist, train, hold)
     return d.select("season", "season_end_year", "team", "win_pct", out_round("pred_score").alias("pred_score"),
                     "pred_rank", "true_rank", "rank_diff", "iteration", "model_type")

@@ -63,3 +63,22 @@ def test_exact_quantiles(spark):
     q = quantiles(df, ["a", "b", "c"], [0.25, 0.5, 0.75])
     assert np.allclose(q["a"], np.quantile([x for x in a if x is not None], [0.25, 0.5, 0.75]))
     assert q["b"] == [3.0, 3.0, 3.0] and q["c"] is None
+
+
+def test_ranks_and_quantiles_are_the_same_by_window_and_by_slices(spark, monkeypatch):
+    from paneltide.operators import rank as R
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["a", "b", None]), i, rnd.choice([None, 1.5, rnd.random(), rnd.random()]), rnd.randrange(40)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, id int, v double, w int")
+    specs = [("v", "r", "ra"), ("w", "s", None)]
+    key = lambda d: sorted(tuple(r) for r in d.select("id", "r", "ra", "s").collect())
+    small = {by: key(R.rank_many(df, specs, by=by)) for by in ("g", ())}
+    few = R.quantiles(df, ["v", "w"], [0.1, 0.5, 0.9])
+    written = []
+    real = R.materialize
+    monkeypatch.setattr(R, "SLICE_ROWS", 25)
+    monkeypatch.setattr(R, "materialize", lambda d: written.append(1) or real(d))
+    assert {by: key(R.rank_many(df, specs, by=by)) for by in ("g", ())} == small
+    assert len(written) > 4                                 # slices were written
+    many = R.quantiles(df, ["v", "w"], [0.1, 0.5, 0.9])
+    assert many["v"] == pytest.approx(few["v"]) and many["w"] == pytest.approx(few["w"])
