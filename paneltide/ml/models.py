@@ -20,15 +20,14 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import (FeatureHasher, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import scaling
-from . import boosting
+from . import boosting, onehot
 
 SEED = 42
 MAX_TREE_DEPTH = 30          # Spark's limit for tree depth
@@ -194,28 +193,22 @@ def onehot_stages(cat_cols, prefix: str = "_oh"):
     return idx + [enc], [f"{prefix}_{c}_v" for c in cat_cols]
 
 
-#: slots of the hashed encoding of a category whose number of values grows with the data
-HASHED_SLOTS = 256
-
-
-def classifier_pipeline(num_cols, cat_cols=(), kind: str = "gbt", params: dict | None = None,
-                        label: str = "label", weight_col: str | None = None, hashed_cols=()) -> Pipeline:
-    """``cat_cols`` have few values and get a slot each; ``hashed_cols`` may have any number
-    (one per team): they are hashed to ``HASHED_SLOTS`` slots, so no list of values is
-    held by the driver or the model; a NULL sets no slot."""
+def classifier_pipeline(train: DataFrame, num_cols, cat_cols=(), kind: str = "gbt", params: dict | None = None,
+                        label: str = "label", weight_col: str | None = None, slot_cols=()) -> Pipeline:
+    """Numbers scaled by the contract's population standard deviation, categories one-hot.
+    ``cat_cols`` have few values; ``slot_cols`` hold indices of ``ml.onehot``, whose
+    dictionary is a table, for categories of any size."""
     p = dict(params or {})
-    stages = []
-    num_in = list(num_cols)
-    stages.append(VectorAssembler(inputCols=num_in, outputCol="_num_raw", handleInvalid="keep"))
-    stages.append(StandardScaler(inputCol="_num_raw", outputCol="_num", withMean=True, withStd=True))
+    stages = preprocess(train, num_cols, "standard", "_s")
+    stages[-1].setOutputCol("_num")
     vec_cols = ["_num"]
     if cat_cols:
         oh, oh_cols = onehot_stages(cat_cols)
         stages += oh
         vec_cols += oh_cols
-    if hashed_cols:
-        stages.append(FeatureHasher(inputCols=list(hashed_cols), outputCol="_hashed", numFeatures=HASHED_SLOTS))
-        vec_cols.append("_hashed")
+    for c in slot_cols:
+        stages.append(onehot.vector_stage(c, f"_slots_{c}"))
+        vec_cols.append(f"_slots_{c}")
     stages.append(VectorAssembler(inputCols=vec_cols, outputCol="features"))
     gbt = dict(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
                maxDepth=int(p.get("max_depth", 3)), seed=SEED, featuresCol="features")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions.formulas import per36, shooting_pcts
 from ..functions.nulls import numeric_columns, out_round
-from ..ml import boosting, evaluate, models
+from ..ml import boosting, evaluate, models, onehot
 from ..ml.feature_groups import TREND_ONLY, columns_for
 from ..operators import joins, metrics, panel, splits, windows
 from ..session import materialize
@@ -166,9 +166,10 @@ def q_ml_star(spark, sf_dir):
     p = p.where(F.col("g") > 0).na.drop(subset=["label", *STAR_NUMERIC]).withColumn("label", F.col("label").cast("double"))
     p = _fit_frame(p.na.fill("", subset=["pos", "team"]).select("season_end_year", "label", "pos", "team", *STAR_NUMERIC))
     train, test = _test_last_periods(p)
-    seen = train.select("team").distinct().withColumn("seen", F.lit(True))
-    test = test.join(seen, "team", "left").withColumn("team", F.when(F.col("seen"), F.col("team"))).drop("seen")
-    model = models.classifier_pipeline(STAR_NUMERIC, ["pos"], "gbt", STAR_MODEL, hashed_cols=["team"]).fit(train)
+    slots, width = onehot.dictionary(train, "team")
+    train, test = (onehot.index(onehot.encode(f, "team", slots, "team_slot"), "team_slot", width) for f in (train, test))
+    train = materialize(train)                      # every boosting round reads it
+    model = models.classifier_pipeline(train, STAR_NUMERIC, ["pos"], "gbt", STAR_MODEL, slot_cols=["team_slot"]).fit(train)
     scored = model.transform(test).withColumn("pred", F.col("prediction"))
     return evaluate.binary_report(scored).withColumns({c: out_round(c) for c in ("precision", "recall", "f1")})
 
@@ -255,6 +256,19 @@ def q_onehot(spark, sf_dir):
     return test.select("player", "season_end_year", "pos", "team", "pos_encoded", "team_encoded", "pos_width", "team_width")
 
 
+@register("onehot_slots", with_ctes(PERF_AGE) + """, p AS (SELECT player, season_end_year, coalesce(team, '') AS team FROM perf_age),
+yrs AS (SELECT season_end_year, dense_rank() OVER (ORDER BY season_end_year DESC) AS rk FROM (SELECT DISTINCT season_end_year FROM p)),
+slots AS (SELECT team, dense_rank() OVER (ORDER BY team) - 1 AS team_slot
+  FROM (SELECT DISTINCT team FROM p JOIN yrs USING (season_end_year) WHERE rk > 3))
+SELECT player, season_end_year, team, team_slot, (SELECT CAST(count(*) AS BIGINT) FROM slots) AS width FROM p LEFT JOIN slots USING (team)""")
+def q_onehot_slots(spark, sf_dir):
+    """The slot of every row's team in the exact one-hot encoding fitted on the train periods."""
+    p = _players(spark, sf_dir).select("player", "season_end_year", "team").na.fill("", subset=["team"])
+    train, _ = _test_last_periods(p)
+    slots, width = onehot.dictionary(train, "team")
+    return onehot.encode(p, "team", slots, "team_slot").withColumn("width", F.lit(width).cast("long"))
+
+
 # --- search -------------------------------------------------------------------------------
 
 #: configurations that the registered search draws (``run_search`` takes any number, 1000 by
