@@ -11,6 +11,7 @@ from ..sources import files, html
 from ..session import materialize, scratch_path
 from ..sinks import writers
 from .oracle_sql import OUTCOME, PERF, TEAM_SEASON, r6, with_ctes
+from .panel_queries import TREND_COLS, TREND_INCL
 from .registry import register
 
 KNN_K = 5
@@ -192,3 +193,18 @@ def q_stream_ingest(spark, sf_dir):
     target = ingest_outcomes(spark, source, spark.read.parquet(source).schema)
     return spark.read.parquet(target).select("team", F.col("season_end_year").cast("int").alias("season_end_year"),
                                              "season", "wins", "losses")
+
+
+@register("stream_refresh", with_ctes(OUTCOME, TREND_INCL) + "SELECT team, season_end_year, wins, losses, "
+          + ", ".join(r6(c, c) for c in TREND_COLS) + " FROM t")
+def q_stream_refresh(spark, sf_dir):
+    """Line items arriving in three drops, seasons split over them and early ones late: after
+    each the panel and the trends behind the stream are brought up to date."""
+    from ..streaming.refresh import refresh_panel
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_returnflag", "l_shipdate")
+    source, path, checkpoint = (scratch_path(spark, n) for n in ("drops", "panel_tables", "drops_ckpt"))
+    drop = F.pmod(F.lit(2005) - F.year("l_shipdate") + F.col("l_orderkey"), F.lit(3))
+    for k in range(3):
+        items.where(drop == k).write.mode("append").parquet(source)
+        tables = refresh_panel(spark, source, items.schema, path, checkpoint)
+    return tables.read("trend").select("team", "season_end_year", "wins", "losses", *[out_round(c).alias(c) for c in TREND_COLS])
