@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from paneltide.session import materialize
 
-from .common import GRAM_MULT, SPACED, gram_hashes, mix, slices, utf8, within_rows, word_hashes, word_spans
+from .common import GRAM_MULT, SPACED, gram_hashes, mix, sheltered, slices, utf8, within_rows, word_hashes, word_spans
 
 LENGTH = 50
 #: words of an anchor gram
@@ -306,10 +306,15 @@ def marks(docs: DataFrame, length: int = LENGTH, key: str = "doc_id") -> DataFra
             .groupBy("_id", "_th").agg(F.collect_list("mark").alias("marks")))
 
 
+MADE = ["n_words", "n_removed", "kept"]
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) with n_words, n_removed and ``kept`` (the words
-    that stay, joined by one space)."""
-    keep = docs.columns if keep is None else keep
-    schema = T.StructType([docs.schema[c] for c in keep]).add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept", T.StringType())
-    left = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("_id", F.col(key).cast("long")).withColumn("_th", F.xxhash64("text"))
-    return left.join(marks(docs, length, key), ["_id", "_th"], "left").mapInArrow(_removal(keep, length), schema)
+    that stay, joined by one space); columns of the input with these names are replaced."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in MADE]
+    inner, restored = sheltered(docs.select(*dict.fromkeys([*keep, key, "text"])), [key, "text"])
+    schema = T.StructType(list(inner.schema.fields)).add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept", T.StringType())
+    left = inner.withColumn("_id", F.col(key).cast("long")).withColumn("_th", F.xxhash64("text"))
+    made = left.join(marks(inner, length, key), ["_id", "_th"], "left").mapInArrow(_removal(inner.columns, length), schema)
+    return restored(made, MADE).select(*keep, *MADE)

@@ -144,10 +144,10 @@ def within_rows(first: np.ndarray, k: int) -> np.ndarray:
     return np.arange(n) + k <= end
 
 
-def sheltered(docs: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+def sheltered(docs: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """(``docs`` with every column but the needed ones under a neutral name, a function
-    that brings the names and their order back), so that no further column of the input
-    clashes with a working column."""
+    that brings the names and their order back, with further columns if told), so that no
+    further column of the input clashes with a working column."""
     inner = {c: c if c in needed else f"_col{i}_" for i, c in enumerate(docs.columns)}
     hidden = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items()))
-    return hidden, lambda out: out.select(*(F.col(n).alias(c) for c, n in inner.items()))
+    return hidden, lambda out, more=(): out.select(*(F.col(n).alias(c) for c, n in inner.items()), *more)

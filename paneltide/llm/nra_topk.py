@@ -16,8 +16,9 @@ bounded size; each cell returns at most k rows per query, and a ranking over
 those gives the result.  No cell depends on another, and none holds more than
 ``SHARD`` candidates and ``BLOCK`` queries.
 
-Edge cases: vectors that are null or hold null, NaN or infinite components take no
-part (neither as query nor as candidate); rows that share a vec_id count once, with the
+Edge cases: vectors that are null or hold null, NaN or infinite components, or components
+whose integer leaves +-2**53, take no part (neither as query nor as candidate); scores are
+exact and ranked at any size, and one beyond a long is null in the result; rows that share a vec_id count once, with the
 smallest vector; a null vec_id takes no part; shorter vectors end in zeros; ties go
 to the smaller vec_id; fewer candidates than k give fewer rows; an empty table
 gives no rows; further columns are ignored.
@@ -25,6 +26,7 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -35,14 +37,17 @@ SHARD = 4096
 BLOCK = 512
 SCALE = 256
 
-FOUND = "query_id long, vec_id long, score long"
+#: integers of components are exact as doubles below this
+LARGEST = float(1 << 53)
+
+FOUND = "query_id long, vec_id long, score decimal(38,0)"
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
     """vec_id and ``ints``: floor(256 * x) of each component, usable rows only."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(
-        x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+        x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(LARGEST / SCALE)))
     one = vectors.select("vec_id", "embedding").where(usable).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     return one.select("vec_id", F.transform(x, lambda v: F.floor(v * SCALE).cast("long")).alias("ints"))
 
@@ -111,7 +116,9 @@ def _cell(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     ids = pdf["vec_id"].to_numpy(np.int64)
     c, cid = both[~is_q], ids[~is_q]
     rows = nra_cell(both[is_q], ids[is_q], c, cid, k) if is_q.any() and len(c) else []
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+    made = pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64"})
+    made["score"] = [Decimal(v) for v in made["score"]]
+    return made
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
@@ -132,4 +139,4 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     found = cells.groupBy("shard", "block").applyInPandas(run, FOUND)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select("query_id", "rank", "vec_id", F.expr("try_cast(score as bigint)").alias("score")))

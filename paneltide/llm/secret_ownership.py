@@ -31,8 +31,9 @@ from .native_spans import span_text, with_spans
 OWNERS = 2
 #: a value in more repositories than this is a copied example, whoever owns them
 REPOS = 10
-#: different characters of a value that looks random
-VARIED = 6
+#: different characters of a value that looks random; one of letters of one case or digits alone needs
+#: LONG_VARIED of them, as ordinary words have few
+VARIED, LONG_VARIED = 6, 12
 MASK = "[SECRET]"
 
 KINDS = ["assign", "access", "hex"]
@@ -65,7 +66,12 @@ def findings(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _varied(value: Column) -> Column:
-    return F.size(F.array_distinct(F.split(value, ""))) >= VARIED
+    """Does the value look random: varied characters of two kinds at least (small letters,
+    capitals behind the first character, digits), or many different ones?"""
+    different = F.size(F.array_distinct(F.split(value, "")))
+    kinds = [value.rlike("[a-z]"), F.substr(value, F.lit(2)).rlike("[A-Z]"), value.rlike("[0-9]")]
+    mixed = sum((k.cast("int") for k in kinds[1:]), kinds[0].cast("int")) >= 2
+    return ((different >= VARIED) & mixed) | (different >= LONG_VARIED)
 
 
 def ownership(found: DataFrame, repo: str, owner: str) -> DataFrame:
@@ -106,15 +112,24 @@ def scan(docs: DataFrame, key: str = "doc_id", repo: str = "doc_id", owner: str
 
 
 def redact(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> DataFrame:
-    """``docs`` with every owner-specific, live-looking value replaced by ``MASK``;
-    copied examples stay.  ``n_chars``, if there, follows the text that changed."""
+    """``docs`` with every found owner-specific, live-looking value replaced by ``MASK``, at
+    its own place alone: equal characters elsewhere stay, and so do copied examples.  ``n_chars``, if there, follows the text that changed."""
     inner, restored = sheltered(docs, [repo, owner, "text", "n_chars"])
     found = findings(inner, inner.columns)
     hit = found.where(F.size("found") > 0).join(judged(found, repo, owner), "_row", "left")
-    values = F.array_distinct(F.transform(F.filter("found", lambda s: F.array_contains("live", F.xxhash64(s["value"]))), lambda s: s["value"]))
-    longest_first = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
+    # a value ends where its match ends
+    spans = F.transform(F.filter("found", lambda s: F.array_contains("live", F.xxhash64(s["value"]))),
+                        lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end")))
+
+    def masked(done: Column, s: Column) -> Column:
+        """The text up to the end of span ``s``; a span inside one before it adds nothing."""
+        added = F.when(s["start"] >= done["at"], F.concat(F.substring("text", done["at"] + 1, s["start"] - done["at"]), F.lit(MASK))).otherwise("")
+        return F.when(s["end"] <= done["at"], done).otherwise(F.struct(F.concat(done["out"], added).alias("out"), s["end"].alias("at")))
+
+    cut = F.aggregate(F.array_sort(F.array_distinct(spans)), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), masked)
+    hit = hit.withColumn("_cut", F.when(F.col("live").isNotNull(), cut))
     hit = hit.withColumn("_new", F.when(F.col("live").isNull(), F.col("text")).otherwise(
-        F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK)))))
+        F.concat("_cut.out", F.substring("text", F.col("_cut.at") + 1, F.length("text")))))
     if "n_chars" in docs.columns:
         n = docs.schema["n_chars"].dataType
         hit = hit.withColumn("n_chars", F.when(F.col("live").isNotNull(), F.length("_new").cast(n)).otherwise(F.col("n_chars")))

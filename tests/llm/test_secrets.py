@@ -82,3 +82,15 @@ def test_places_of_many_matches(spark):
     text = "".join(f"é{i} " for i in range(1500))
     got = materialize(with_spans(spark.createDataFrame([(text,)], "t string"), "s", "t", "[0-9]+")).select(F.explode("s")).select("col.start", "col.end", "col.value").collect()
     assert [tuple(r) for r in got] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", text)]
+
+
+def test_redaction_masks_the_found_places_alone(spark):
+    texts = {1: "secret: mountains and the mountains, submountains stay as we considered it; password = considered",
+             2: "password = Trees1234x and the word Trees1234x, xTrees1234x; é password: Trees1234x",
+             3: f"😀token='{HEX}' then {HEX}{HEX} {LIVE} end", 4: "token=a1b2c3d4", 5: "api_key=" + "q7" * 4 + "w8e9r0"}
+    d = spark.createDataFrame([(i, t, f"s{i}") for i, t in texts.items()], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in S.redact(d).collect()}
+    assert got[1] == texts[1]                                               # ordinary words
+    assert got[2] == "password = [SECRET] and the word Trees1234x, xTrees1234x; é password: [SECRET]"
+    assert got[3] == "😀token='[SECRET]' then [SECRET] [SECRET] end"
+    assert got[4] == "token=[SECRET]" and got[5] == "api_key=[SECRET]"

@@ -64,3 +64,12 @@ def test_matching_statistics():
 
 def test_empty_table(spark):
     assert A.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_with_working_names_are_kept(spark):
+    rows = [(i, t, 7, [1], "x", 2.5) for i, t in corpus(random.Random(4), 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, marks array<int>, _id string, _th double")
+    got = A.dedup(df, 5)
+    assert got.columns == ["doc_id", "text", "marks", "_id", "_th", "n_words", "n_removed", "kept"]
+    assert {(tuple(r.marks), r._id, r._th) for r in got.collect()} == {((1,), "x", 2.5)}
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()), key=str) == plain([r[:2] for r in rows], 5)

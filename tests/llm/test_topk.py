@@ -78,3 +78,16 @@ def test_many_queries_equal_brute_force(n):
             best = np.lexsort((np.arange(n), -scores))[:5]
             wrong += got[-1 - a - i] != [(j, scores[j]) for j in best]
     assert not wrong
+
+
+def test_components_and_scores_beyond_a_long(spark):
+    rows = [(0, [1e300, 1.0]), (1, [3e13, 1.0]), (2, [2e13, 2.0]), (3, [1e13, 0.0]), (4, [-2e13, 1.0]), (5, [0.5, 0.5]), (6, [0.5, 0.25]), (7, [1e17, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in N.top_k(df, F.col("vec_id").isin(0, 1, 5), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    q = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i not in (0, 7)}
+    for i in (1, 5):                                            # 0 and 7 leave the integers: no part
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i)[:5]
+        assert got[i] == [(j, -s if -s in range(-2**63, 2**63) else None) for s, j in best]
+    assert set(got) == {1, 5} and [s for _, s in got[1]][0] is None
