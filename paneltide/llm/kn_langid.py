@@ -2,22 +2,26 @@
 
 One model of order 4 per language, over lower-cased letters with every run of
 other characters as one blank.  N-gram counts come from all labelled documents
-outside the held-out fold, pre-aggregated in the tasks.  A model is a set of sorted
-arrays (n-gram key -> log probability, context key -> back-off weight) read with
-binary search; a key packs four 16-bit characters.  The language of lowest
+outside the held-out fold, pre-aggregated in the tasks; continuation counts, discounts,
+back-off weights and probabilities of all orders are Spark tables made from all n-grams.  A
+model is a set of sorted arrays (n-gram key -> log probability, context key -> back-off
+weight) read with binary search; a key packs four 16-bit characters.  The language of lowest
 cross-entropy per character wins.
 
+Models go to the tasks in groups of languages, each group of at most ``GROUP_BYTES`` (counted
+before it is fetched; a language is never split).  With several groups the rows pass through
+one group after another, carrying their best language so far and each word's best log
+probability; the result is the same.
+
 Rejection is calibrated, on the cross-entropy with the best language of each word
-(a document that quotes another known language is not foreign): the models learn from the labelled folds other than
-``CALIBRATION``, whose documents then tell how far a document's cross-entropy strays from
-its language's mean.  The deviation is standardised by the document's length, and a
+(a document that quotes another known language is not foreign): models of the labelled folds other than
+``CALIBRATION`` tell how far a document of that fold strays from
+its language's mean.  They also judge the documents of that fold; the models for all others
+have learnt from it as well.  The deviation is standardised by the document's length, and a
 document is rejected beyond ``SLACK`` times the deviation that a share of ``FALSE_REJECT`` of
 its language's calibration documents exceed (of all, where the language has too few), and only if it is at least as far off as a text of ``LONG`` characters with ``FAR`` nats per character
 more than its language's mean, so that few calibration documents don't make it strict.
 
-``MAX_GRAMS`` bounds the n-grams of one language that the models keep (the most frequent
-by powers of two of their count); the discounts still come from all counts.
-
 Edge cases: null text or text without a letter is ``und`` with score 0 and is
 rejected; very long texts are scored whole; equal cross-entropies go to the
 alphabetically first language; repeated rows count as often as they stand; without
@@ -29,12 +33,12 @@ columns, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +47,8 @@ from paneltide.session import materialize
 from .common import sheltered, slices
 
 FOLDS, CALIBRATION = 5, 1
-MAX_GRAMS = 500_000
+#: bytes of model tables that a task holds at once, unless one language alone has more
+GROUP_BYTES = 128 << 20
 SLACK = 1.25
 #: share of a language's calibration documents that may lie beyond its quantile
 FALSE_REJECT = 0.01
@@ -86,17 +91,18 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, pd.Series] = {}
+    held: dict[tuple, pd.Series] = {}
 
     def flush():
-        for lang, s in held.items():
+        for (lang, later), s in held.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(s)), pa.array(s.index.to_numpy().view(np.int64)), pa.array(s.to_numpy(np.int64))], ["lang", "gram", "n"])
+                [pa.array([lang] * len(s)), pa.array([later] * len(s)), pa.array(s.index.to_numpy().view(np.int64)), pa.array(s.to_numpy(np.int64))],
+                ["lang", "later", "gram", "n"])
         held.clear()
 
     for batch in batches:
         for part in slices(batch):
-            langs = part.column("lang").to_pylist()
+            langs = list(zip(part.column("lang").to_pylist(), part.column("later").to_pylist()))
             texts = part.column("text").to_pylist()
             for lang in set(langs):
                 key, _, _, _ = grams([t for t, x in zip(texts, langs) if x == lang])
@@ -136,6 +142,16 @@ class KneserNey:
             p = np.maximum(c - disc, 0) / total[where] + weight[where] * lower
             self.orders.append((k, np.log(p), ctx, np.log(weight)))
 
+    @classmethod
+    def of_tables(cls, floor: float, logp: list[tuple], weights: list[tuple]) -> KneserNey:
+        """From (keys, log probabilities) of orders 1 to 4 and (contexts, log weights) of 2 to 4."""
+        made = cls.__new__(cls)
+        made.floor, made.orders = floor, []
+        for (k, p), (ctx, w) in zip(logp, [(None, None), *weights]):
+            at, by = np.argsort(k), None if ctx is None else np.argsort(ctx)
+            made.orders.append((k[at], p[at], None if by is None else ctx[by], None if by is None else w[by]))
+        return made
+
     def log_prob(self, key: np.ndarray) -> np.ndarray:
         """Log probability of the last character of each key, by the orders built so far."""
         out = np.full(len(key), self.floor)
@@ -150,92 +166,165 @@ class KneserNey:
         return out
 
 
-def train(docs: DataFrame) -> dict[str, KneserNey]:
-    """A model per language from the n-grams of all rows of ``docs`` (text, lang)."""
-    rows = docs.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = materialize(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    power = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
-    bins: dict[str, dict[int, int]] = {}
-    ones: dict[str, list[int]] = {}
-    for r in counts.groupBy("lang", power.alias("p")).agg(
-            F.count("*").alias("grams"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect():
-        bins.setdefault(r["lang"], {})[r["p"]] = r["grams"]
-        seen = ones.setdefault(r["lang"], [0, 0])
-        seen[0] += r["n1"]
-        seen[1] += r["n2"]
-    least = {}
-    for lang, by in bins.items():
-        p, total = max(by), 0
-        for p in sorted(by, reverse=True):
-            total += by[p]
-            if total > MAX_GRAMS and p != max(by):
-                p += 1
-                break
-        least[lang] = 2 ** p
-    if not least:
-        return {}
-    keep = F.lit(False)
-    for lang, n in least.items():
-        keep = keep | ((F.col("lang") == lang) & (F.col("n") >= n))
-    models = {}
-    for lang in sorted(least):  # one bounded table at a time
-        t = counts.where(keep & (F.col("lang") == lang)).select("gram", "n").toPandas()
-        models[lang] = KneserNey(t["gram"].to_numpy(np.int64).view(np.uint64), t["n"].to_numpy(), *ones[lang])
-    return models
-
-
-def _score(texts: list[str | None], models: dict[str, KneserNey]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(cross-entropy by row and language, cross-entropy with the best language of
-    each word, characters, letters) of each row."""
-    key, row, letters, head = grams(texts)
-    code, distinct = pd.factorize(key)
-    n = np.bincount(row, minlength=len(texts))
-    word_row = row[head]
-    ce, best = np.zeros((len(texts), len(models))), None
-    for j, m in enumerate(models.values()):
-        if not len(key):
-            break
-        word = np.add.reduceat(m.log_prob(distinct)[code], head)
-        best = word if best is None else np.maximum(best, word)
-        ce[:, j] = -np.bincount(word_row, word, minlength=len(texts)) / np.maximum(n, 1)
-    mixed = np.zeros(len(texts)) if best is None else -np.bincount(word_row, best, minlength=len(texts)) / np.maximum(n, 1)
-    return ce, mixed, n, letters
+def counted(docs: DataFrame, later: Column) -> DataFrame:
+    """lang, gram, first and both: how often a 4-gram stands in the labelled rows of ``docs``
+    that are not ``later``, and in all of them."""
+    rows = docs.select("text", "lang", F.coalesce(later, F.lit(False)).alias("later")).where("lang IS NOT NULL AND text IS NOT NULL")
+    parts = rows.mapInArrow(_count, "lang string, later boolean, gram long, n long")
+    return materialize(parts.groupBy("lang", "gram").agg(
+        F.sum(F.when(~F.col("later"), F.col("n")).otherwise(0)).alias("first"), F.sum("n").alias("both")))
+
+
+class Models:
+    """The tables of all languages: ``logp`` (lang, n, key, logp) of every n-gram of order n and
+    ``weight`` (lang, n, key, logw) of every context of order n; on the driver only the size and the
+    floor of each language."""
+
+    def __init__(self, logp: DataFrame, weight: DataFrame, floors: dict[str, float], sizes: dict[str, int]):
+        self.logp, self.weight, self.floors, self.sizes = logp, weight, floors, sizes
+
+    def groups(self) -> list[list[str]]:
+        """Languages in alphabetical order, as many together as ``GROUP_BYTES`` hold."""
+        out: list[list[str]] = []
+        room = 0
+        for lang in sorted(self.sizes):
+            need = 16 * self.sizes[lang]
+            if not out or need > room:
+                out.append([])
+                room = GROUP_BYTES
+            out[-1].append(lang)
+            room -= need
+        return out
+
+    def fetch(self, langs: list[str]) -> dict[str, KneserNey]:
+        def arrays(table: DataFrame, value: str) -> dict[tuple, tuple]:
+            t = table.where(F.col("lang").isin(*langs)).toPandas()
+            return {k: (g["key"].to_numpy(np.int64).view(np.uint64), g[value].to_numpy(float)) for k, g in t.groupby(["lang", "n"])}
+
+        logp, weight = arrays(self.logp, "logp"), arrays(self.weight, "logw")
+        return {x: KneserNey.of_tables(self.floors[x], [logp[x, n] for n in (1, 2, 3, 4)], [weight[x, n] for n in (2, 3, 4)]) for x in langs}
+
+
+def train(counts: DataFrame, n: str) -> Models | None:
+    """The models of all languages from the counts in column ``n`` (zeros left out)."""
+    spark = counts.sparkSession
+    tables = {4: counts.where(F.col(n) > 0).select("lang", F.col("gram").alias("key"), F.col(n).cast("double").alias("c"))}
+    for order in (3, 2, 1):  # how many different characters stand before the shorter n-gram
+        tables[order] = materialize(tables[order + 1].groupBy("lang", F.col("key").bitwiseAND(F.lit(2 ** (16 * order) - 1)).alias("key"))
+                                    .agg(F.count("*").cast("double").alias("c")))
+    seen: dict[tuple, tuple] = {}
+    for order, t in tables.items():
+        for r in t.groupBy("lang").agg(F.count("*").alias("size"), F.sum("c").alias("total"),
+                                       F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect():
+            seen[r["lang"], order] = (_discount(r["n1"], r["n2"]), r["total"], r["size"])
+    langs = sorted({lang for lang, _ in seen})
+    if not langs:
+        return None
+    facts = spark.createDataFrame([(lang, order, d, total) for (lang, order), (d, total, _) in seen.items()], "lang string, n int, d double, total double")
+    above = F.greatest(F.col("c") - F.col("d"), F.lit(0.0))
+    p = materialize(tables[1].join(facts.where("n = 1").drop("n"), "lang").select("lang", "key", ((above + F.col("d")) / F.col("total")).alias("p")))
+    logp, weights = [p.select("lang", F.lit(1).alias("n"), "key", F.log("p").alias("logp"))], []
+    for order in (2, 3, 4):
+        t = tables[order].withColumn("ctx", F.shiftrightunsigned("key", 16)).join(facts.where(F.col("n") == order).select("lang", "d"), "lang")
+        ctx = materialize(t.groupBy("lang", "ctx", "d").agg(F.sum("c").alias("total"), F.count("*").alias("types"))
+                          .select("lang", "ctx", "total", (F.col("d") * F.col("types") / F.col("total")).alias("w")))
+        weights.append(ctx.select("lang", F.lit(order).alias("n"), F.col("ctx").alias("key"), F.log("w").alias("logw")))
+        lower = p.select("lang", F.col("key").alias("suffix"), F.col("p").alias("lower"))
+        t = t.withColumn("suffix", F.col("key").bitwiseAND(F.lit(2 ** (16 * (order - 1)) - 1)))
+        p = materialize(t.join(ctx, ["lang", "ctx"]).join(lower, ["lang", "suffix"])
+                        .select("lang", "key", (above / F.col("total") + F.col("w") * F.col("lower")).alias("p")))
+        logp.append(p.select("lang", F.lit(order).alias("n"), "key", F.log("p").alias("logp")))
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    floors = {x: float(np.log(seen[x, 1][0] / seen[x, 1][1])) for x in langs}
+    return Models(union(logp), union(weights), floors, {x: sum(seen[x, order][2] for order in tables) * 2 for x in langs})
+
+
+class State:
+    """What is known of the rows of a slice after some languages."""
+
+    def __init__(self, texts: list[str | None], low=None, best=None, odds=None, words=None):
+        self.key, self.row, self.letters, self.head = grams(texts)
+        self.code, self.distinct = pd.factorize(self.key)
+        self.n = np.bincount(self.row, minlength=len(texts))
+        fresh = low is None
+        self.low = np.full(len(texts), np.inf) if fresh else low                      # lowest cross-entropy
+        self.best = np.full(len(texts), None, object) if fresh else best              # its language
+        self.odds = np.zeros(len(texts)) if fresh else odds                           # sum of exp((low - entropy) * characters)
+        self.words = np.full(len(self.head), -np.inf) if fresh else words             # best log probability of each word
+
+    def meet(self, models: dict[str, KneserNey]) -> None:
+        if not len(self.key):
+            return
+        word_row, sure = self.row[self.head], np.minimum(self.n, SURE_CHARS)
+        for lang, m in models.items():
+            word = np.add.reduceat(m.log_prob(self.distinct)[self.code], self.head)
+            self.words = np.maximum(self.words, word)
+            ce = -np.bincount(word_row, word, minlength=len(self.n)) / np.maximum(self.n, 1)
+            low = np.minimum(self.low, ce)
+            before = np.where(np.isfinite(self.low), np.exp((low - np.where(np.isfinite(self.low), self.low, 0)) * sure), 0.0)
+            self.odds = self.odds * before + np.exp((low - ce) * sure)
+            self.best[ce < self.low] = lang
+            self.low = low
+
+    def mixed(self) -> np.ndarray:
+        """Cross-entropy with the best language of each word."""
+        if not len(self.key) or not np.isfinite(self.words).all():
+            return np.zeros(len(self.n))
+        return -np.bincount(self.row[self.head], self.words, minlength=len(self.n)) / np.maximum(self.n, 1)
 
 
 SCORED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                        T.StructField("entropy", T.DoubleType()), T.StructField("chars", T.LongType()), T.StructField("letters", T.LongType())])
 
 
-def scored(docs: DataFrame, models: dict[str, KneserNey], keep: list[str]) -> DataFrame:
+CARRIED = T.StructType([T.StructField("_low", T.DoubleType()), T.StructField("_best", T.StringType()), T.StructField("_odds", T.DoubleType()),
+                        T.StructField("_words", T.ArrayType(T.DoubleType()))])
+
+
+def scored(docs: DataFrame, models: Models | None, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and lang_pred, score, entropy (per character,
     with the best language of each word), chars, letters."""
-    box = docs.sparkSession.sparkContext.broadcast(models)
     names = [f.name for f in SCORED]
     keep = [c for c in keep if c not in names]
-    schema = T.StructType([docs.schema[c] for c in keep] + SCORED.fields)
-
+    need = list(dict.fromkeys([*keep, "text"]))
+    rows, groups = docs.select(*need), models.groups() if models else [[]]
+    for i, group in enumerate(groups):
+        box = docs.sparkSession.sparkContext.broadcast(models.fetch(group) if models else {})
+        schema = T.StructType([rows.schema[c] for c in keep] + SCORED.fields)
+        if i < len(groups) - 1:
+            schema = T.StructType([rows.schema[c] for c in need] + CARRIED.fields)
+        rows = rows.mapInArrow(_meeting(box, keep if i == len(groups) - 1 else need, i > 0, i == len(groups) - 1), schema)
+        if i < len(groups) - 1:
+            rows = materialize(rows)
+    return rows
+
+
+def _meeting(box, keep: list[str], carried: bool, last: bool):
+    """One group of languages meets the rows; the ``last`` one settles them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = box.value
-        langs = np.array(list(models) or [UNKNOWN], object)
         for batch in batches:
             for part in slices(batch):
-                texts = part.column("text").to_pylist()
-                if models:
-                    ce, mixed, n, letters = _score(texts, models)
-                    best = ce.argmin(axis=1)
-                    low = ce[np.arange(len(best)), best]
-                    odds = np.exp(-(ce - low[:, None]) * np.minimum(n, SURE_CHARS)[:, None])
-                    sure = 1 / odds.sum(axis=1)
-                else:
-                    n = letters = np.array([sum(map(str.isalpha, t or "")) for t in texts])
-                    best, mixed, sure = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n))
-                blank = letters == 0
+                before = []
+                if carried:
+                    low, best, odds = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_low", "_best", "_odds"))
+                    before = [low.astype(float), best.astype(object), odds.astype(float), part.column("_words").flatten().to_numpy(zero_copy_only=False).astype(float)]
+                at = State(part.column("text").to_pylist(), *(a.copy() for a in before))
+                at.meet(models)
+                kept = [part.column(c) for c in keep]
+                if not last:
+                    ends = np.searchsorted(at.row[at.head], np.arange(len(at.n) + 1)) if len(at.key) else np.zeros(len(at.n) + 1, np.int64)
+                    words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at.words, pa.float64()))
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(at.low), pa.array(at.best, pa.string()), pa.array(at.odds), words],
+                                                     [*keep, *(f.name for f in CARRIED)])
+                    continue
+                blank = (at.letters == 0) | np.array([b is None for b in at.best], bool)
+                sure = np.divide(1.0, at.odds, out=np.zeros(len(at.n)), where=at.odds > 0)
+                chars = at.n if models else at.letters
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keep), pa.array(np.where(blank, UNKNOWN, langs[best])), pa.array(np.where(blank, 0.0, sure)),
-                     pa.array(mixed), pa.array(n.astype(np.int64)), pa.array(letters.astype(np.int64))], [*keep, *names])
-
-    need = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*need).mapInArrow(run, schema)
+                    [*kept, pa.array(np.where(blank, UNKNOWN, at.best), pa.string()), pa.array(np.where(blank, 0.0, sure)),
+                     pa.array(at.mixed()), pa.array(chars.astype(np.int64)), pa.array(at.letters.astype(np.int64))], [*keep, *(f.name for f in SCORED)])
+    return run
 
 
 def fold(key: str = "doc_id"):
@@ -246,10 +335,10 @@ def identify(docs: DataFrame, keep: list[str], key: str = "doc_id") -> DataFrame
     """The columns ``keep`` with held_out, lang_pred, score, rejected, entropy, chars.
     Learns from the rows of ``docs`` outside fold 0."""
     rows = docs.withColumn("_fold", F.coalesce(fold(key), F.lit(0)))
-    models = train(rows.where(~F.col("_fold").isin(0, CALIBRATION)))
-    if not models:  # few rows: nothing is left for calibration
-        models = train(rows.where("_fold <> 0"))
-    known = scored(rows.where(F.col("_fold") == CALIBRATION).where("lang IS NOT NULL"), models, ["lang"]).where("letters > 0 AND lang = lang_pred")
+    counts = counted(rows.where("_fold <> 0"), F.col("_fold") == CALIBRATION)
+    models = train(counts, "both")
+    earlier = train(counts, "first") or models  # few rows: nothing is left for calibration
+    known = scored(rows.where(F.col("_fold") == CALIBRATION).where("lang IS NOT NULL"), earlier, ["lang"]).where("letters > 0 AND lang = lang_pred")
     known = materialize(known.select("lang", "entropy", "chars"))
     mean = {r["lang"]: r["mean"] for r in known.groupBy("lang").agg(F.avg("entropy").alias("mean")).collect()} if models else {}
 
@@ -270,7 +359,8 @@ def identify(docs: DataFrame, keep: list[str], key: str = "doc_id") -> DataFrame
         q = r["far"] if r["n"] * FALSE_REJECT >= 1 else pooled  # too few to tell that share: that of all languages
         limit[r["lang"]] = max(SLACK * q, FAR * LONG ** 0.5)
     rejected = (F.col("letters") == 0) | F.coalesce(stray("lang_pred") > by_lang("lang_pred", limit), F.lit(False))
-    out = scored(docs, models, keep)
+    is_later = F.coalesce(fold(key), F.lit(0)) == CALIBRATION
+    out = scored(docs.where(~is_later), models, keep).unionByName(scored(docs.where(is_later), earlier, keep))
     return out.withColumn("rejected", rejected).withColumn("held_out", F.coalesce(fold(key) == 0, F.lit(True)))
 
 
