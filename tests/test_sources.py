@@ -122,3 +122,21 @@ def test_write_sorted_by_period(spark, tmpdir_path):
         files = sorted(glob.glob(os.path.join(out, f"season={season}", "*.csv")))
         lines = [ln.split(",") for f in files for ln in open(f).read().splitlines()[1:]]
         assert [ln[0] for ln in lines] == order
+
+
+def test_csv_of_any_width_is_read_by_name(spark, tmpdir_path):
+    import os
+    wide = [f"x{i}" for i in range(150)]
+    os.makedirs(f"{tmpdir_path}/in")
+    with open(f"{tmpdir_path}/in/a.csv", "w") as f:
+        f.write(",".join([*wide, "wins", '"team"']) + "\n" + ",".join(["0"] * 150 + ["7", '"A, B"']) + "\n")
+        f.write(",".join([*wide, "wins", "team"]) + "\n" + ",".join(["0"] * 150 + ["8", "C"]) + ",more,fields\n")
+    with open(f"{tmpdir_path}/in/b.csv", "w") as f:
+        f.write("Tm , W\nwins team,3\nD,x\n")
+    schema = spark.createDataFrame([], "team string, wins int").schema
+    got = files.read_csv(spark, f"{tmpdir_path}/in", schema, aliases={"Tm": "team", "W": "wins"})
+    assert sorted((r.team, r.wins) for r in got.collect()) == [("A, B", 7), ("C", 8), ("D", None), ("wins team", 3)]
+    with open(f"{tmpdir_path}/in/c.csv", "w") as f:
+        f.write("team,losses\nE,1\n")
+    with pytest.raises(ValueError, match="c.csv"):
+        files.read_csv(spark, f"{tmpdir_path}/in", schema, aliases={"Tm": "team", "W": "wins"})
