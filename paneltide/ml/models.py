@@ -13,7 +13,7 @@ Model families of the original search and their Spark form:
                             with a penalty, leaf-wise trees (scalers do not change trees)
   ensemble               -> weighted mean of member predictions
   knn                    -> exact k-nearest-neighbour join (operators.knn)
-Support-vector and MLP regressors are not built.
+  nn / svm               -> ``ml.gradient``: gradients summed over all rows
 """
 
 from __future__ import annotations
