@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 
 from paneltide.session import materialize
 
-from .native_spans import span_text, with_spans
+from .native_spans import in_chunks, overlapping, span_text, with_spans
 
 TRAIN_ROWS = 20_000
 PRECISION = 0.98
 EVIDENCE = 50
 TREES, DEPTH = 12, 3
-#: code points of context on each side of a candidate
+#: code points of context on each side of a candidate, up to the next one
 CONTEXT = 40
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -105,10 +105,8 @@ def _valid(kind: str, s: Column) -> Column:
 FEATURES = ["kind", "length", "digits", "separators", "groups", "distinct", "brackets", "glued_before", "glued_after", "words_for", "words_against"]
 
 
-def _features(kind: str, i: int, s: Column, text: Column) -> Column:
-    v = s["match"]
-    before = F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
-    after = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
+def _features(kind: str, i: int, s: Column) -> Column:
+    v, before, after = s["match"], s["before"], s["after"]
     near = F.lower(F.concat_ws(" ", before, after))
     digits = _digits(v)
     gone = F.length(v) - F.length(digits)
@@ -129,8 +127,8 @@ def findings(docs: DataFrame, keep: list[str]) -> DataFrame:
         df = with_spans(df, f"_b_{kind}", "_text", regex)
         df = df.withColumn(f"_b_{kind}", F.filter(f"_b_{kind}", _judge(kind)))
     for i, kind in enumerate(KINDS):
-        df = with_spans(df, f"_g_{kind}", "_text", GENERATORS[kind])
-        df = df.withColumn(f"_g_{kind}", F.transform(f"_g_{kind}", _candidate(kind, i, f"_b_{kind}")))
+        df = with_spans(df, f"_g_{kind}", "_text", GENERATORS[kind], context=CONTEXT).withColumn(f"_c_{kind}", in_chunks(f"_b_{kind}"))
+        df = df.withColumn(f"_g_{kind}", F.transform(f"_g_{kind}", _candidate(kind, i, f"_c_{kind}")))
     base = F.concat(*(F.transform(f"_b_{kind}", _numbered(i)) for i, kind in enumerate(KINDS)))
     return materialize(df.select(*keep, "_row", base.alias("base"), F.concat(*(f"_g_{k}" for k in KINDS)).alias("candidates")))
 
@@ -145,9 +143,8 @@ def _numbered(i: int):
 
 def _candidate(kind: str, i: int, base: str):
     def made(s: Column) -> Column:
-        overlaps = F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         return F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-                        _features(kind, i, s, F.col("_text")).alias("features"), overlaps.alias("personal"))
+                        _features(kind, i, s).alias("features"), overlapping(base, s).alias("personal"))
     return made
 
 
@@ -215,8 +212,10 @@ def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         bar = " ".join(f"WHEN {k} THEN {v - 0.0005}D" for k, v in limits.items())
         score = f"transform(array(c.features), f -> {margin})[0]"
         # a candidate adds to the base where it overlaps no base span
-        added = F.expr(f"""transform(filter(candidates, c -> NOT c.personal AND {score} >= CASE c.kind {bar} ELSE double('Infinity') END
-            AND NOT exists(base, b -> b.start < c.end AND c.start < b.end)), c -> struct(c.kind AS kind, c.start AS start, c.end AS end))""")
+        good = F.expr(f"filter(candidates, c -> NOT c.personal AND {score} >= CASE c.kind {bar} ELSE double('Infinity') END)")
+        found = found.withColumn("_chunks", in_chunks("base")).withColumn("_good", good)
+        added = F.transform(F.filter("_good", lambda c: ~overlapping("_chunks", c)),
+                            lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     df = found.withColumn("added", added)
     every = F.array_sort(F.concat("base", "added"))
     names = F.array(*map(F.lit, KINDS))
