@@ -1,12 +1,12 @@
 """License notices by diagonal voting.
 
 Every rolling word k-gram of every document is hashed and joined, in Spark, with
-the k-grams of a fixed set of license notices (``NOTICES``, a few hundred k-grams, so
-its broadcast has a fixed size).  A hit votes for the diagonal ``document position -
+the k-grams of license notices: a table (label, text) of notices of any number and length, or
+the fixed ``NOTICES`` (a few hundred k-grams, so their broadcast has a fixed size).  A hit votes for the diagonal ``document position -
 notice position``; votes are counted per document, notice and diagonal, neighbouring
 diagonals (words inserted or left out) are merged, and a span is verified: every vote must
 also agree on a second, independent 64-bit hash, and the span must hold ``COVERAGE``
-of the notice's k-grams.
+of the notice's k-grams, each counted once over its diagonals.
 
 Words are those of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased.
 Phrases that name a license (``PHRASES``) are found word by word; the notices add to the
@@ -15,7 +15,7 @@ labels and never take one away.
 Edge cases: null text is empty: no words, no labels, score 0; texts shorter than k
 words have phrases only; a phrase or notice that repeats counts at every place;
 repeated rows give repeated results; an empty table gives no rows; further
-columns are ignored.
+columns are ignored; notices with a null text or label, or of fewer than k words, are never found.
 """
 
 from __future__ import annotations
@@ -113,18 +113,34 @@ def _scan(key: str, k: int):
     return run
 
 
-def templates(spark, k: int = K) -> DataFrame:
-    """(one, two, notice, label, at, size): every k-gram of every notice."""
-    rows = []
-    for i, (label, text) in enumerate(NOTICES):
-        one, two, _ = _Words(pa.array([text])).grams(k)
-        rows += [(int(a), int(b), i, label, at, len(one)) for at, (a, b) in enumerate(zip(one.view(np.int64), two.view(np.int64)))]
-    return spark.createDataFrame(rows, "one long, two long, notice int, label string, at int, size int")
+TEMPLATES = "one long, two long, notice long, label string, at int, size int"
 
 
-def scan(docs: DataFrame, key: str = "doc_id", k: int = K) -> DataFrame:
+def templates(notices: DataFrame, k: int = K) -> DataFrame:
+    """(one, two, notice, label, at, size): every k-gram of every notice (label, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                one, two, row = _Words(part.column("text")).grams(k)
+                size = np.bincount(row, minlength=part.num_rows)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                of = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), part.column("notice").take(of), part.column("label").take(of),
+                     pa.array(at.astype(np.int32)), pa.array(size[row].astype(np.int32))], [f.split()[0] for f in TEMPLATES.split(", ")])
+
+    rows = notices.where("label IS NOT NULL").select("label", "text").distinct().withColumn("notice", F.xxhash64("label", "text"))
+    return rows.mapInArrow(run, TEMPLATES)
+
+
+def scan(docs: DataFrame, key: str = "doc_id", k: int = K, notices: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: counts and places of phrases, labels, score, and
-    ``spans`` (label, start, end, coverage) of the verified notices."""
+    ``spans`` (label, start, end, coverage) of the verified notices (a table of label and text;
+    ``NOTICES`` if none is given)."""
+    if notices is None:
+        known_grams = F.broadcast(templates(docs.sparkSession.createDataFrame(NOTICES, "label string, text string").coalesce(1), k))
+    else:
+        known_grams = templates(notices, k)             # of any size: the join is planned from it
     schema = T.StructType([T.StructField("_row", T.LongType()), docs.schema[key]])
     for name in ("n_words", "n_base", "first_word", "last_word"):
         schema.add(name, T.LongType())
@@ -136,20 +152,20 @@ def scan(docs: DataFrame, key: str = "doc_id", k: int = K) -> DataFrame:
     # one row without a k-gram keeps each document; the rest are its rolling k-grams
     grams = known.select("_row", facts, F.posexplode_outer("grams").alias("pos", "g"))
     grams = grams.select("_row", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("facts")).alias("facts"), "pos", F.col("g.one").alias("one"), F.col("g.two").alias("second"))
-    hits = (grams.join(F.broadcast(templates(docs.sparkSession, k)), "one", "left")
+    hits = (grams.join(known_grams, "one", "left")
             .withColumn("notice", F.when(F.col("two") == F.col("second"), F.col("notice")))
             .where("facts IS NOT NULL OR notice IS NOT NULL")
             .withColumn("diagonal", F.when(F.col("notice").isNotNull(), F.col("pos") - F.col("at"))))
     votes = (hits.repartition("_row").groupBy("_row", "notice", "diagonal")
              .agg(F.first("facts", ignorenulls=True).alias("facts"), F.first("label").alias("label"), F.first("size").alias("size"),
-                  F.min("pos").alias("start"), (F.max("pos") + k).alias("end"), F.count_distinct("at").alias("votes")))
+                  F.min("pos").alias("start"), (F.max("pos") + k).alias("end"), F.collect_set("at").alias("votes")))
     line = Window.partitionBy("_row", "notice").orderBy("diagonal")
     far = (F.col("diagonal") - F.lag("diagonal").over(line) > NEAR)
     spans = (votes.withColumn("span", F.sum(F.when(far, 1).otherwise(0)).over(line))
              .groupBy("_row", "notice", "span")
              .agg(F.first("facts", ignorenulls=True).alias("facts"), F.first("label").alias("label"),
                   F.min("start").alias("start"), F.max("end").alias("end"),
-                  F.least(F.lit(1.0), F.sum("votes") / F.first("size")).alias("coverage")))
+                  (F.size(F.array_distinct(F.flatten(F.collect_list("votes")))) / F.first("size")).alias("coverage")))
     sure = F.when((F.col("coverage") >= COVERAGE) & F.col("notice").isNotNull(), F.struct("label", "start", "end", "coverage"))
     out = spans.groupBy("_row").agg(F.first("facts", ignorenulls=True).alias("facts"), F.array_sort(F.collect_list(sure)).alias("spans"))
     labels = F.array_sort(F.array_union("facts.base", F.transform("spans", lambda s: s["label"])))

@@ -45,3 +45,28 @@ def test_notices_add_labels(spark):
 
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_table_of_long_notices(spark):
+    import random
+    rng = random.Random(2)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    long, other = words(600), words(300)
+    notices = spark.createDataFrame([("long", " ".join(long)), ("long", " ".join(long)), ("other", " ".join(other)), ("short", "a b c"), ("none", None),
+                                     (None, " ".join(words(50)))], "label string, text string")
+    edited = long[:200] + words(2) + long[200:350] + long[351:]
+    docs = [(1, " ".join(words(40) + long + words(40))), (2, " ".join(edited)), (3, " ".join(long[:300])), (4, " ".join(other * 3)), (5, "a b c"),
+            (6, " ".join(long[:300] + words(50) + long[:300]))]
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(docs, "doc_id long, text string"), notices=notices).collect()}
+    assert {i: r.labels for i, r in got.items()} == {1: "long", 2: "long", 3: "", 4: "other", 5: "", 6: ""}
+    (span,) = got[1].spans
+    assert (span.start, span.end, span.coverage) == (40, 640, 1.0)
+    assert len(got[4].spans) == 3 and 0.95 < got[2].spans[0].coverage < 1
+    empty = L.scan(spark.createDataFrame(docs, "doc_id long, text string"), notices=notices.limit(0)).collect()
+    assert {r.labels for r in empty} == {""} and len(empty) == len(docs)
+
+
+def test_a_place_of_the_notice_counts_once(spark):
+    half = " ".join(ISC.split()[:10])                 # the same half twice is not the whole
+    got = L.scan(spark.createDataFrame([(1, f"{half} {half}")], "doc_id long, text string")).first()
+    assert got.labels == "" and got.score == 0
