@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions.formulas import per36, shooting_pcts
 from ..functions.nulls import numeric_columns, out_round
-from ..ml import boosting, evaluate, models, onehot
+from ..ml import boosting, evaluate, gradient, models, onehot
 from ..ml.feature_groups import TREND_ONLY, columns_for
 from ..operators import joins, metrics, panel, splits, windows
 from ..session import materialize
@@ -106,6 +106,25 @@ def q_ml_boosted_leaves(spark, sf_dir):
     return _trend_model(spark, sf_dir, "lgb", {**models.MEMBER_PARAMS["lgb"], "n_estimators": 50})
 
 
+def _gradient_model(spark, sf_dir, kind, params):
+    f = materialize(outcome_trends(spark, sf_dir).where(F.col("prev_win_pct").isNotNull()))
+    train, hold = splits.split_last_n(f, "season_end_year", 2)
+    m = gradient.fit_frame(train, TREND_ONLY, "win_pct", gradient.model_of(kind, params), "standard")
+    return _report(models.predict(m, hold))
+
+
+@register("ml_perceptron")
+def q_ml_perceptron(spark, sf_dir):
+    """One hidden layer of 50 units on the trend features, gradients summed over all rows."""
+    return _gradient_model(spark, sf_dir, "nn", {"hidden_layer_sizes": [50], "alpha": 0.0001})
+
+
+@register("ml_svr")
+def q_ml_svr(spark, sf_dir):
+    """Support vector regression with a radial kernel (random Fourier features)."""
+    return _gradient_model(spark, sf_dir, "svm", {"C": 1.0, "kernel": "rbf"})
+
+
 @register("ml_gbt")
 def q_ml_gbt(spark, sf_dir):
     """Boosted trees on box + trend groups, windows computed inside each split."""
