@@ -33,4 +33,5 @@ def distinct_so_far(sketches: DataFrame, period: str) -> DataFrame:
     later = F.filter(F.array(*map(F.lit, periods)), lambda p: p >= F.col(period)) if periods else F.array(F.col(period))
     spread = sketches.where(F.col(period).isNotNull()).withColumn("_to", F.explode(later))
     own = F.max(F.when(F.col("_to") == F.col(period), F.hll_sketch_estimate("sketch")))
-    return spread.groupBy(F.col("_to").alias(period)).agg(own.alias("n_period"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_so_far"))
+    return spread.groupBy(F.col("_to").alias(period)).agg(
+        own.alias("n_period"), F.greatest(own, F.hll_sketch_estimate(F.hll_union_agg("sketch"))).alias("n_so_far"))
