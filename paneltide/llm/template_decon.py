@@ -35,6 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import byte_class, gram_hashes, slices, utf8, within_rows, word_hashes, word_spans
 
@@ -216,10 +217,10 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
         yield now
 
 
-LEAKS = "item_id long, start_word long, words long, coverage double, kind string"
+LEAKS = "start_word long, words long, coverage double, kind string"
 
 
-def _search(index, keep: list[str]):
+def _search(index, keep: list[str], id_type: pa.DataType):
     names = [*keep, "item_id", "start_word", "words", "coverage", "kind"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,23 +231,24 @@ def _search(index, keep: list[str]):
                 at = pa.array([f[0] for f in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c).take(at) for c in keep),
-                     pa.array([known.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()),
+                     pa.array([known.ids[f[1]] for f in found], id_type), pa.array([f[2] for f in found], pa.int64()),
                      pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.float64()),
                      pa.array(["exact" if f[5] else "reparameterised" for f in found], pa.string())], names)
     return run
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per document row and leaked item: the columns ``keep``, item_id,
+    """One row per document row and leaked item: the columns ``keep``, item_id (of any type),
     start_word, words and coverage (of the item), kind."""
     spark = docs.sparkSession
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    item = benchmark.schema["item_id"].dataType
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"item_id {item.simpleString()}", LEAKS])
     out = None
     for block in _blocks(benchmark):
         found = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(
-            _search(spark.sparkContext.broadcast(block), keep), f"{kept}, {LEAKS}")
+            _search(spark.sparkContext.broadcast(block), keep, to_arrow_type(item)), schema)
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], f"{kept}, {LEAKS}") if out is None else out
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

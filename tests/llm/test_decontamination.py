@@ -65,3 +65,12 @@ def test_whole_items_are_found(spark):
     items = {r.item_id: norm(r.text) for r in bench.collect()}
     exp = {(r.doc_id, i) for r in docs.collect() for i, t in items.items() if t in norm(r.text)}
     assert {(r.doc_id, r.item_id) for r in D.leaks(docs, bench, ["doc_id"]).collect()} == exp
+
+
+def test_ids_of_any_type(spark):
+    d = spark.createDataFrame([("d1", "so " + ITEM), ("d2", "nothing here")], "doc_id string, text string")
+    b = spark.createDataFrame([("item-7", ITEM), (None, "another item of a few words")], "item_id string, text string")
+    got = D.leaks(d, b, ["doc_id"])
+    assert got.schema["item_id"].dataType.simpleString() == "string"
+    assert [tuple(r)[:2] for r in got.collect()] == [("d1", "item-7")]
+    assert [r.doc_id for r in D.clean(d, b).collect()] == ["d2"]
