@@ -177,11 +177,11 @@ def counted(docs: DataFrame, later: Column) -> DataFrame:
 
 class Models:
     """The tables of all languages: ``logp`` (lang, n, key, logp) of every n-gram of order n and
-    ``weight`` (lang, n, key, logw) of every context of order n; on the driver only the size and the
-    floor of each language."""
+    ``weight`` (lang, n, key, logw) of every context of order n, where lang begins with ``mark``;
+    on the driver only the size and the floor of each language."""
 
-    def __init__(self, logp: DataFrame, weight: DataFrame, floors: dict[str, float], sizes: dict[str, int]):
-        self.logp, self.weight, self.floors, self.sizes = logp, weight, floors, sizes
+    def __init__(self, logp: DataFrame, weight: DataFrame, mark: str, floors: dict[str, float], sizes: dict[str, int]):
+        self.logp, self.weight, self.mark, self.floors, self.sizes = logp, weight, mark, floors, sizes
 
     def groups(self) -> list[list[str]]:
         """Languages in alphabetical order, as many together as ``GROUP_BYTES`` hold."""
@@ -198,17 +198,42 @@ class Models:
 
     def fetch(self, langs: list[str]) -> dict[str, KneserNey]:
         def arrays(table: DataFrame, value: str) -> dict[tuple, tuple]:
-            t = table.where(F.col("lang").isin(*langs)).toPandas()
-            return {k: (g["key"].to_numpy(np.int64).view(np.uint64), g[value].to_numpy(float)) for k, g in t.groupby(["lang", "n"])}
+            parts: dict[tuple, list] = {}
+            rows = table.where(F.col("lang").isin(*(self.mark + x for x in langs))).select("lang", "n", "key", F.col(value).alias("v"))
+            for r in rows.mapInArrow(_packed, "lang string, n int, keys binary, values binary").collect():    # as bytes, 16 an entry
+                parts.setdefault((r.lang[1:], r.n), []).append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["values"], float)))
+            return {k: tuple(map(np.concatenate, zip(*p))) for k, p in parts.items()}
 
         logp, weight = arrays(self.logp, "logp"), arrays(self.weight, "logw")
         return {x: KneserNey.of_tables(self.floors[x], [logp[x, n] for n in (1, 2, 3, 4)], [weight[x, n] for n in (2, 3, 4)]) for x in langs}
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys and values of each language and order of a batch as two binary values."""
+    for b in batches:
+        lang, n = b.column("lang").dictionary_encode(), b.column("n").to_numpy()
+        key, value, code = b.column("key").to_numpy(), b.column("v").to_numpy(), lang.indices.to_numpy()
+        out = []
+        for c, name in enumerate(lang.dictionary.to_pylist()):
+            for order in np.unique(n[code == c]).tolist():
+                at = (code == c) & (n == order)
+                out.append((name, order, key[at].tobytes(), value[at].tobytes()))
+        cols = list(zip(*out)) or [[]] * 4
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["lang", "n", "keys", "values"])
+
+
 def train(counts: DataFrame, n: str) -> Models | None:
-    """The models of all languages from the counts in column ``n`` (zeros left out)."""
+    """The models of all languages from the counts in column ``n``."""
+    return train_all(counts, [n])[n]
+
+
+def train_all(counts: DataFrame, names: list[str]) -> dict[str, Models | None]:
+    """Models from each of the count columns ``names`` (zeros left out), made in the same jobs."""
     spark = counts.sparkSession
-    tables = {4: counts.where(F.col(n) > 0).select("lang", F.col("gram").alias("key"), F.col(n).cast("double").alias("c"))}
+    marks = {n: str(i) for i, n in enumerate(names)}
+    tables = {4: reduce(DataFrame.unionByName, [counts.where(F.col(n) > 0).select(
+        F.concat(F.lit(m), "lang").alias("lang"), F.col("gram").alias("key"), F.col(n).cast("double").alias("c")) for n, m in marks.items()])}
     for order in (3, 2, 1):  # how many different characters stand before the shorter n-gram
         tables[order] = materialize(tables[order + 1].groupBy("lang", F.col("key").bitwiseAND(F.lit(2 ** (16 * order) - 1)).alias("key"))
                                     .agg(F.count("*").cast("double").alias("c")))
@@ -219,7 +244,7 @@ def train(counts: DataFrame, n: str) -> Models | None:
             seen[r["lang"], order] = (_discount(r["n1"], r["n2"]), r["total"], r["size"])
     langs = sorted({lang for lang, _ in seen})
     if not langs:
-        return None
+        return dict.fromkeys(names)
     facts = spark.createDataFrame([(lang, order, d, total) for (lang, order), (d, total, _) in seen.items()], "lang string, n int, d double, total double")
     above = F.greatest(F.col("c") - F.col("d"), F.lit(0.0))
     p = materialize(tables[1].join(facts.where("n = 1").drop("n"), "lang").select("lang", "key", ((above + F.col("d")) / F.col("total")).alias("p")))
@@ -231,12 +256,17 @@ def train(counts: DataFrame, n: str) -> Models | None:
         weights.append(ctx.select("lang", F.lit(order).alias("n"), F.col("ctx").alias("key"), F.log("w").alias("logw")))
         lower = p.select("lang", F.col("key").alias("suffix"), F.col("p").alias("lower"))
         t = t.withColumn("suffix", F.col("key").bitwiseAND(F.lit(2 ** (16 * (order - 1)) - 1)))
-        p = materialize(t.join(ctx, ["lang", "ctx"]).join(lower, ["lang", "suffix"])
+        # these tables grow with the corpus: merged, so that none passes through the driver
+        p = materialize(t.join(ctx.hint("merge"), ["lang", "ctx"]).join(lower.hint("merge"), ["lang", "suffix"])
                         .select("lang", "key", (above / F.col("total") + F.col("w") * F.col("lower")).alias("p")))
         logp.append(p.select("lang", F.lit(order).alias("n"), "key", F.log("p").alias("logp")))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    floors = {x: float(np.log(seen[x, 1][0] / seen[x, 1][1])) for x in langs}
-    return Models(union(logp), union(weights), floors, {x: sum(seen[x, order][2] for order in tables) * 2 for x in langs})
+    every, contexts, out = union(logp), union(weights), {}
+    for n, m in marks.items():
+        own = [x for x in langs if x.startswith(m)]
+        floors = {x[1:]: float(np.log(seen[x, 1][0] / seen[x, 1][1])) for x in own}
+        out[n] = Models(every, contexts, m, floors, {x[1:]: sum(seen[x, order][2] for order in tables) * 2 for x in own}) if own else None
+    return out
 
 
 class State:
@@ -336,8 +366,9 @@ def identify(docs: DataFrame, keep: list[str], key: str = "doc_id") -> DataFrame
     Learns from the rows of ``docs`` outside fold 0."""
     rows = docs.withColumn("_fold", F.coalesce(fold(key), F.lit(0)))
     counts = counted(rows.where("_fold <> 0"), F.col("_fold") == CALIBRATION)
-    models = train(counts, "both")
-    earlier = train(counts, "first") or models  # few rows: nothing is left for calibration
+    trained = train_all(counts, ["both", "first"])
+    models = trained["both"]
+    earlier = trained["first"] or models  # few rows: nothing is left for calibration
     known = scored(rows.where(F.col("_fold") == CALIBRATION).where("lang IS NOT NULL"), earlier, ["lang"]).where("letters > 0 AND lang = lang_pred")
     known = materialize(known.select("lang", "entropy", "chars"))
     mean = {r["lang"]: r["mean"] for r in known.groupBy("lang").agg(F.avg("entropy").alias("mean")).collect()} if models else {}
