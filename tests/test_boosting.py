@@ -160,3 +160,46 @@ def test_many_distinct_values_fall_into_quantile_bins(spark):
     df = spark.createDataFrame([(float(a),) for a in v], "v double")
     near = B.edges_of(df, ["v"], 50)[0]
     assert 40 <= len(near) <= 50 and np.abs(np.searchsorted(np.sort(v), near) / 3000 - np.arange(1, len(near) + 1) / 50).max() < 0.05
+
+
+def test_quantile_edges_of_many_tasks(spark, monkeypatch):
+    v = np.random.default_rng(9).normal(size=5000)
+    df = spark.createDataFrame([(float(a), float(i % 5), None) for i, a in enumerate(v)], "v double, few double, none double").repartition(7)
+    monkeypatch.setattr(type(df), "approxQuantile", None)          # hundreds of quantiles of wide tables took longer than a fit
+    near, few, none = B.edges_of(df, ["v", "few", "none"], 50)
+    assert few.tolist() == [0.0, 1.0, 2.0, 3.0] and not len(none)
+    assert len(near) == 49 and np.abs(np.searchsorted(np.sort(v), near, "right") / 5000 - np.arange(1, 50) / 50).max() <= 1 / 200
+
+
+def test_a_pass_counts_only_the_smaller_sisters_and_reaches_no_row_twice(spark, monkeypatch):
+    x, y = table(11, missing=0.0)
+    asked, real = [], B._added
+    monkeypatch.setattr(B, "_added", lambda parts, shape: asked.append(shape[1]) or real(parts, shape))
+    monkeypatch.setattr(B, "GATHER_BYTES", 0)                       # tasks add the histograms first
+    df = B.materialize(spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, c double, d double, e double, y double"))
+    p = B.Params(rounds=3, depth=4, min_rows=5)
+    model = B.fit(df, list("abcde"), "y", p)
+    assert len(asked) == 3 * 4 and all(n <= 4 for n in asked)       # a pass a level: 1, 1, at most 2 and 4 leaves
+    assert np.allclose(model.raw(x), B.fit_arrays(x, y, p, edges=model.edges).raw(x))
+
+
+@pytest.mark.parametrize("depth", [0, 5])
+def test_forest_trees_equal_brute_force_in_any_task(spark, monkeypatch, depth):
+    x, y = table(12, n=120, d=3, missing=0.2)
+    p = B.Params(rounds=18, objective="forest", depth=depth)
+    model = B.fit_arrays(x, y, p)
+    counts = np.random.default_rng([p.seed, 11, 1, 0]).poisson(1.0, (len(y), 2))[:, 1].astype(float)
+    rows = np.flatnonzero(counts)
+    score = np.zeros(len(y))
+    for at, value in brute_tree(x[rows], -(y * counts)[rows], counts[rows], B.Params(depth=depth, rate=1.0)):
+        score[rows[at]] += value
+    tree = model.generations[1][1]
+    assert np.allclose(tree.value[tree.route(B.to_bins(x, model.edges))][rows], score[rows])
+    monkeypatch.setattr(B, "_fit_in_one_task", None)               # a forest's trees are dealt over tasks
+    df = B.materialize(spark.createDataFrame([(*[None if np.isnan(v) else float(v) for v in r], float(t)) for r, t in zip(x, y)], "a double, b double, c double, y double"))
+    order = df.toPandas().to_numpy(float)
+    dealt = B.fit_frame(df, list("abc"), "y", p)
+    assert np.allclose(dealt.raw(x), B.fit_arrays(order[:, :3], order[:, 3], p).raw(x))
+    monkeypatch.setattr(B, "DENSE_ROWS", 1)
+    monkeypatch.setattr(B.np, "ix_", B.np.ix_)
+    assert np.allclose(B.fit_arrays(x, y, p).raw(x), model.raw(x))
