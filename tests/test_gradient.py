@@ -103,3 +103,18 @@ def test_deadline_and_no_rows(spark):
         G.fit_arrays(x, y, G.Perceptron((100, 50)), until=time.monotonic() - 1)
     with pytest.raises(ValueError):
         G.fit_frame(spark.createDataFrame([], "a double, y double"), ["a"], "y", G.Perceptron((3,)))
+
+
+def test_radial_features_are_made_once_a_fit(monkeypatch):
+    calls, real = [], G.SupportVectors.mapped
+
+    def mapped(self, x):
+        if self.kernel != "linear":
+            calls.append(len(x))
+        return real(self, x)
+
+    monkeypatch.setattr(G.SupportVectors, "mapped", mapped)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 3))
+    made = G.fit_arrays(x, np.sin(x[:, 0]), G.SupportVectors(1.0, "rbf"))
+    assert len(calls) == 1 and np.corrcoef(made.outcome(x), np.sin(x[:, 0]))[0, 1] > 0.9

@@ -168,3 +168,16 @@ def test_lanes_agree_and_a_search_goes_on_where_it_stopped(spark, monkeypatch, t
 def test_linear_grid_is_whole(spark):
     grid = search.linear_configs(spark)
     assert len(grid) == 10 * 4 * 62 and {c.model_type for c in grid} == {"ridge", "lasso"}
+
+
+def test_linear_scores_are_written_in_batches_and_their_tables_deleted(spark, monkeypatch):
+    from paneltide import session
+    df = panel(spark)
+    train, hold = df.where("season_end_year < 2006"), df.where("season_end_year >= 2006")
+    some = configs(*[("ridge", {"alpha": a}, "standard", "basic_box|trend") for a in (0.1, 1.0, 10.0)], ("ridge", {"alpha": 1.0}, "none", "four_factors"))
+    whole = {r.iteration: r for r in search.score_configs(spark, train, hold, some)[0].collect()}
+    dropped, real = [], session.drop_paths
+    monkeypatch.setattr(session, "drop_paths", lambda s, paths: dropped.append(len(paths)) or real(s, paths))
+    monkeypatch.setattr(search, "BATCH_SCORES", 1)
+    batched = {r.iteration: r for r in search.score_configs(spark, train, hold, some)[0].collect()}
+    assert batched == whole and len(dropped) == 4 and min(dropped) >= 1

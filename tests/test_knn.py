@@ -28,3 +28,20 @@ def test_vote_ties_to_smallest(spark):
     df = spark.createDataFrame(rows, "id long, v array<float>, y int")
     r = {x.q_id: x for x in knn_regress(df, df, 4, "id", "v", "id", "v", "y", exclude_self=True).collect()}
     assert r[0].knn_vote == 3.0 and r[0].nearest_id == 1
+
+
+def test_a_cell_equals_brute_force_with_copies_and_ties():
+    import numpy as np
+    import pandas as pd
+    from paneltide.operators import knn
+    rng = np.random.default_rng(3)
+    v = rng.integers(-9, 10, (400, 6)) + 1000.0                   # whole numbers: ties are exact, squared norms large
+    v[100:160] = v[7]
+    side = pd.DataFrame({"id": np.arange(400), "vec": list(v), "value": np.arange(400.0)})
+    assert hasattr(knn, "_nearest")                               # one product and a few exact distances, not all differences
+    for k, alone in ((5, True), (3, False), (500, True)):
+        made = knn._cell_topk(k, alone)(side[["id", "vec"]], side)
+        for q in (0, 7, 120, 399):
+            d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+            exp = [t for t in np.lexsort((np.arange(400), d)) if not (alone and t == q)][:k]
+            assert made[made.q_id == q].t_id.tolist() == exp
