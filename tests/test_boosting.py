@@ -203,3 +203,10 @@ def test_forest_trees_equal_brute_force_in_any_task(spark, monkeypatch, depth):
     monkeypatch.setattr(B, "DENSE_ROWS", 1)
     monkeypatch.setattr(B.np, "ix_", B.np.ix_)
     assert np.allclose(B.fit_arrays(x, y, p).raw(x), model.raw(x))
+
+
+def test_a_forest_of_several_batches_over_many_tasks(spark):
+    x, y = table(13, missing=0.0)
+    df = B.materialize(spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, c double, d double, e double, y double"))
+    model = B.fit(df, list("abcde"), "y", B.Params(rounds=18, objective="forest", depth=3))
+    assert sum(map(len, model.generations)) == 18 and np.corrcoef(model.outcome(x), y)[0, 1] > 0.8
