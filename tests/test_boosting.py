@@ -210,3 +210,58 @@ def test_a_forest_of_several_batches_over_many_tasks(spark):
     df = B.materialize(spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, c double, d double, e double, y double"))
     model = B.fit(df, list("abcde"), "y", B.Params(rounds=18, objective="forest", depth=3))
     assert sum(map(len, model.generations)) == 18 and np.corrcoef(model.outcome(x), y)[0, 1] > 0.8
+
+
+@pytest.mark.parametrize("depth", [0, 4])
+def test_a_forest_is_the_same_whatever_a_task_holds(spark, monkeypatch, depth):
+    x, y = table(14, n=200)
+    y = np.round(y * 64) / 64                                      # sums without rounding
+    cols = list("abcde")
+    df = B.materialize(spark.createDataFrame([(*[None if np.isnan(v) else float(v) for v in r], float(t)) for r, t in zip(x, y)],
+                                             "a double, b double, c double, d double, e double, y double"))
+    order = df.toPandas().to_numpy(float)
+    p = B.Params(rounds=18, objective="forest", depth=depth)
+    one = B.fit_arrays(order[:, :5], order[:, 5], p).raw(x)
+    monkeypatch.setattr(B, "FOREST_CELLS", 5 * 60)                 # nodes of more than 60 rows are split by passes
+    dealt = B.fit_frame(df, cols, "y", p)
+    assert all(len(t.left) > 1 for t in dealt.tops)
+    assert np.allclose(dealt.raw(x), one)
+
+
+def test_draws_of_rows_do_not_depend_on_blocks(monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 50)
+    for p in (B.Params(objective="forest", rounds=4), B.Params(row_share=0.6)):
+        whole = B._row_weights(p, 1, 4, 0, 200)
+        assert np.array_equal(whole, np.concatenate([B._row_weights(p, 1, 4, a, b - a) for a, b in zip((0, 30, 120), (30, 120, 200))]))
+        assert not np.array_equal(whole[:50], whole[50:100])
+
+
+def test_forest_scores_meet_trees_where_they_are(spark, monkeypatch):
+    x, y = table(15, n=150)
+    names = "a double, b double, c double, d double, e double, y double"
+    df = B.materialize(spark.createDataFrame([(*[None if np.isnan(v) else float(v) for v in r], float(t)) for r, t in zip(x, y)], names).repartition(3))
+    model = B.fit_frame(df, list("abcde"), "y", B.Params(rounds=5, objective="forest"), fill=dict.fromkeys("abcde", 0.5))
+    rows = df.toPandas().to_numpy(float)
+    wanted = model.raw(rows[:, :5])[:, 0] / 5
+    monkeypatch.setattr(B.Forest, "raw", None)
+    monkeypatch.setattr(type(model.parts), "collect", None)        # trees as large as the table do not reach the driver
+    scored = model.transform(df, "p").toPandas()
+    assert list(scored.columns) == [*"abcde", "y", "p"]
+    got = {tuple(np.nan_to_num(r[:6], nan=-9.0)): r[6] for r in scored.to_numpy(float)}
+    assert np.allclose([got[tuple(np.nan_to_num(r, nan=-9.0))] for r in rows], wanted)
+
+
+def test_columns_with_few_bins_share_a_count():
+    rng = np.random.default_rng(16)
+    n, widths = 500, [3, 256, 40, 8, 2, 60]
+    bins = np.asfortranarray(np.stack([rng.integers(0, w - 1, n) for w in widths], 1).astype(np.uint8))
+    bins[rng.random(bins.shape) < 0.1] = B.MISSING
+    codes = B.Codes(bins, widths)
+    assert len(codes.groups) < len(widths) and sorted(f for g in codes.groups for f in g) == list(range(6))
+    g, h, r = rng.normal(size=n), rng.random(n), np.flatnonzero(rng.random(n) < 0.5)
+    sums, use = np.zeros((3, 2, 6, 256)), np.array([True, True, False, True, True, True])
+    codes.add_to(sums, [(0, None, g, h, None), (1, r, g[r], h[r], None)], use)
+    for leaf, some in ((0, np.arange(n)), (1, r)):
+        for f in range(6):
+            for j, v in enumerate((g, h, np.ones(n))):
+                assert np.allclose(sums[j, leaf, f], np.bincount(bins[some, f], v[some], 256) if use[f] else 0.0)

@@ -63,3 +63,19 @@ def test_linear_pipeline_matches_least_squares(spark):
     X = np.column_stack([x, np.ones(len(y))])
     beta = np.linalg.lstsq(X, y, rcond=None)[0]
     assert np.allclose(pred, X @ beta, atol=1e-6)
+
+
+def test_an_ensemble_is_the_same_at_any_size(spark, monkeypatch):
+    from paneltide.ml import boosting
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), float(round(2 * a + b * b, 1))) for a, b in np.round(rng.normal(size=(80, 2)), 1)]
+    df = boosting.materialize(spark.createDataFrame(rows, "a double, b double, win_pct double"))
+    few = {"rf": {"n_estimators": 3}, "gb": {"n_estimators": 3}}
+
+    def scores():
+        members = models.fit_ensemble(df, ["a", "b"], models.ENSEMBLES[2], member_params=few)
+        return sorted((r.a, r.b, round(r.pred_score, 9)) for r in models.predict_ensemble(members, df).collect())
+
+    one = scores()
+    monkeypatch.setattr(boosting, "FOREST_CELLS", 2 * 20)          # as of a table too large for one task
+    assert scores() == one
