@@ -181,3 +181,26 @@ def test_linear_scores_are_written_in_batches_and_their_tables_deleted(spark, mo
     monkeypatch.setattr(search, "BATCH_SCORES", 1)
     batched = {r.iteration: r for r in search.score_configs(spark, train, hold, some)[0].collect()}
     assert batched == whole and len(dropped) == 4 and min(dropped) >= 1
+
+
+def test_linear_scores_are_ranked_where_the_rows_are(spark, monkeypatch):
+    df = panel(spark).withColumn("pts", F.round("pts", 0)).withColumn("ast", F.lit(1.0))       # equal scores
+    train, hold = df.where("season_end_year < 2006"), df.where("season_end_year >= 2006")
+    some = configs(*[("ridge", {"alpha": a}, s, "basic_box") for a in (0.1, 10.0) for s in ("standard", "none")], ("lasso", {"alpha": 0.001}, "robust", "basic_box|trend"))
+    real, staged = gram.score_all, []
+    monkeypatch.setattr(gram, "score_all", lambda *a: staged.append(1) or real(*a))
+    one = {r.iteration: r for r in search.score_configs(spark, train, hold, some)[0].collect()}
+    assert not staged
+    monkeypatch.setattr(search, "GROUP_BYTES", 0)                  # as of groups too large for a task
+    assert one == {r.iteration: r for r in search.score_configs(spark, train, hold, some)[0].collect()} and staged
+
+
+def test_rank_measures_equal_the_ranks_of_spark(spark):
+    from paneltide.operators import metrics, rank
+    rng = np.random.default_rng(4)
+    score = rng.integers(0, 30, 200) / 7.0
+    score[:9] = [np.nan, np.inf, -np.inf, np.nan, 0.0, -0.0, -np.inf, np.inf, 1e300]
+    true = rng.integers(1, 200, 200)
+    df = spark.createDataFrame([(float(s), int(t)) for s, t in zip(score, true)], "score double, true_rank int")
+    r = metrics.rank_metrics(rank.rank_many(df, [("score", "p", None)]).withColumn("rank_diff", F.col("p") - F.col("true_rank"))).first()
+    assert gram.rank_measures(score, true) == (r.exact, r.within1, r.within2)
