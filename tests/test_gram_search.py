@@ -204,3 +204,14 @@ def test_rank_measures_equal_the_ranks_of_spark(spark):
     df = spark.createDataFrame([(float(s), int(t)) for s, t in zip(score, true)], "score double, true_rank int")
     r = metrics.rank_metrics(rank.rank_many(df, [("score", "p", None)]).withColumn("rank_diff", F.col("p") - F.col("true_rank"))).first()
     assert gram.rank_measures(score, true) == (r.exact, r.within1, r.within2)
+
+
+def test_forests_of_a_search_are_the_same_as_spark_jobs(spark, monkeypatch):
+    df = panel(spark)
+    train, hold = df.where("season_end_year < 2006"), df.where("season_end_year >= 2006")
+    some = configs(("rf", {"n_estimators": 12, "max_depth": 5}, "minmax", "basic_box|trend"), FAMILIES[7])
+    one = {r.iteration: (r.status, r.val_overall, r.test_overall) for r in search.score_configs(spark, train, hold, some)[0].collect()}
+    assert {s for s, _, _ in one.values()} == {"ok"}
+    monkeypatch.setattr(search, "PANEL_BYTES", 0)
+    many, _ = search.score_configs(spark, train, hold, some)
+    assert one == {r.iteration: (r.status, r.val_overall, r.test_overall) for r in many.collect()}
