@@ -215,3 +215,13 @@ def test_forests_of_a_search_are_the_same_as_spark_jobs(spark, monkeypatch):
     monkeypatch.setattr(search, "PANEL_BYTES", 0)
     many, _ = search.score_configs(spark, train, hold, some)
     assert one == {r.iteration: (r.status, r.val_overall, r.test_overall) for r in many.collect()}
+
+
+def test_the_best_forest_is_refitted_as_it_was_searched(spark):
+    from paneltide.ml import boosting
+    df = boosting.materialize(panel(spark))
+    train, hold = df.where("season_end_year < 2006"), df.where("season_end_year >= 2006")
+    hist, _ = search.score_configs(spark, train, hold, configs(FAMILIES[5]))
+    model = models.fit_trees(train, hist.first().feature_cols.split(","), *FAMILIES[5][:2])
+    wanted = {(r.team, r.season_end_year): round(r.prediction, 9) for r in model.transform(hold).collect()}
+    assert wanted == {(r.team, r.season_end_year): round(r.pred_score, 9) for r in search.refit_best(hist, train, hold).collect()}
